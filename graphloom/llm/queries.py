@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
 
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import toxicity
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    rest = common.id_text_remainder("doc_id", 4)
+    model = toxicity.fit(docs, common.labels(spark, sf_dir).select("doc_id", "toxic"), rest != 2)
+    return _judged(toxicity.score_documents(docs, model), F.coalesce(rest == 2, F.lit(False)))
+
+
+def _judged(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.line_dedup import dedup_lines
 
@@ -30,6 +43,15 @@ def op4_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(common.documents(spark, sf_dir))
 
 
+def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import quality
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    rest = common.id_text_remainder("doc_id", 5)
+    scores = quality.score_documents(docs, common.labels(spark, sf_dir).select("doc_id", "quality"), rest != 0)
+    return _judged(scores, F.coalesce(rest == 0, F.lit(False)))
+
+
 def op9_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from graphloom.llm.bpe import encode_documents
@@ -44,7 +66,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_runs, op3_mixture_packing, op4_blob_ledger, op9_fst_bpe, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_nnpu_toxicity, op2_line_runs, op3_mixture_packing, op4_blob_ledger, op5_additive_quality, op9_fst_bpe, op10_hash_tree_shards)}
 
 
 LINES_SQL = r"""
