@@ -13,19 +13,22 @@ with the same deficits.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from struct import pack
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import small_batches, written
 
 CYCLE = 64
+MAX_BROADCAST_ROWS = 200_000
 
 
 class Phase:
@@ -127,38 +130,63 @@ def pieces(phases: list[Phase], queue: int, start: int, length: int) -> Iterator
         at = stop
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 stands for itself, the rest is numbered from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokens:
-    """Ids of texts by a tokenizer that drops white space and never joins over it.
+    """Ids of texts by a tokenizer that lower-cases, drops white space and never joins words.
 
-    Words between ASCII white space are encoded once and looked up in two generations, so
-    memory is bounded; a word is encoded by the tokenizer itself, special strings included.
+    Texts within Latin-1, where composing and lower-casing go letter by letter, are split
+    here into the tokenizer's words, and each word's ids come from its merges; all other
+    texts, and those with special strings, are given to the tokenizer in parts between
+    ASCII white space.  Ids are looked up in two generations, so memory is bounded.
     """
 
-    def __init__(self, definition: str, generation: int = 200_000):
+    #: The tokenizer's split of lower-cased text, with the classes' members below U+0100.
+    LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
+                       "[^\\t-\\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+    def __init__(self, definition: str, generation: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.generation = Tokenizer.from_str(definition), generation
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        merges, letters = self.tokenizer.model.tokenize, _byte_letters()
+
+        class Known(dict):
+            old: dict = {}
+
+            def __missing__(self, key):
+                ids = self.old.get(key)
+                if ids is None:
+                    ids = self.find(key)
+                if len(key) <= 64:
+                    if len(self) >= generation:
+                        self.old = dict(self)
+                        self.clear()
+                    self[key] = ids
+                return ids
+
+        def word(piece: str) -> bytes:
+            found = merges(piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(letters))
+            return pack(f"<{len(found)}I", *[t.id for t in found])
+
+        def part(piece: bytes) -> bytes:
+            found = self.tokenizer.encode(piece.decode("utf-8"), add_special_tokens=False).ids
+            return pack(f"<{len(found)}I", *found)
+
+        self.words, self.parts = Known(), Known()
+        self.words.find, self.parts.find = word, part
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.encode("utf-8").split()
-        unknown = {w for w in words if w not in self.young}
-        if unknown:
-            if len(self.young) + len(unknown) > self.generation:
-                self.young, self.old = {}, self.young
-                unknown = set(words)
-            fresh = []
-            for w in unknown:
-                known = self.old.get(w)
-                if known is None:
-                    fresh.append(w)
-                else:
-                    self.young[w] = known
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)):
-                self.young[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return b"".join(map(self.young.__getitem__, words))
+        if (text.isascii() or max(text) < "\u0100") and not any(s in text for s in self.special):
+            return b"".join(map(self.words.__getitem__, self.LATIN.findall(text.lower())))
+        return b"".join(map(self.parts.__getitem__, text.encode("utf-8").split()))
 
 
 #: The tokenizer of this Python worker: later tasks find the words.
@@ -199,7 +227,7 @@ def pack_documents(
             _tokenizers.clear()
             _tokenizers[key] = WordTokens(shipped.value)
         encode, part, seen = _tokenizers[key].encode, TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, starts = [], []
             queues = batch.column(2).to_pylist()
             for text, queue in zip(batch.column(1).to_pylist(), queues):
@@ -220,10 +248,12 @@ def pack_documents(
     phases = spark.sparkContext.broadcast(plan([totals[n] for n in names], [weights.get(n, 0.0) for n in names] if weights else None, window))
     numbers = {n: i for i, n in enumerate(names)}
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    bases = written(parts.select("queue", "part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")), "packing-bases")
+    if bases.count() <= MAX_BROADCAST_ROWS:  # a row for each queue and partition; else the ids are shuffled
+        bases = F.broadcast(bases)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc, queue, begin, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 for start, length, sequence, offset in pieces(phases.value, numbers[queue], begin, n):
