@@ -52,6 +52,18 @@ def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scores, F.coalesce(rest == 0, F.lit(False)))
 
 
+def op6_pstable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(common.embeddings(spark, sf_dir))
+
+
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ann import search
+
+    return search(common.embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
+
+
 def op9_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from graphloom.llm.bpe import encode_documents
@@ -66,7 +78,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nnpu_toxicity, op2_line_runs, op3_mixture_packing, op4_blob_ledger, op5_additive_quality, op9_fst_bpe, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_nnpu_toxicity, op2_line_runs, op3_mixture_packing, op4_blob_ledger, op5_additive_quality, op6_pstable_dedup, op8_additive_quantisation, op9_fst_bpe, op10_hash_tree_shards)}
 
 
 LINES_SQL = r"""
