@@ -58,6 +58,12 @@ def op6_pstable_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.embeddings(spark, sf_dir))
 
 
+def op7_universe_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.shingle_join import join_documents
+
+    return join_documents(common.documents(spark, sf_dir))
+
+
 def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.ann import search
 
@@ -78,7 +84,7 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nnpu_toxicity, op2_line_runs, op3_mixture_packing, op4_blob_ledger, op5_additive_quality, op6_pstable_dedup, op8_additive_quantisation, op9_fst_bpe, op10_hash_tree_shards)}
+    return {f.__name__: f for f in (op1_nnpu_toxicity, op2_line_runs, op3_mixture_packing, op4_blob_ledger, op5_additive_quality, op6_pstable_dedup, op7_universe_partition_join, op8_additive_quantisation, op9_fst_bpe, op10_hash_tree_shards)}
 
 
 LINES_SQL = r"""
