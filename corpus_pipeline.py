@@ -1,12 +1,70 @@
-"""The corpus pipeline: quality, line dedup, near-duplicates, secrets, packing."""
+"""The corpus pipeline: quality, line dedup, near-duplicates, secrets, packing.
+
+Each stage takes the documents that the stage before kept, and all but the last return the
+columns of ``documents``; ``n_chars`` follows the text.  A stage's decisions are in its rows:
+rejected documents and copies are gone, repeated lines are cut out, secrets are replaced.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import common, line_dedup, packing, quality, secrets, shingle_join
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: No SQL has the classifier's trees or the tokenizer's merges.
 ORACLE_SQL = None
 
 
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.3 or more stay.  Labels of the held-out fold are not read."""
+    labels = common.labels(spark, sf_dir).select("doc_id", "quality")
+    scores = quality.score_documents(docs.select("doc_id", "text"), labels, common.id_text_remainder("doc_id", 5) != 0)
+    rejected = scores.filter(F.col("score") < 0.3).select(F.col("doc_id").alias("rejected")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected"]), "left_anti").select(*COLUMNS)
+
+
+def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document has are cut out; documents stay, even if nothing is left of them."""
+    return _columns(line_dedup.dedup_lines(docs.select(*COLUMNS)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near-duplicates stays; texts without words are no group."""
+    found = shingle_join.join_documents(docs.select("doc_id", "text"))
+    copies = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind; all documents stay."""
+    return _columns(secrets.redact_documents(docs.select(*COLUMNS)))
+
+
+def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a training sequence."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_runs", line_runs),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixture_packing", mixture_packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each one's rows are written and read again by the next."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
