@@ -1,52 +1,65 @@
 """From buckets of candidates to components, without all pairs of a large bucket.
 
 Rows of a bucket may be similar; whether two are is for the caller's exact check.  Small
-buckets give all their pairs.  A large bucket first gives stars: all members against one of
-them.  After each round the links found so far are made into components, and only large
-buckets with more than one component go on, with another member as the centre; after some
-rounds what is left is compared in full across components.  So no link between members of
-one bucket is lost to the size of the bucket: two members end in one component, or were
-compared.
+buckets give all their pairs.  A large bucket first gives stars: members against a centre,
+and each member against one centre only in a round.  After each round the links found so
+far are made into components, and only buckets with more than one component go on, with
+another centre; after some rounds what is left is compared in full across components.  So
+no link between members of one bucket is lost to the size of the bucket: two members end in
+one component, or were compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 from graphloom.llm.graph import components
 
+Verify = Callable[[DataFrame], DataFrame]
 
-def resolve(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = 16, rounds: int = 3) -> DataFrame:
-    """(id, component) of the ids that are linked; ``verify`` takes pairs (a, b), a < b, and returns those linked."""
-    rows = buckets.select("bucket", "id")
-    sizes = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("n")).filter("centre < last")
-    shared = written(rows.join(sizes.select("bucket", "centre", "n"), "bucket"), "buckets")
-    return resolve_shared(shared, verify, small, rounds)
 
+def with_centres(buckets: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` (bucket, id, ...) that have several ids, with their smallest id and number of rows."""
+    sizes = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("n")).filter("centre < last")
+    return buckets.join(sizes.select("bucket", "centre", "n"), "bucket")
 
-def resolve_shared(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], small: int = 16, rounds: int = 3) -> DataFrame:
-    """As :func:`resolve`, from the rows (bucket, id, centre, n) of buckets with several ids; read several times."""
-    few, large = shared.filter(F.col("n") <= small), shared.filter(F.col("n") > small)
-    pairs = few.alias("x").join(few.alias("y"), "bucket").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    stars = large.filter("centre < id").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    links = written(verify(written(pairs.unionAll(stars).distinct(), "pairs")), "links")
+
+def resolve(shared: DataFrame, verify: Verify, small: int = 16, rounds: int = 4, plausible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(id, component) of the ids that are linked.
+
+    ``shared``: written rows (bucket, id, centre, n), with ``plausible`` also sketch.
+    ``verify`` takes distinct pairs (a, b), a < b, and returns those linked.  ``plausible``
+    judges two sketches; pairs of small buckets that it rules out are not verified.
+    """
+    large = shared.filter(F.col("n") > small)
+    pairs = large.filter("centre < id").groupBy("id").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    if small > 1:
+        few = shared.filter(F.col("n") <= small)
+        met = few.alias("x").join(few.alias("y"), "bucket").filter("x.id < y.id")
+        if plausible:
+            met = met.filter(plausible(F.col("x.sketch"), F.col("y.sketch")))
+        pairs = pairs.unionAll(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
+    links = written(verify(pairs), "links")
     placed = written(components(links), "placed")
-    for turn in range(rounds + 1):
-        open_ = large.select("bucket", "id").join(placed, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        torn = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("id", F.xxhash64("id", F.lit(turn))).alias("centre")).filter("low < high")
-        open_ = written(open_.join(torn, "bucket"), "torn")
-        if open_.isEmpty():
+    for turn in range(1, rounds + 1):
+        rows = large.select("bucket", "id").join(placed, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        centre = F.min_by(F.struct("id", "component"), F.xxhash64("component", "id", F.lit(turn)))
+        torn = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre.alias("centre")).filter("low < high")
+        torn = written(rows.join(torn.select("bucket", "centre.id", "centre.component").toDF("bucket", "centre", "own"), "bucket"), "torn")
+        if torn.isEmpty():
             break
         if turn < rounds:
-            middle = open_.filter("id = centre").select("bucket", F.col("component").alias("own")).distinct()
-            again = open_.join(middle, "bucket").filter("component <> own").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+            apart = torn.filter("component <> own").groupBy("id").agg(F.min("centre").alias("centre"))
+            again = apart.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         else:
-            x, y = open_.alias("x"), open_.alias("y")
-            again = x.join(y, "bucket").filter("x.id < y.id and x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        links = written(links.unionAll(verify(written(again.distinct(), "pairs"))), "links")
-        placed = written(components(links), "placed")
+            across = torn.alias("x").join(torn.alias("y"), "bucket").filter("x.id < y.id and x.component <> y.component")
+            again = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        more = written(verify(again), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            placed = written(components(links), "placed")
     return placed

@@ -3,8 +3,8 @@
 For unit vectors a cosine is a Euclidean distance, and ``floor((a.x + b) / width)`` with a
 Gaussian ``a`` puts close vectors into one cell the likelier the closer they are.  A table's
 bucket is the cells of several such projections; there are enough tables that a pair at the
-threshold meets in one of them with the asked-for chance.  Pairs that met are checked by
-their exact cosine.
+threshold meets in one of them with the asked-for chance.  Pairs that met by chance are
+mostly told from 64 signs of further projections, the others by their exact cosine.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.buckets import resolve
+from graphloom.llm.buckets import resolve, with_centres
 from graphloom.llm.common import written
 from graphloom.llm.textscan import mixed
 from graphloom.llm.vectors import common_length, matrix, usable
@@ -37,6 +37,12 @@ def parameters(n: int, cosine: float, chance: float = 0.99, width: float = 2.2)
     return projections, math.ceil(math.log(1 - chance) / math.log(1 - near**projections))
 
 
+def most_signs(cosine: float, deviations: float = 5.0) -> int:
+    """Of 64 random hyperplanes, as many as may part a pair at the threshold (about one in three million is parted by more)."""
+    share = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.ceil(64 * share + deviations * math.sqrt(64 * share * (1 - share)))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 11, block: int = 2_048) -> DataFrame:
     """A row for each row of ``vectors`` (vec_id, embedding): vec_id, n_links (other vectors
     with a cosine of at least ``cosine``), component_id (smallest vec_id that links reach)
@@ -63,10 +69,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 11, blo
     rng = np.random.default_rng(seed)
     width = 2.2
     drawn = spark.sparkContext.broadcast((rng.normal(size=(max(length, 1), projections * tables)), rng.uniform(0, width, projections * tables),
-                                          rng.integers(1, 1 << 62, (tables, projections), dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+                                          rng.integers(1, 1 << 62, (tables, projections), dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.normal(size=(max(length, 1), 64))))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, odd = drawn.value
+        a, b, odd, signs = drawn.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -74,7 +80,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 11, blo
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 cells = np.floor((x @ a + b) / width).astype(np.int64).view(np.uint64).reshape(len(x), tables, projections)
                 bucket = mixed((cells * odd[None]).sum(2) + np.arange(tables, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), tables))], ["bucket", "id"])
+                sketch = np.packbits(x @ signs > 0, axis=1).view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), *(pa.array(np.repeat(v, tables)) for v in (part.column(0).to_numpy(), sketch))], ["bucket", "id", "sketch"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +96,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 11, blo
         both = pairs.join(unit.select(F.col("id").alias("a"), F.col("embedding").alias("x")), "a").join(unit.select(F.col("id").alias("b"), F.col("embedding").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
-    placed = resolve(reps.select("id", "embedding").mapInArrow(hashes, "bucket long, id long"), verify)
+    met = with_centres(reps.select("id", "embedding").mapInArrow(hashes, "bucket long, id long, sketch long"))
+    placed = resolve(written(met, "vector-buckets"), verify, plausible=lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most_signs(cosine))
     counted = _count_links(reps, placed, verify, cosine, length, block)
     found = (
         members.select("vec_id", "id").distinct()

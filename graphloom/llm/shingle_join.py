@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.buckets import resolve_shared
+from graphloom.llm.buckets import resolve, with_centres
 from graphloom.llm.common import shuffle_partitions, written
 from graphloom.llm.graph import components
 from graphloom.llm.textscan import SPACE, mixed, slices
@@ -283,8 +283,7 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     needy = hot.groupBy("id", band.alias("band")).agg(F.count("*").alias("n"), F.max(spare).alias("spare")).filter("n > spare").select("id", "band")
     hot = hot.withColumn("band", band).join(needy, ["id", "band"], "left_semi")
     shared = runs.filter("not hot").select("bucket", "id").distinct().unionAll(hot.select("bucket", "id"))
-    sizes = shared.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("n")).filter("centre < last")
-    shared = written(shared.join(sizes.select("bucket", "centre", "n"), "bucket"), "shingle-buckets")
+    shared = written(with_centres(shared), "shingle-buckets")
     cells = written(components(shared.filter("centre < id").select(F.col("centre").alias("a"), F.col("id").alias("b"))), "shingle-cells")
     weights = cells.groupBy("component").agg(F.count("*").alias("members"))
     cells = written(cells.join(weights, "component"), "shingle-cells")
@@ -342,11 +341,11 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    large = large.select("id", "shingles").dropDuplicates(["id"])
+    large = written(large.groupBy("id").agg(F.any_value("shingles").alias("shingles")), "shingle-large")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(large.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    rest = shared.join(cells.filter(F.col("members") > cell_limit).select("id"), "id", "left_semi")
-    return written(settled.unionAll(resolve_shared(rest, verify)), "shingle-components")
+    rest = written(shared.join(cells.filter(F.col("members") > cell_limit).select("id"), "id", "left_semi"), "shingle-rest")
+    return written(settled.unionAll(resolve(rest, verify, small=0)), "shingle-components")
