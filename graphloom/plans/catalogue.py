@@ -413,7 +413,7 @@ def rrf_fuse(spark, d):
 
 @query()
 def brief_topn(spark, d):
-    return search.brief(a.symbols(spark, d), salience_project(spark, d), "update the supplier metals")
+    return search.brief(a.symbols(spark, d), salience_project(spark, d), "the supplier")
 
 
 @query(using("sentences", "SELECT * FROM sentences"))
@@ -421,7 +421,7 @@ def sentences(spark, d):
     return memory.sentences(a.messages(spark, d))
 
 
-@query(using("classified", "SELECT conv_id, turn, role, at, sentence, category, confidence FROM classified"))
+@query(using("classified", "SELECT conv_id, turn, role, \"at\", sentence, category, confidence FROM classified"))
 def classify(spark, d):
     return memory.classify(sentences(spark, d), CUES)
 
@@ -432,10 +432,10 @@ def entity_counts(spark, d):
 
 
 _KEYED = """keyed AS (SELECT *, substr(trim(regexp_replace(lower(sentence), '[^a-z0-9_\\s]', '', 'g')), 1, 80) AS key FROM classified),
-dedup AS (SELECT conv_id, turn, at, category, confidence, sentence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY confidence DESC, turn, at) AS r FROM keyed) WHERE r = 1)"""
+dedup AS (SELECT conv_id, turn, "at", category, confidence, sentence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY confidence DESC, turn, "at") AS r FROM keyed) WHERE r = 1)"""
 
 
-@query(_then("classified", _KEYED, "SELECT conv_id, turn, at, category, confidence FROM dedup"))
+@query(_then("classified", _KEYED, "SELECT conv_id, turn, \"at\", category, confidence FROM dedup"))
 def dedup_entries(spark, d):
     return memory.dedup(classify(spark, d)).select("conv_id", "turn", "at", "category", "confidence")
 
@@ -443,21 +443,21 @@ def dedup_entries(spark, d):
 _STOPS = "[" + ", ".join(f"'{w}'" for w in predicates.STOP_WORDS) + "]"
 _WORDS = f"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(sentence), '[^a-z0-9_\\s]', '', 'g')), '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w)))"
 _OPEN = _KEYED + f""", q AS (SELECT *, {_WORDS} AS words FROM dedup), answered AS (
-  SELECT DISTINCT x.conv_id, x.turn, x.at FROM q x JOIN q y ON x.conv_id = y.conv_id AND y.turn > x.turn
+  SELECT DISTINCT x.conv_id, x.turn, x."at" FROM q x JOIN q y ON x.conv_id = y.conv_id AND y.turn > x.turn
   WHERE x.category = 'open_question' AND y.category IN ('decision', 'conclusion') AND len(x.words) >= 2 AND len(list_intersect(x.words, y.words)) >= greatest(2, floor(len(x.words) * 0.4))),
-open_ AS (SELECT * FROM dedup d WHERE NOT (category = 'open_question' AND EXISTS (SELECT 1 FROM answered a WHERE a.conv_id = d.conv_id AND a.turn = d.turn AND a.at = d.at)))"""
+open_ AS (SELECT * FROM dedup d WHERE NOT (category = 'open_question' AND EXISTS (SELECT 1 FROM answered a WHERE a.conv_id = d.conv_id AND a.turn = d.turn AND a."at" = d."at")))"""
 
 
-@query(_then("classified", _OPEN, "SELECT conv_id, turn, at, category FROM open_"))
+@query(_then("classified", _OPEN, "SELECT conv_id, turn, \"at\", category FROM open_"))
 def resolve_questions(spark, d):
     return memory.open_questions(memory.dedup(classify(spark, d))).select("conv_id", "turn", "at", "category")
 
 
 @query(_then("classified", _OPEN + """, sized AS (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1),
 ordered AS (SELECT o.*, messages, list_position(['decision', 'error', 'conclusion', 'code_change', 'open_question'], category) AS p,
-            row_number() OVER (PARTITION BY conv_id, category ORDER BY confidence DESC, turn, at) = 1 AS reserved FROM open_ o JOIN sized USING (conv_id)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reserved DESC, p, confidence DESC, turn, at) AS place FROM ordered)""",
-    "SELECT conv_id, turn, at, category, place FROM placed WHERE reserved OR place <= least(15, greatest(5, messages))"))
+            row_number() OVER (PARTITION BY conv_id, category ORDER BY confidence DESC, turn, "at") = 1 AS reserved FROM open_ o JOIN sized USING (conv_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reserved DESC, p, confidence DESC, turn, "at") AS place FROM ordered)""",
+    "SELECT conv_id, turn, \"at\", category, place FROM placed WHERE reserved OR place <= least(15, greatest(5, messages))"))
 def budget_per_category(spark, d):
     kept = memory.within_budget(memory.open_questions(memory.dedup(classify(spark, d))), a.messages(spark, d))
     return kept.select("conv_id", "turn", "at", "category", "place")
@@ -564,7 +564,7 @@ def enclosing_span(spark, d):
     return linking.enclosing(sites, spans.withColumn("pos", F.col("id")))
 
 
-@query(using("symbols", """, sites AS (SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE p_brand || '::' || p_name END AS callee_name, 'Brand#' || (l_suppkey % 5 + 1) || (l_partkey % 5 + 1) AS caller_scope
+@query(using("symbols", """, sites AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS site, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE p_brand || '::' || p_name END AS callee_name, 'Brand#' || (l_suppkey % 5 + 1) || (l_partkey % 5 + 1) AS caller_scope
   FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2),
 full_ AS (SELECT qualified_name AS q, arg_max(id, id) AS full_id FROM symbols GROUP BY 1),
 cand AS (SELECT site, callee_name, caller_scope, s.id, s.scope, s.qualified_name FROM (SELECT *, CASE WHEN callee_name IN (SELECT name FROM symbols) THEN callee_name ELSE list_extract(string_split(callee_name, '::'), -1) END AS n FROM sites) t LEFT JOIN symbols s ON s.name = t.n),
@@ -577,8 +577,8 @@ def call_resolution(spark, d):
     parts = a.table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
     lines = a.table(spark, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     sites = lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("site"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws("::", "p_brand", "p_name")).alias("callee_name"),
-        F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_partkey") % 5 + 1).cast("string")).alias("caller_scope"))
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("site"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws("::", "p_brand", "p_name")).alias("callee_name"),
+        F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_partkey") % 5 + 1).cast("string")).alias("caller_scope")).distinct()
     return linking.resolve_calls(sites, a.symbols(spark, d).withColumn("pos", F.col("id")))
 
 

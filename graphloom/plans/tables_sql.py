@@ -48,11 +48,11 @@ TABLES = {
     SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed'
            WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'fresh' END AS change FROM old_stamps a FULL JOIN new_stamps b ON a.path = b.path""",
     "sentences": r"""
-    SELECT conv_id, turn, role, CAST(at - 1 AS INTEGER) AS at, trim(raw) AS sentence FROM (
-        SELECT conv_id, turn, role, unnest(parts) AS raw, generate_subscripts(parts, 1) AS at
+    SELECT conv_id, turn, role, CAST("at" - 1 AS INTEGER) AS "at", trim(raw) AS sentence FROM (
+        SELECT conv_id, turn, role, unnest(parts) AS raw, generate_subscripts(parts, 1) AS "at"
         FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations)) WHERE trim(raw) <> ''""",
     "classified": """
-    SELECT conv_id, turn, role, at, sentence, category, confidence FROM (
+    SELECT conv_id, turn, role, "at", sentence, category, confidence FROM (
         SELECT *, CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 'decision' WHEN contains(low, 'ingth') THEN 'error' WHEN contains(low, 'blewh') THEN 'conclusion'
                        WHEN contains(low, 'with') THEN 'open_question' END AS category,
                CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 0.9 WHEN contains(low, 'ingth') THEN 0.85 WHEN contains(low, 'blewh') THEN 0.8
