@@ -14,9 +14,12 @@ decide: a segment without shingles would meet everything and gets nothing; other
 at one signature each; where too few are left, the sets' smallest segments, cheapest in
 neighbours, of a few set aside get two.  The number of segments has room for that.
 
-A signature that many sets share costs nothing to sets that have enough others: if either
-set of a pair does, the pair shares one of these.  Only sets that depend on frequent
-signatures (as those of a large group of near copies do) are compared within them.
+A set has more signatures than it needs, and a similar partner shares all that it could do
+without, and one more: pairs that share fewer are dropped before any comparison.  A
+signature that many sets share is not counted, and costs nothing to sets that have enough
+others: if either set of a pair does, the pair shares one of these.  Only sets that depend
+on frequent signatures (as those of a large group of near copies do) are compared within
+them.
 
 Sets that share signatures, directly or by others, form a cell.  A cell's sets are brought
 together once and linked there exactly; cells too large for a task go through stars and
@@ -156,27 +159,43 @@ def _signed(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, id long, meta int")
 
 
+def _counted(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (a, b, band, spare of a, spare of b, n) with those of the same pair and band added up."""
+    a, b, band, spare_a, spare_b, n = rows
+    order = np.lexsort((band, b, a))
+    a, b, band, spare_a, spare_b, n = (x[order] for x in rows)
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(band) != 0)
+    at = np.flatnonzero(new)
+    return [a[at], b[at], band[at], spare_a[at], spare_b[at], np.add.reduceat(n, at) if len(at) else n]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by bucket and id: those of buckets with several ids.
+    """From rows sorted by bucket and id: the pairs that meet in rare buckets, with how often,
+    and the rows of frequent ones (hot; a is the bucket, b the id, n is 0).
 
-    ``hot`` rows keep their bucket; the others' bucket is a hash of its members, so that
-    buckets of the same members are one.  Holds a batch and at most a few rows of the last.
+    Holds a batch, the last bucket's rows if they are few, and a bounded number of pairs.
     """
     held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
-    going: tuple[int, int] | None = None  # bucket and last id of a hot run that goes on
-    known: set[int] = set()
+    going: tuple[int, int] | None = None  # bucket and last id of a frequent bucket that goes on
+    pairs: list[list[np.ndarray]] = []
+    waiting = 0
+
+    def emit(rows, hot):
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), *[pa.int32()] * 4))), pa.array(np.full(len(rows[0]), hot))],
+                                          ["a", "b", "band", "spare_a", "spare_b", "n", "hot"])
 
-    def emit(bucket, ids, meta, hot):
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids), pa.array(meta), pa.array(hot)], ["bucket", "id", "meta", "hot"])
+    def emit_hot(bucket, ids, meta):
+        return emit([bucket, ids, meta & 63, meta >> 6, meta >> 6, np.zeros(len(ids), np.int32)], True)
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, going
+        nonlocal held, going, pairs, waiting
         bucket, ids, meta = held
         if going and len(bucket):
             run = int(np.searchsorted(bucket, going[0], "right"))
             if run:
                 fresh = np.diff(ids[:run], prepend=going[1]) != 0
-                yield emit(bucket[:run][fresh], ids[:run][fresh], meta[:run][fresh], np.ones(int(fresh.sum()), bool))
+                yield emit_hot(bucket[:run][fresh], ids[:run][fresh], meta[:run][fresh])
                 going = (going[0], int(ids[run - 1]))
                 bucket, ids, meta = bucket[run:], ids[run:], meta[run:]
             if len(bucket):
@@ -194,32 +213,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     keep = int(starts[-1])
                     starts, sizes = starts[:-1], sizes[:-1]
-            size = np.repeat(sizes, sizes)
-            hot = size > FREQUENT
+            hot = np.repeat(sizes > FREQUENT, sizes)
             if hot.any():
-                yield emit(bucket[:keep][hot], ids[:keep][hot], meta[:keep][hot], np.ones(int(hot.sum()), bool))
-            few = (sizes > 1) & (sizes <= FREQUENT)
-            if few.any():
-                names = np.add.reduceat(mixed(ids[:keep].view(np.uint64)), starts)[few].view(np.int64)
-                new = np.zeros(len(names), bool)
-                for i, name in enumerate(names.tolist()):
-                    if name not in known:
-                        known.add(name)
-                        new[i] = True
-                if len(known) > 1_000_000:  # repeats do no harm
-                    known.clear()
-                chosen = few.copy()
-                chosen[few] = new
-                rows = np.repeat(chosen, sizes)
-                if new.any():
-                    yield emit(np.repeat(names[new], sizes[chosen]), ids[:keep][rows], meta[:keep][rows], np.zeros(int(rows.sum()), bool))
+                yield emit_hot(bucket[:keep][hot], ids[:keep][hot], meta[:keep][hot])
+            for size in range(2, FREQUENT + 1):
+                first = starts[sizes == size]
+                if len(first):
+                    for i in range(size):
+                        for j in range(i + 1, size):
+                            x, y = first + i, first + j
+                            pairs.append([ids[x], ids[y], meta[x] & 63, meta[x] >> 6, meta[y] >> 6, np.ones(len(x), np.int32)])
+                            waiting += len(x)
             bucket, ids, meta = bucket[keep:], ids[keep:], meta[keep:]
         held = [bucket, ids, meta]
+        if waiting > 2_000_000:
+            merged = _counted([np.concatenate(c) for c in zip(*pairs)])
+            if len(merged[0]) > 1_000_000:
+                yield emit(merged, False)
+                merged = [c[:0] for c in merged]
+            pairs, waiting = [merged], len(merged[0])
 
     for batch in batches:
         held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
         yield from work(False)
     yield from work(True)
+    if pairs:
+        yield emit(_counted([np.concatenate(c) for c in zip(*pairs)]), False)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -277,12 +296,20 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     """(id, component) of the classes that are linked with others."""
     spark = texts.sparkSession
     signed = _signed(texts, width, bands)
-    runs = written(signed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_runs, "bucket long, id long, meta int, hot boolean"), "shingle-runs")
-    band, spare = F.col("meta").bitwiseAND(63), F.shiftright("meta", 6)
-    hot = runs.filter("hot")
-    needy = hot.groupBy("id", band.alias("band")).agg(F.count("*").alias("n"), F.max(spare).alias("spare")).filter("n > spare").select("id", "band")
-    hot = hot.withColumn("band", band).join(needy, ["id", "band"], "left_semi")
-    shared = runs.filter("not hot").select("bucket", "id").distinct().unionAll(hot.select("bucket", "id"))
+    runs = written(signed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "id")
+                   .mapInArrow(_runs, "a long, b long, band int, spare_a int, spare_b int, n int, hot boolean"), "shingle-runs", "hot")
+    hot = runs.filter("hot").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "band", F.col("spare_a").alias("spare"))
+    frequent = written(hot.groupBy("id", "band").agg(F.count("*").alias("lost"), F.max("spare").alias("spare")), "shingle-frequent")
+    needy = frequent.filter("lost > spare").select("id", "band")
+    # of a set's signatures its similar partners share more than it could do without; less those among the frequent
+    pairs = runs.filter("not hot").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
+    for side in ("a", "b"):
+        pairs = pairs.join(frequent.select(F.col("id").alias(side), "band", F.col("lost").alias(f"lost_{side}")), [side, "band"], "left")
+    shares = lambda side: F.col(f"spare_{side}") - F.coalesce(f"lost_{side}", F.lit(0))
+    pairs = pairs.filter(F.col("n") > F.greatest(shares("a"), shares("b"))).select("a", "b").distinct()
+    hot = hot.join(needy, ["id", "band"], "left_semi").select("bucket", "id")
+    name = F.xxhash64("a", "b")
+    shared = pairs.select(name.alias("bucket"), F.explode(F.array("a", "b")).alias("id")).unionAll(hot)
     shared = written(with_centres(shared), "shingle-buckets")
     cells = written(components(shared.filter("centre < id").select(F.col("centre").alias("a"), F.col("id").alias("b"))), "shingle-cells")
     weights = cells.groupBy("component").agg(F.count("*").alias("members"))
