@@ -216,26 +216,33 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot = np.repeat(sizes > FREQUENT, sizes)
             if hot.any():
                 yield emit_hot(bucket[:keep][hot], ids[:keep][hot], meta[:keep][hot])
-            for size in range(2, FREQUENT + 1):
-                first = starts[sizes == size]
-                if len(first):
-                    for i in range(size):
-                        for j in range(i + 1, size):
-                            x, y = first + i, first + j
-                            pairs.append([ids[x], ids[y], meta[x] & 63, meta[x] >> 6, meta[y] >> 6, np.ones(len(x), np.int32)])
-                            waiting += len(x)
-            bucket, ids, meta = bucket[keep:], ids[keep:], meta[keep:]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= FREQUENT)]).tolist():
+                i, j = np.triu_indices(size, 1)
+                first = starts[sizes == size][:, None]
+                left.append((first + i).ravel())
+                right.append((first + j).ravel())
+            x, y = np.concatenate(left), np.concatenate(right)
+            if len(x):
+                pairs.append([ids[x], ids[y], meta[x] & 63, meta[x] >> 6, meta[y] >> 6, np.ones(len(x), np.int32)])
+                waiting += len(x)
+            bucket, ids, meta = (c[keep:].copy() for c in (bucket, ids, meta))
         held = [bucket, ids, meta]
-        if waiting > 2_000_000:
+        if waiting > 1_000_000:
             merged = _counted([np.concatenate(c) for c in zip(*pairs)])
-            if len(merged[0]) > 1_000_000:
+            if len(merged[0]) > 500_000:
                 yield emit(merged, False)
                 merged = [c[:0] for c in merged]
             pairs, waiting = [merged], len(merged[0])
 
+    coming: list[pa.RecordBatch] = []
     for batch in batches:
-        held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
-        yield from work(False)
+        coming.append(batch)
+        if sum(b.num_rows for b in coming) >= 100_000:
+            held = [np.concatenate([h, *(b.column(i).to_numpy() for b in coming)]) for i, h in enumerate(held)]
+            coming = []
+            yield from work(False)
+    held = [np.concatenate([h, *(b.column(i).to_numpy() for b in coming)]) for i, h in enumerate(held)]
     yield from work(True)
     if pairs:
         yield emit(_counted([np.concatenate(c) for c in zip(*pairs)]), False)
