@@ -92,7 +92,8 @@ def with_symbols(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
     joined = entries.join(lists, "conv_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<order:int,entity:string,symbol:string>>")))
     present = F.filter("words", lambda w: F.contains(F.col("sentence"), w["entity"]))
     replaced = F.aggregate("words", F.col("sentence"), lambda s, w: F.replace(s, w["entity"], w["symbol"]))
-    return joined.select("conv_id", "turn", "role", "at", replaced.alias("sentence"), "category", "confidence", F.transform(present, lambda w: w["symbol"]).alias("refs"))
+    marked = joined.withColumn("refs", F.transform(present, lambda w: w["symbol"]))
+    return marked.withColumn("sentence", replaced).select("conv_id", "turn", "role", "at", "sentence", "category", "confidence", "refs")
 
 
 def dedup_key(text: Column) -> Column:
