@@ -90,7 +90,7 @@ def train(x: np.ndarray, books: int = 8, entries: int = 256, rounds: int = 8, re
 
 def search(
     vectors: DataFrame, is_query, k: int = 20, books: int = 8, sample: int = 8_192, block_rows: int = 8_192,
-    query_rows: int = 32_768, rerank: int = 512,
+    query_rows: int = 32_768, rerank: int = 1_024,
 ) -> DataFrame:
     """The ``k`` nearest rows, by inner product, of each row of ``vectors`` (vec_id, embedding) where ``is_query`` holds.
 
