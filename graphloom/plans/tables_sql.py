@@ -55,8 +55,8 @@ TABLES = {
     SELECT conv_id, turn, role, "at", sentence, category, confidence FROM (
         SELECT *, CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 'decision' WHEN contains(low, 'ingth') THEN 'error' WHEN contains(low, 'blewh') THEN 'conclusion'
                        WHEN contains(low, 'with') THEN 'open_question' END AS category,
-               CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 0.9 WHEN contains(low, 'ingth') THEN 0.85 WHEN contains(low, 'blewh') THEN 0.8
-                    WHEN contains(low, 'with') THEN 0.6 END AS confidence
+               CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 0.9e0 WHEN contains(low, 'ingth') THEN 0.85e0 WHEN contains(low, 'blewh') THEN 0.8e0
+                    WHEN contains(low, 'with') THEN 0.6e0 END AS confidence
         FROM (SELECT *, lower(sentence) AS low FROM sentences)) WHERE category IS NOT NULL""",
     "tokens": r"""
     SELECT id, unnest(list_distinct(list_concat(n, p))) AS token FROM (SELECT id, TOK(qualified_name) AS n, TOK(file) AS p FROM symbols)""",
