@@ -22,8 +22,8 @@ on frequent signatures (as those of a large group of near copies do) are compare
 them.
 
 Sets that share signatures, directly or by others, form a cell.  A cell's sets are brought
-together once and linked there exactly; cells too large for a task go through stars and
-rounds (:mod:`graphloom.llm.buckets`).
+together once and linked there exactly; cells too large for a task are linked in rounds of
+an edge per set, and what is still apart is compared after a test of sizes and parity bits.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.buckets import resolve, with_centres
 from graphloom.llm.common import shuffle_partitions, written
 from graphloom.llm.graph import components
 from graphloom.llm.textscan import SPACE, mixed, slices
@@ -172,21 +171,24 @@ def _counted(rows: list[np.ndarray]) -> list[np.ndarray]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by bucket and id: the pairs that meet in rare buckets, with how often,
-    and the rows of frequent ones (hot; a is the bucket, b the id, n is 0).
+    and the rows of frequent ones (hot; a is the bucket, b the id, centre its smallest id, n 0).
 
     Holds a batch, the last bucket's rows if they are few, and a bounded number of pairs.
     """
     held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
-    going: tuple[int, int] | None = None  # bucket and last id of a frequent bucket that goes on
+    going: tuple[int, int, int] | None = None  # bucket, smallest and last id of a frequent bucket that goes on
     pairs: list[list[np.ndarray]] = []
     waiting = 0
 
     def emit(rows, hot):
-        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), *[pa.int32()] * 4))), pa.array(np.full(len(rows[0]), hot))],
-                                          ["a", "b", "band", "spare_a", "spare_b", "n", "hot"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64()))), pa.array(np.full(len(rows[0]), hot))],
+                                          ["a", "b", "band", "spare_a", "spare_b", "n", "centre", "hot"])
 
-    def emit_hot(bucket, ids, meta):
-        return emit([bucket, ids, meta & 63, meta >> 6, meta >> 6, np.zeros(len(ids), np.int32)], True)
+    def emit_pairs(rows):
+        return emit([*rows, np.zeros(len(rows[0]), np.int64)], False)
+
+    def emit_hot(bucket, ids, meta, centre):
+        return emit([bucket, ids, meta & 63, meta >> 6, meta >> 6, np.zeros(len(ids), np.int32), centre], True)
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, going, pairs, waiting
@@ -194,9 +196,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if going and len(bucket):
             run = int(np.searchsorted(bucket, going[0], "right"))
             if run:
-                fresh = np.diff(ids[:run], prepend=going[1]) != 0
-                yield emit_hot(bucket[:run][fresh], ids[:run][fresh], meta[:run][fresh])
-                going = (going[0], int(ids[run - 1]))
+                fresh = np.diff(ids[:run], prepend=going[2]) != 0
+                yield emit_hot(bucket[:run][fresh], ids[:run][fresh], meta[:run][fresh], np.full(int(fresh.sum()), going[1]))
+                going = (*going[:2], int(ids[run - 1]))
                 bucket, ids, meta = bucket[run:], ids[run:], meta[run:]
             if len(bucket):
                 going = None
@@ -209,13 +211,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = len(bucket)
             if not last:
                 if sizes[-1] > FREQUENT:
-                    going = (int(bucket[-1]), int(ids[-1]))
+                    going = (int(bucket[-1]), int(ids[starts[-1]]), int(ids[-1]))
                 else:
                     keep = int(starts[-1])
                     starts, sizes = starts[:-1], sizes[:-1]
             hot = np.repeat(sizes > FREQUENT, sizes)
             if hot.any():
-                yield emit_hot(bucket[:keep][hot], ids[:keep][hot], meta[:keep][hot])
+                centre = np.repeat(ids[starts], sizes)
+                yield emit_hot(bucket[:keep][hot], ids[:keep][hot], meta[:keep][hot], centre[hot])
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for size in np.unique(sizes[(sizes > 1) & (sizes <= FREQUENT)]).tolist():
                 i, j = np.triu_indices(size, 1)
@@ -231,7 +234,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if waiting > 1_000_000:
             merged = _counted([np.concatenate(c) for c in zip(*pairs)])
             if len(merged[0]) > 500_000:
-                yield emit(merged, False)
+                yield emit_pairs(merged)
                 merged = [c[:0] for c in merged]
             pairs, waiting = [merged], len(merged[0])
 
@@ -245,7 +248,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [np.concatenate([h, *(b.column(i).to_numpy() for b in coming)]) for i, h in enumerate(held)]
     yield from work(True)
     if pairs:
-        yield emit(_counted([np.concatenate(c) for c in zip(*pairs)]), False)
+        yield emit_pairs(_counted([np.concatenate(c) for c in zip(*pairs)]))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -304,21 +307,18 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     spark = texts.sparkSession
     signed = _signed(texts, width, bands)
     runs = written(signed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "id")
-                   .mapInArrow(_runs, "a long, b long, band int, spare_a int, spare_b int, n int, hot boolean"), "shingle-runs", "hot")
-    hot = runs.filter("hot").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "band", F.col("spare_a").alias("spare"))
+                   .mapInArrow(_runs, "a long, b long, band int, spare_a int, spare_b int, n int, centre long, hot boolean"), "shingle-runs", "hot")
+    hot = runs.filter("hot").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "centre", "band", F.col("spare_a").alias("spare"))
     frequent = written(hot.groupBy("id", "band").agg(F.count("*").alias("lost"), F.max("spare").alias("spare")), "shingle-frequent")
-    needy = frequent.filter("lost > spare").select("id", "band")
     # of a set's signatures its similar partners share more than it could do without; less those among the frequent
     pairs = runs.filter("not hot").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
     for side in ("a", "b"):
         pairs = pairs.join(frequent.select(F.col("id").alias(side), "band", F.col("lost").alias(f"lost_{side}")), [side, "band"], "left")
     shares = lambda side: F.col(f"spare_{side}") - F.coalesce(f"lost_{side}", F.lit(0))
-    pairs = pairs.filter(F.col("n") > F.greatest(shares("a"), shares("b"))).select("a", "b").distinct()
-    hot = hot.join(needy, ["id", "band"], "left_semi").select("bucket", "id")
-    name = F.xxhash64("a", "b")
-    shared = pairs.select(name.alias("bucket"), F.explode(F.array("a", "b")).alias("id")).unionAll(hot)
-    shared = written(with_centres(shared), "shingle-buckets")
-    cells = written(components(shared.filter("centre < id").select(F.col("centre").alias("a"), F.col("id").alias("b"))), "shingle-cells")
+    pairs = pairs.filter(F.col("n") > F.greatest(shares("a"), shares("b"))).select("a", "b")
+    hot = written(_needing(hot, frequent.filter("lost > spare").select("id", "band"), most_sent), "shingle-hot")
+    edges = written(pairs.unionAll(hot.filter("centre < id").select("centre", "id")).distinct(), "shingle-edges")
+    cells = written(components(edges), "shingle-cells")
     weights = cells.groupBy("component").agg(F.count("*").alias("members"))
     cells = written(cells.join(weights, "component"), "shingle-cells")
     total = cells.count()
@@ -381,5 +381,105 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
         both = pairs.join(large.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    rest = written(shared.join(cells.filter(F.col("members") > cell_limit).select("id"), "id", "left_semi"), "shingle-rest")
-    return written(settled.unionAll(resolve(rest, verify, small=0)), "shingle-components")
+    ids = cells.filter(F.col("members") > cell_limit).select("id")
+    edges = written(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi"), "shingle-edges")
+    return written(settled.unionAll(_settle_large(edges, hot.select("bucket", "id"), large, verify, percent, most_sent)), "shingle-components")
+
+
+def _needing(hot: DataFrame, needy: DataFrame, most_sent: int) -> DataFrame:
+    """The rows of ``hot`` (bucket, id, centre, band) whose id and band are among ``needy``."""
+    if needy.count() > most_sent:
+        return hot.join(needy, ["id", "band"], "left_semi").select("bucket", "id", "centre")
+    name = lambda ids, bands: mixed(ids.view(np.uint64) + bands.astype(np.uint64))  # noqa: E731  a clash only keeps a row more
+    table = needy.toArrow()
+    sent = needy.sparkSession.sparkContext.broadcast(np.sort(name(table.column("id").to_numpy(), table.column("band").to_numpy())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(np.isin(name(batch.column(1).to_numpy(), batch.column(3).to_numpy()), sent.value))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["bucket", "id", "centre"])
+
+    return hot.select("bucket", "id", "centre", "band").mapInArrow(run, "bucket long, id long, centre long")
+
+
+def _labelled(rows: DataFrame, names: list[str], placed: DataFrame, most_sent: int) -> DataFrame:
+    """``rows`` (longs only) with the component of each of the id columns ``names``, as c_name; an id without one is its own."""
+    if placed.count() > most_sent:
+        for n in names:
+            rows = rows.join(placed.select(F.col("id").alias(n), F.col("component").alias(f"c_{n}")), n, "left").withColumn(f"c_{n}", F.coalesce(f"c_{n}", n))
+        return rows
+    table = placed.orderBy("id").toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), table.column("component").to_numpy()))
+    fields = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, component = sent.value
+        for batch in batches:
+            out = []
+            for n in names:
+                own = batch.column(fields.index(n)).to_numpy()
+                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                out.append(pa.array(np.where(known[at] == own, component[at], own) if len(known) else own))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*fields, *(f"c_{n}" for n in names)])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*fields, *(f"c_{n}" for n in names)]))
+
+
+def parities(found: np.ndarray) -> bytes:
+    """512 bits: for each the parity of the shingles hashed to it.  Two sets' bits differ in at most as many as their shingles."""
+    counts = np.bincount((mixed(found ^ np.uint64(0x0F0F)) >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, percent: int, most_sent: int, rounds: int = 4) -> DataFrame:
+    """(id, component) within cells too large for a task.
+
+    Rounds verify one candidate edge per set, as long as its ends are apart; then what is
+    left is compared: the edges whose ends are apart, and members of a frequent bucket
+    across components.  Sizes and parity bits rule out pairs that differ in too many
+    shingles, so that sets which share a passage only are not fetched.
+    """
+    links = written(verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+    placed = written(components(links), "placed")
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, placed
+        more = written(verify(pairs), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            placed = written(components(links), "placed")
+
+    for turn in range(rounds):
+        apart = _labelled(edges, ["a", "b"], placed, most_sent).filter("c_a <> c_b")
+        chosen = apart.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b")
+        chosen = written(chosen, "apart")
+        if chosen.isEmpty():
+            break
+        add(chosen)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            words = np.frombuffer(b"".join(parities(x) for x in sets), np.int64).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(8))],
+                                             ["id", "size", *(f"w{i}" for i in range(8))])
+
+    sketch = written(large.select("id", "shingles").mapInArrow(bits, "id long, size long, " + ", ".join(f"w{i} long" for i in range(8))), "shingle-bits")
+
+    def possible(x: str, y: str):
+        size = lambda s: F.col(f"{s}.size")
+        differing = sum(F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(8))
+        fits = 100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))
+        return fits & (differing * (100 + percent) <= (100 - percent) * (size(x) + size(y)))
+
+    rest = _labelled(edges, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b")
+    rest = rest.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id")).filter(possible("x", "y")).select("a", "b")
+    add(written(rest, "apart"))
+    marked = _labelled(hot, ["id"], placed, most_sent)
+    torn = marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket")
+    marked = written(marked.join(torn, "bucket", "left_semi").join(sketch, "id"), "torn")
+    if not marked.isEmpty():
+        x, y = marked.alias("x"), marked.alias("y")
+        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c_id") != F.col("y.c_id")) & possible("x", "y"))
+        add(written(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "apart"))
+    return placed
