@@ -130,6 +130,14 @@ def pieces(phases: list[Phase], queue: int, start: int, length: int) -> Iterator
         at = stop
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 stands for itself, the rest is numbered from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -184,7 +192,7 @@ class WordTokens:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if (text.isascii() or max(text) < "\u0100") and not any(s in text for s in self.special):
+        if _is_latin(text) and not any(s in text for s in self.special):
             return b"".join(map(self.words.__getitem__, self.LATIN.findall(text.lower())))
         return b"".join(map(self.parts.__getitem__, text.encode("utf-8").split()))
 
