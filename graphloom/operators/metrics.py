@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.identifiers import half_up
 from graphloom.functions.predicates import is_private, is_test_file, is_vendor, top_folder
-from graphloom.operators.graph import reach
 
 
 def _placed(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -47,11 +46,20 @@ def project_salience(edges: DataFrame, symbols: DataFrame, cross_weight: float =
 def attention(salience: DataFrame, adaptive_above: int = 1000, critical: float = 0.7, important: float = 0.3, peripheral: float = 0.05) -> DataFrame:
     """(id, score, level).  Above ``adaptive_above`` symbols the cuts are the scores of fixed places in the order.
 
-    The k-th score is the least of the k largest: a top-k, not a sort of all.
+    Scores have four decimals, so a histogram of at most 10,001 rows gives total and k-th
+    score in one pass, whatever the number of symbols.
     """
-    total = salience.count()
+    histogram = sorted(((r.score, r.n) for r in salience.groupBy("score").agg(F.count("*").alias("n")).collect()), reverse=True)
+    total = sum(n for _, n in histogram)
+
+    def at(k: int) -> float:
+        for score, n in histogram:
+            k -= n
+            if k <= 0:
+                return score
+        return 0.0
+
     if total > adaptive_above:
-        at = lambda k: salience.orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0]
         critical = max(at(min(max(50, int(total * 0.005)), total)), 0.01)
         important = max(min(at(min(max(200, int(total * 0.02)), total)), critical * 0.5), 0.001)
     s = F.col("score")
@@ -66,11 +74,22 @@ def attention_budget(levels: DataFrame) -> DataFrame:
 
 
 def coverage(edges: DataFrame, symbols: DataFrame, tests: DataFrame, hops: int = 2) -> DataFrame:
-    """(id, file, status, test_count): reached from a test within ``hops``; the count is of tests that call it directly."""
-    near = reach(edges, tests, hops).join(tests.select(F.col("id").alias("t")), F.col("id") == F.col("t"), "left_anti")
-    summed = near.groupBy("id").agg(F.count_if(F.col("distance") == 1).alias("test_count"))
-    rest = symbols.join(tests.select(F.col("id").alias("t")), F.col("id") == F.col("t"), "left_anti")
-    return rest.select("id", "file").join(summed, "id", "left").select(
+    """(id, file, status, test_count): reached from a test within ``hops``; the count is of tests that call it directly.
+
+    All tests walk together: the frontier is a set of symbols, not of pairs with a test.
+    """
+    step = edges.select("src", "dst").distinct()
+    roots = tests.select(F.col("id").alias("test")).distinct()
+    direct = step.join(roots, step["src"] == roots["test"]).filter("src <> dst").groupBy("dst").agg(F.count("*").alias("test_count"))
+    frontier = direct.select(F.col("dst").alias("here"))
+    onward = step.select(F.col("src").alias("from"), F.col("dst").alias("there"))
+    reached = direct.select("dst", "test_count")
+    for _ in range(1, hops):
+        frontier = frontier.join(onward, F.col("here") == F.col("from")).select(F.col("there").alias("here")).distinct()
+        reached = reached.unionAll(frontier.select("here", F.lit(0)))
+    reached = reached.groupBy("dst").agg(F.max("test_count").alias("test_count"))
+    rest = symbols.select("id", "file").join(roots, F.col("id") == F.col("test"), "left_anti")
+    return rest.join(reached, F.col("id") == F.col("dst"), "left").select(
         "id", "file", F.when(F.col("test_count").isNotNull(), "covered").otherwise("none").alias("status"), F.coalesce("test_count", F.lit(0)).alias("test_count"))
 
 
