@@ -316,9 +316,9 @@ def token_df(spark, d):
     return search.token_frequency(a.symbols(spark, d))
 
 
-@query(using("token_df", "SELECT token, df, ln(1 + ((SELECT count(*) FROM symbols) - df + 0.5) / (df + 0.5)) AS idf FROM token_df"))
+@query(using("token_df", "SELECT token, df, floor(ln(1 + ((SELECT count(*) FROM symbols) - df + 0.5) / (df + 0.5)) * 1000000 + 0.5) / 1000000 AS idf FROM token_df"))
 def token_idf(spark, d):
-    return search.token_idf(a.symbols(spark, d))
+    return search.token_idf(a.symbols(spark, d)).withColumn("idf", ids.half_up(F.col("idf"), 6))
 
 
 _FORMS = """forms AS (SELECT token, unnest(list_distinct(list_filter([token,
@@ -396,9 +396,10 @@ _COSINE = """SELECT v.vec_id, list_dot_product(list_transform(v.embedding, lambd
 FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 1) q"""
 
 
-@query(f"SELECT * FROM ({_COSINE}) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 50")
+@query(f"SELECT vec_id, floor(similarity * 1000000000 + 0.5) / 1000000000 AS similarity FROM (SELECT * FROM ({_COSINE}) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 50)")
 def cosine_topk(spark, d):
-    return search.cosine_topk(a.table(spark, d, "embeddings").select("vec_id", "embedding"), 1)
+    top = search.cosine_topk(a.table(spark, d, "embeddings").select("vec_id", "embedding"), 1)
+    return top.withColumn("similarity", ids.half_up(F.col("similarity"), 9))
 
 
 @query(f"""WITH sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT * FROM ({_COSINE}) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 50)),
