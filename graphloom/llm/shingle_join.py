@@ -425,6 +425,25 @@ def _labelled(rows: DataFrame, names: list[str], placed: DataFrame, most_sent: i
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*fields, *(f"c_{n}" for n in names)]))
 
 
+def _sketched(rows: DataFrame, buckets: DataFrame, sketch: DataFrame, most_sent: int) -> DataFrame:
+    """The rows (bucket, id, c_id) of ``buckets`` with their id's sketch, if it has one."""
+    if buckets.count() > 8 * most_sent or sketch.count() > most_sent:
+        return rows.join(buckets, "bucket", "left_semi").join(sketch, "id").select("bucket", "id", "c_id", *sketch.columns[1:])
+    table = sketch.orderBy("id").toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((np.sort(buckets.toArrow().column(0).to_numpy()), *(c.to_numpy() for c in table.columns)))
+    names = sketch.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, ids, *columns = sent.value
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+            keep = np.isin(batch.column(0).to_numpy(), wanted) & ((ids[at] == own) if len(ids) else np.zeros(len(own), bool))
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep)) for c in batch.columns), *(pa.array(c[at[keep]]) for c in columns)], ["bucket", "id", "c_id", *names])
+
+    return rows.select("bucket", "id", "c_id").mapInArrow(run, "bucket long, id long, c_id long, " + ", ".join(f"{n} long" for n in names))
+
+
 def parities(found: np.ndarray) -> bytes:
     """512 bits: for each the parity of the shingles hashed to it.  Two sets' bits differ in at most as many as their shingles."""
     counts = np.bincount((mixed(found ^ np.uint64(0x0F0F)) >> np.uint64(55)).astype(np.int64), minlength=512)
@@ -477,7 +496,7 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
     add(written(rest, "apart"))
     marked = _labelled(hot, ["id"], placed, most_sent)
     torn = marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket")
-    marked = written(marked.join(torn, "bucket", "left_semi").join(sketch, "id"), "torn")
+    marked = written(_sketched(marked, written(torn, "torn-buckets"), sketch, most_sent // 8), "torn")
     if not marked.isEmpty():
         x, y = marked.alias("x"), marked.alias("y")
         across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c_id") != F.col("y.c_id")) & possible("x", "y"))
