@@ -22,8 +22,8 @@ on frequent signatures (as those of a large group of near copies do) are compare
 them.
 
 Sets that share signatures, directly or by others, form a cell.  A cell's sets are brought
-together once and linked there exactly; cells too large for a task are linked in rounds of
-an edge per set, and what is still apart is compared after a test of sizes and parity bits.
+together once and linked there exactly; in cells too large for a task, sizes and
+parity bits rule out most pairs and the rest is compared step by step.
 """
 
 from __future__ import annotations
@@ -450,31 +450,14 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(counts.astype(np.uint8) & 1).tobytes()
 
 
-def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, percent: int, most_sent: int, rounds: int = 4) -> DataFrame:
+def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, percent: int, most_sent: int) -> DataFrame:
     """(id, component) within cells too large for a task.
 
-    Rounds verify one candidate edge per set, as long as its ends are apart; then what is
-    left is compared: the edges whose ends are apart, and members of a frequent bucket
-    across components.  Sizes and parity bits rule out pairs that differ in too many
-    shingles, so that sets which share a passage only are not fetched.
+    Sizes and parity bits rule out the pairs that differ in too many shingles, so that sets
+    which share a passage only are not fetched.  Of the candidate edges left, one per set
+    is verified first, then those whose ends are still apart, then the members of frequent
+    buckets across components.
     """
-    links = written(verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
-    placed = written(components(links), "placed")
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal links, placed
-        more = written(verify(pairs), "links")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            placed = written(components(links), "placed")
-
-    for turn in range(rounds):
-        apart = _labelled(edges, ["a", "b"], placed, most_sent).filter("c_a <> c_b")
-        chosen = apart.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(turn))).alias("a")).select("a", "b")
-        chosen = written(chosen, "apart")
-        if chosen.isEmpty():
-            break
-        add(chosen)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,14 +474,24 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
         fits = 100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))
         return fits & (differing * (100 + percent) <= (100 - percent) * (size(x) + size(y)))
 
-    rest = _labelled(edges, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b")
-    rest = rest.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id")).filter(possible("x", "y")).select("a", "b")
-    add(written(rest, "apart"))
+    edges = edges.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id"))
+    edges = written(edges.filter(possible("x", "y")).select("a", "b"), "shingle-possible")
+    links = written(verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+    placed = written(components(links), "placed")
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal links, placed
+        more = written(verify(pairs), "links")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            placed = written(components(links), "placed")
+
+    add(_labelled(edges, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b"))
     marked = _labelled(hot, ["id"], placed, most_sent)
     torn = marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket")
     marked = written(_sketched(marked, written(torn, "torn-buckets"), sketch, most_sent // 8), "torn")
     if not marked.isEmpty():
         x, y = marked.alias("x"), marked.alias("y")
         across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c_id") != F.col("y.c_id")) & possible("x", "y"))
-        add(written(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "apart"))
+        add(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     return placed
