@@ -15,7 +15,10 @@ at one signature each; where too few are left, the sets' smallest segments, chea
 neighbours, of a few set aside get two.  The number of segments has room for that.
 
 A set has more signatures than it needs, and a similar partner shares all that it could do
-without, and one more: pairs that share fewer are dropped before any comparison.  A
+without, and one more: pairs that share fewer are dropped before any comparison.  Small sets
+whose shingles fall into too few segments sign the empty ones too.  A partner that has
+enough without does not, so these signatures are no part of what must be shared: such sets
+could do without less than none, and any shared signature makes a pair.  A
 signature that many sets share is not counted, and costs nothing to sets that have enough
 others: if either set of a pair does, the pair shares one of these.  Only sets that depend
 on frequent signatures (as those of a large group of near copies do) are compared within
@@ -94,7 +97,7 @@ class Bands:
 
 
 def signatures(found: np.ndarray, band: int, segments: int, need: int) -> tuple[np.ndarray, int]:
-    """A set's signatures in a band's cut, and how many of them it could do without."""
+    """A set's signatures in a band's cut, and how many of those of its own shingles it could do without (below zero if it needs more)."""
     segment = ((mixed(found ^ np.uint64(band + 1)) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
     count = np.bincount(segment, minlength=segments)
     value = mixed(found + np.uint64(0x51ED270B0F1C5A11))
@@ -111,7 +114,6 @@ def signatures(found: np.ndarray, band: int, segments: int, need: int) -> tuple[
             weight += 1
     if weight < need:
         out.append(mixed(name[~full]))
-        weight += int((~full).sum())
     return np.concatenate(out), weight - need
 
 

@@ -284,3 +284,39 @@ def test_every_similar_pair_shares_what_the_bands_promise():
                 sides.append({b: shingle_join.signatures(s, b, bands.segments(b), need) for b, need in bands.bands_of(len(s))})
             shared = {b: len(set(sides[0][b][0].tolist()) & set(sides[1][b][0].tolist())) for b in sides[0] if b in sides[1]}
             assert any(n > max(sides[0][b][1], sides[1][b][1]) for b, n in shared.items()), (len(x), len(y))
+
+
+def test_small_similar_sets_pass_the_share_count():
+    import numpy as np
+
+    rnd, bands = random.Random(10), shingle_join.Bands(80)
+    for _ in range(6000):
+        x = [rnd.randrange(1 << 60) for _ in range(rnd.randrange(4, 24))]
+        y = x + [rnd.randrange(1 << 60) for _ in range(rnd.randrange(len(x) // 4 + 1))]
+        sides = []
+        for found in (x, y):
+            found = np.array(sorted(found), np.uint64)
+            sides.append({b: shingle_join.signatures(found, b, bands.segments(b), need) for b, need in bands.bands_of(len(found))})
+        shared = {b: len(set(sides[0][b][0].tolist()) & set(sides[1][b][0].tolist())) for b in sides[0] if b in sides[1]}
+        assert any(n > max(sides[0][b][1], sides[1][b][1]) for b, n in shared.items()), (len(x), len(y))
+
+
+def test_small_texts_with_one_more_word_are_linked(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd, bands, all_ = random.Random(11), shingle_join.Bands(80), []
+    while len(all_) < 8:  # texts with shingles in too few segments, few enough that no signature is frequent
+        text = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(8))
+        found = next(shingle_join.shingles(pa.array([text]), 5))
+        [band, need] = bands.bands_of(len(found))[0]
+        if len(np.unique(found)) == 4 and shingle_join.signatures(found, band, bands.segments(band), need)[1] != 0:
+            more = [f"{text} m{i}" for i in range(50)]
+            sets = list(shingle_join.shingles(pa.array(more), 5))
+            more = [m for m, x in zip(more, sets) if len(set(shingle_join.signatures(x, band, bands.segments(band), need)[0].tolist())
+                                                         & set(shingle_join.signatures(found, band, bands.segments(band), need)[0].tolist())) == 1]
+            if more:
+                all_ += [text, more[0]]
+    ids = [*range(len(all_))]
+    rows = shingle_join.join_documents(make(spark, all_, ids).repartition(3)).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in rows], key=str) == components(all_, ids)
