@@ -326,23 +326,32 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     total = cells.count()
     if not total:
         return cells.select("id", "component")
-    chosen = sized.join(cells.select(F.col("id").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    chosen = sized.join(cells.select(F.col("id").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    chosen = written(chosen, "shingle-chosen")
+    named, unnamed = chosen.filter("doc_id is not null"), chosen.filter("doc_id is null").select("class")  # classes of null ids only are told by their sets
     if total <= most_sent:  # 8 bytes each
-        sent = spark.sparkContext.broadcast(np.sort(chosen.select("doc_id").toArrow().column(0).to_numpy()))
+        sent = spark.sparkContext.broadcast(tuple(np.sort(rows.toArrow().column(0).to_numpy()) for rows in (named.select("doc_id"), unnamed)))
         wanted = texts
     else:
-        sent, wanted = None, texts.join(chosen.select("doc_id"), "doc_id", "left_semi")
+        sent, wanted = None, texts.join(named.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+        if not unnamed.isEmpty():
+            wanted = wanted.unionAll(texts.filter("doc_id is null"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            text = batch.column(1)
+            text, null = batch.column(1), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            unnamed = None
             if sent is not None:
-                text = text.filter(pa.array(np.isin(batch.column(0).fill_null(-(1 << 62)).to_numpy(), sent.value)))
+                named, unnamed = sent.value
+                keep = np.where(null, len(unnamed) > 0, np.isin(batch.column(0).fill_null(0).to_numpy(), named))
+                text, null = text.filter(pa.array(keep)), null[keep]
             for start in range(0, len(text), 256):
                 ids, sets = [], []
-                for found in shingles(text.slice(start, 256), width):
-                    if len(found) and (own := _class_of(found)) not in seen:
+                for found, nameless in zip(shingles(text.slice(start, 256), width), null[start : start + 256].tolist()):
+                    if not len(found) or (own := _class_of(found)) in seen:
+                        continue
+                    if not nameless or unnamed is None or unnamed[min(np.searchsorted(unnamed, own), len(unnamed) - 1)] == own:
                         seen.add(own)
                         ids.append(own)
                         sets.append(found.tobytes())

@@ -320,3 +320,18 @@ def test_small_texts_with_one_more_word_are_linked(spark):
     ids = [*range(len(all_))]
     rows = shingle_join.join_documents(make(spark, all_, ids).repartition(3)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in rows], key=str) == components(all_, ids)
+
+
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_null_ids_link_by_their_texts(spark, sent):
+    rnd = random.Random(12)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(40)] for _ in range(3)]
+    near = lambda t, *at: " ".join("new" if i in at else w for i, w in enumerate(t))
+    # a null id near a document; two documents linked only through a null id; null ids alone
+    all_ = [near(base[0]), near(base[0], 0), near(base[1], 0, 1), near(base[1]), near(base[1], 38, 39), near(base[2]), near(base[2], 0)]
+    all_[2], all_[4] = near(base[1], *range(3)), near(base[1], 37, 38, 39)
+    ids = [10, None, 20, None, 30, None, None]
+    rows = shingle_join.join_documents(make(spark, all_, ids).repartition(3), most_sent=sent).collect()
+    want = components(all_, ids)
+    assert sum(c == 20 for _, _, c in want) == 3
+    assert sorted([(r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in rows], key=str) == want
