@@ -7,7 +7,7 @@ rejected documents and copies are gone, repeated lines are cut out, secrets are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common, line_dedup, packing, quality, secrets, shingle_join
@@ -21,12 +21,24 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a hash of the text: what is decided by text holds for rows of the same id and text."""
+    return docs.withColumn("text_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` (keyed) with, or without, a row of the same doc_id (null or not) and text_key in ``keys``."""
+    keys = keys.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"))
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["k_id"]) & (docs["text_key"] == keys["k_text"]), how)
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.3 or more stay.  Labels of the held-out fold are not read."""
+    """Rows whose text scores 0.3 or more stay, whatever other rows of their doc_id (null or repeated) score.
+    Labels of the held-out fold are not read."""
     labels = common.labels(spark, sf_dir).select("doc_id", "quality")
-    scores = quality.score_documents(docs.select("doc_id", "text"), labels, common.id_text_remainder("doc_id", 5) != 0)
-    rejected = scores.filter(F.col("score") < 0.3).select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected"]), "left_anti").select(*COLUMNS)
+    docs = _keyed(docs)
+    scores = quality.score_documents(docs.select("doc_id", "text", "text_key"), labels, common.id_text_remainder("doc_id", 5) != 0, ("text_key",))
+    return _joined(docs, scores.filter(F.col("score") < 0.3).select("doc_id", "text_key").distinct(), "left_anti").select(*COLUMNS)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +47,24 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates stays; texts without words are no group."""
-    found = shingle_join.join_documents(docs.select("doc_id", "text"))
-    copies = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates stays: of the smallest doc_id (a null one only where no
+    row of the group has an id), there of the smallest md5 of the text, and of rows alike in both one.
+    Texts without words are no group and stay.  Rows are judged by their own text, so other
+    texts of a repeated or null doc_id are not touched."""
+    docs = _keyed(docs)
+    found = shingle_join.group_documents(docs.select("doc_id", "text", "text_key"), keep=("text_key",)).filter("label is not null")
+    keys = common.written(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n")), "group-keys")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = keys.groupBy("label").agg(F.min(place).alias("first")).select("label", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"))
+    marked = keys.join(first, "label")
+    copies = marked.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text"))))
+    kept = _joined(docs, copies, "left_anti")
+    repeated = common.written(keys.filter("n > 1").select("doc_id", "text_key"), "repeated-rows")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    alike = Window.partitionBy("doc_id", "text_key").orderBy("lang", "source", "n_chars")
+    once = _joined(kept, repeated, "left_semi").withColumn("place", F.row_number().over(alike)).filter("place = 1")
+    return _joined(kept, repeated, "left_anti").select(*COLUMNS).unionAll(once.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

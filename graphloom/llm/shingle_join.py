@@ -122,19 +122,19 @@ def _class_of(found: np.ndarray) -> int:
     return int(mixed(np.array([np.add.reduce(mixed(found ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)]))[0] >> np.uint64(1))
 
 
-def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _docs(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
 
 
-def _sizes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size and class of every text's set."""
+def _sizes(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size and class of every text's set, and the string columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), _class_of(s)) for s in shingles(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*sets) if sets else ([], [])))], ["doc_id", "size", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*sets) if sets else ([], []))), *batch.columns[2:]], ["doc_id", "size", "class", *keep])
 
-    return docs.mapInArrow(run, "doc_id long, size long, class long")
+    return docs.mapInArrow(run, "doc_id long, size long, class long" + "".join(f", {k} string" for k in keep))
 
 
 def _signed(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -294,16 +294,24 @@ def join_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limi
 
     Equal sets are one class, however many there are, and never make pairs.
     """
-    spark, bands = docs.sparkSession, Bands(percent)
-    texts = _docs(docs)
-    sized = written(_sizes(texts, width), "shingle-sizes")
-    placed = _components(texts, sized, bands, width, cell_limit, most_sent)
-    labelled = sized.join(placed.withColumnRenamed("id", "class"), "class", "left").select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "class")).alias("label"))
-    labelled = written(labelled, "shingle-labels")
+    labelled = group_documents(docs, percent, width, cell_limit, most_sent)
     least = labelled.filter("size > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def group_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limit: int = 512, most_sent: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, size of its set, label, and the string columns ``keep``.
+
+    Links are those of :func:`join_documents`; rows that links reach have the same label,
+    whatever their ids.  A text without words has no label.
+    """
+    bands = Bands(percent)
+    sized = written(_sizes(_docs(docs, keep), width, keep), "shingle-sizes")
+    placed = _components(_docs(docs), sized, bands, width, cell_limit, most_sent)
+    labelled = sized.join(placed.withColumnRenamed("id", "class"), "class", "left")
+    return written(labelled.select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "class")).alias("label"), *keep), "shingle-labels")
+
+
 def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, cell_limit: int, most_sent: int) -> DataFrame:
     """(id, component) of the classes that are linked with others."""
     spark = texts.sparkSession

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against its definition on what the stage before kept."""
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -84,3 +85,21 @@ def test_stages(spark, folder, tmp_path):
 def test_run_is_the_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 300
+
+
+def test_rows_are_judged_by_their_own_text(spark, folder):
+    rnd = random.Random(13)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 600")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = [texts[i] for i in range(600) if i % 5], [texts[i] for i in range(600) if i % 5 == 0]
+    extra = [(None, good[0]), (None, bad[0]), (9000, good[1]), (9000, bad[1]), (9000, good[2])]
+    rows = [(i, t, "en", "s", len(t)) for i, t in extra]
+    out = corpus_pipeline.quality_classifier(spark, docs.unionAll(spark.createDataFrame(rows, docs.schema)), folder).collect()
+    assert sorted([(r.doc_id, r.text) for r in out if r.doc_id is None or r.doc_id == 9000], key=str) == sorted([e for e in extra if e[1] not in bad], key=str)
+
+    a, b, c, d, e = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(5))
+    given = [(1, a), (2, a + " more"), (2, b), (None, a + " other"), (None, c), (None, c), (None, c + " more"), (None, d), (3, e), (3, e), (3, e + " more"), (None, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in given], docs.schema)
+    out = sorted([(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()], key=str)
+    first = lambda *t: min(t, key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    assert out == sorted([(1, a), (2, b), (None, first(c, c + " more")), (None, d), (3, first(e, e + " more")), (None, ""), (None, None), (None, "")], key=str)
