@@ -36,7 +36,8 @@ class Phase:
 
     def __init__(self, first: int, n: int, used: list[int], given: list[list[int]]):
         self.first, self.n, self.used = first, n, used
-        self.columns = [list(c) for c in zip(*given)]
+        idle = [0] * len(given)
+        self.columns = [list(c) if c[-1] else idle for c in zip(*given)]
         self.before = [[0, *accumulate(b - a for a, b in zip(x, y))] for x, y in zip(given, given[1:])]
 
     def given(self, queue: int, windows: int) -> int:
@@ -213,8 +214,9 @@ def pack_documents(
     A null or empty text is the end id alone.  A null source is the queue ''.  Rows are
     packed each by itself, so repeated doc_ids and null ids are kept (their pieces are
     told apart by their sequences).  An empty table gives no pieces.  Other columns are
-    not read.  Sources beyond ``max_queues`` share queues by hash, so that the plan, which
-    the driver makes from one total a queue, has a bounded size.
+    not read.  Every source has a queue of its own, however many there are, and ``weights``
+    are by source; the driver makes the plan from one total a source.  ``max_queues`` once
+    merged sources by hash; it is accepted and merges nothing.
 
     One pass makes the ids and writes them with each document's place among its queue's
     tokens in its partition; then partitions get the tokens before them, and every
@@ -226,8 +228,6 @@ def pack_documents(
         definition = f.read()
     key, shipped = zlib.crc32(definition.encode()), spark.sparkContext.broadcast(definition)
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
-        source = (F.crc32(source) % max_queues).cast("string")
     end = end_id.to_bytes(4, "little")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -335,3 +335,17 @@ def test_null_ids_link_by_their_texts(spark, sent):
     want = components(all_, ids)
     assert sum(c == 20 for _, _, c in want) == 3
     assert sorted([(r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in rows], key=str) == want
+
+
+def test_many_sources_keep_their_queues_and_weights(spark):
+    rnd = random.Random(14)
+    rows = [(i, words(rnd, 3000 if i == 0 else 200), f"s{i}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    path, weights = public_tokenizers.path("word_bpe_49k.json"), {f"s{i}": 31.0 if i == 0 else 1.0 for i in range(70)}
+    for given in (None, weights):
+        pieces = packing.pack_documents(docs, path, weights=given).collect()
+        assert {(r.doc_id, r.queue) for r in pieces} == {(i, s) for i, _, s in rows}
+        total = {s: sum(r.length for r in pieces if r.queue == s) for _, _, s in rows}
+        share = given or total
+        for s in total:
+            assert abs(sum(r.length for r in pieces if r.sequence_id == 0 and r.queue == s) - 4096 * share[s] / sum(share.values())) <= 3
