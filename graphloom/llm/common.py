@@ -30,14 +30,71 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that :func:`written` made and nobody has deleted, by application.
+_left: dict[str, set[str]] = {}
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here, and a
-    lost executor costs a re-read instead of a recomputation."""
+    lost executor costs a re-read instead of a recomputation.
+
+    The folder stays until :func:`discard` or :func:`sweep` deletes it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = remember(spark, path)
+    return found
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """``path``, which :func:`sweep` will delete."""
+    _left.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`written` returned, once all that is read from it has itself been written."""
+    for table in tables:
+        if path := vars(table).pop("_written_to", None):
+            delete(table.sparkSession, path)
+            _left[table.sparkSession.sparkContext.applicationId].discard(path)
+
+
+def left(spark: SparkSession) -> frozenset[str]:
+    """The folders that nobody has deleted yet."""
+    return frozenset(_left.get(spark.sparkContext.applicationId, ()))
+
+
+def sweep(spark: SparkSession, *keep: DataFrame, besides: frozenset[str] = frozenset()) -> None:
+    """Delete every written table of this application but ``keep`` and the folders ``besides``: for the caller, when all results have been written."""
+    for path in left(spark) - besides - {vars(table).get("_written_to") for table in keep}:
+        delete(spark, path)
+        _left[spark.sparkContext.applicationId].discard(path)
+
+
+def apart(table: DataFrame, *keys: str) -> DataFrame:
+    """``table`` with a second key made from ``keys``, for a join on both.
+
+    A table summed by a key is dealt by that key already, so a join on it alone would take
+    it as it is, and Spark can't split a hot key's partition on the other side.  With the
+    second key both sides are dealt for the join, and it can.
+    """
+    return table.withColumn("apart", F.xxhash64(*keys))
+
+
+def small_arrow(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound Arrow batches by bytes, unless the session names a bound: a batch of many rows with long texts would be huge."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(size))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 Both steps reduce a node's neighbours to their minimum (combined before the shuffle) and
 send it back along the edges by a join that Spark can split where a node is hot.  Every
-round is written, so a lost executor costs at most a round.
+round is written, so a lost executor costs at most a round; the round before is deleted.
 """
 
 from __future__ import annotations
@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import apart, discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges`` (u, v) in both directions for the large star, from the larger to the smaller end for the small one."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = edges.join(least, "u")
+    joined = apart(edges, "u").join(apart(least, "u"), ["u", "apart"])
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, component) of all nodes of ``links`` (a, b): the smallest id that links reach.
+    """(id, component) of all nodes of ``links`` (a, b): the smallest id that links reach; a written table.
 
     Null ends, loops and repeats don't matter.  No links: no rows.
     """
@@ -37,7 +37,18 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         before = state
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, True).distinct()
-        edges = written(_star(large, False).distinct(), "components")
+        edges, old = written(_star(large, False).distinct(), "components"), edges
+        discard(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    nodes = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = written(nodes, "placed")
+    discard(edges)
+    return found
+
+
+def joined_up(placed: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of ``placed`` (id, component; a written table, deleted here) after links ``more`` (a, b) have come."""
+    found = components(placed.select(F.col("component").alias("a"), F.col("id").alias("b")).filter("a <> b").unionAll(more.select("a", "b")))
+    discard(placed)
+    return found
