@@ -4,7 +4,8 @@ A vector is coded as a sum of one codeword from each of several full-dimensional
 The codebooks start as residual k-means and are then refitted together by least squares
 against beam-searched codes.  Every vector is encoded by beam search; its norm is stored
 and scales the score, which for a query is a sum of table entries (the query's inner
-products with all codewords).  The best by that score are ranked exactly on the original
+products with all codewords), and so is the length of the residual, which tells how far the
+score can be trusted.  The best by score and trust are ranked exactly on the original
 vectors.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path, written
+from graphloom.llm.common import discard, fresh_path, remember, small_arrow, written
 from graphloom.llm.vectors import common_length, matrix, usable
 
 
@@ -89,8 +90,8 @@ def train(x: np.ndarray, books: int = 8, entries: int = 256, rounds: int = 8, re
 
 
 def search(
-    vectors: DataFrame, is_query, k: int = 20, books: int = 8, sample: int = 8_192, block_rows: int = 8_192,
-    query_rows: int = 32_768, rerank: int = 1_024,
+    vectors: DataFrame, is_query, k: int = 20, books: int = 12, sample: int = 8_192, block_rows: int = 16_384,
+    query_rows: int = 32_768, deviations: float = 2.5,
 ) -> DataFrame:
     """The ``k`` nearest rows, by inner product, of each row of ``vectors`` (vec_id, embedding) where ``is_query`` holds.
 
@@ -98,80 +99,118 @@ def search(
     vectors in double precision), ties to the smaller vec_id.
 
     Codebooks are fitted on at most ``sample`` rows (by hash of the id); every row is
-    encoded.  Blocks of about ``block_rows`` rows meet the queries, of which at most about
-    ``query_rows`` are broadcast at a time; each block ranks its ``rerank`` best by code
-    exactly.  Of rows with the very same vector a block only needs the ``k + 1`` smallest
-    ids: no other can be among the nearest.
+    encoded.  The k-th best of a query among the sample's rows can only be raised by the
+    others, so it is a floor for what belongs to its nearest.  A block of about
+    ``block_rows`` rows scores all its codes by table lookups and ranks exactly those whose
+    score, with ``deviations`` times the spread that their residual gives an inner product,
+    reaches the floor: a row of the nearest is missed with a chance of about one in 160, and
+    as many rows are ranked as the codes can't tell apart, however many lie close together.
+    Of rows with the very same vector a block only needs the ``2 * k`` first (``k`` of an
+    id): no other can be among the nearest.  The index is read once for every ``query_rows``
+    queries, which costs little beside scoring it for them.
 
     Vectors that are null, zero, hold null or non-finite components, have a null id or not
     the most frequent length take no part.  Rows of a query's own id are not its
-    neighbours.  Fewer candidates than ``k``: all.  An empty table gives no rows.
+    neighbours.  Each query row has its own list, also when several share an id (their
+    lists then stand under one query_id); candidate rows of one id count each by itself.
+    Fewer candidates than ``k``: all.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
+    small_arrow(spark)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(usable("embedding") & F.col("vec_id").isNotNull())
     length = common_length(rows, "embedding")
     rows = rows.filter(F.size("embedding") == length)
-    drawn = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    path = fresh_path(spark, "ann-found")
-    schema = "query_id long, vec_id long, score double"
+    drawn = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("embedding")).limit(sample).toArrow()
+    path = remember(spark, fresh_path(spark, "ann-found"))
+    schema = "query long, query_id long, vec_id long, score double"
     spark.createDataFrame([], schema).write.parquet(path)
     if len(drawn):
-        sent = spark.sparkContext.broadcast(train(matrix(drawn.column("embedding"), length), books))
+        known = matrix(drawn.column("embedding"), length)
+        sent = spark.sparkContext.broadcast((train(known, books), drawn.column("vec_id").to_numpy(), known))
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = sent.value[0]
             for batch in batches:
                 x = matrix(batch.column(1), length)
-                codes = sent.value.encode(x)
-                norms = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(sent.value.decode(codes), axis=1), 1e-12)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["vec_id", "embedding", "asks", "codes", "norm"])
-
-        index = written(rows.mapInArrow(encode, "vec_id long, embedding array<double>, asks boolean, codes binary, norm double"), "ann-index")
+                codes = words.encode(x)
+                near = words.decode(codes)
+                scale = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-12)
+                rest = np.linalg.norm(x - near * scale[:, None], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(rest)],
+                                                 ["vec_id", "embedding", "asks", "codes", "norm", "rest"])
+
+        def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, ids, x = sent.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    score = matrix(part.column(2), length) @ x.T
+                    score[part.column(1).to_numpy()[:, None] == ids[None, :]] = -np.inf
+                    floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(score), -np.inf)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor)], ["query", "vec_id", "embedding", "floor"])
+
+        coded = rows.mapInArrow(encode, "vec_id long, embedding array<double>, asks boolean, codes binary, norm double, rest double")
+        index = written(coded.withColumn("row", F.monotonically_increasing_id()), "ann-index")
         total, asking = index.agg(F.count("*"), F.count_if("asks")).first()
         blocks, chunks = -(-total // block_rows), -(-asking // query_rows)
+        asked = written(index.filter("asks").select(F.col("row").alias("query"), "vec_id", "embedding").mapInArrow(floors, "query long, vec_id long, embedding array<double>, floor double"), "ann-queries")
         for chunk in range(chunks):
-            mine = index.filter("asks").filter(F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(chunks)) == chunk).select("vec_id", "embedding").toArrow()
-            asked = spark.sparkContext.broadcast((mine.column("vec_id").to_numpy(), matrix(mine.column("embedding"), length)))
+            mine = asked.filter(F.pmod(F.xxhash64("query"), F.lit(chunks)) == chunk).toArrow()
+            mine = spark.sparkContext.broadcast((*(mine.column(c).to_numpy() for c in ("query", "vec_id", "floor")), matrix(mine.column("embedding"), length)))
 
             def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-                if table is not None and len(table):
-                    yield from _find(table, *asked.value, sent.value, k, rerank, length)
+                if batches := list(batches):
+                    yield from _find(pa.Table.from_batches(batches), *mine.value, sent.value[0], k, deviations, length)
 
-            index.select("vec_id", "embedding", "codes", "norm").repartition(blocks).mapInArrow(find, schema).write.mode("append").parquet(path)
-            asked.unpersist()
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            index.select("row", "vec_id", "embedding", "codes", "norm", "rest").repartition(blocks, "row").mapInArrow(find, schema).write.mode("append").parquet(path)
+            mine.unpersist()
+        discard(index, asked)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = spark.read.schema(schema).parquet(path)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _find(table: pa.Table, ids: np.ndarray, queries: np.ndarray, books: Codebooks, k: int, rerank: int, length: int) -> Iterator[pa.RecordBatch]:
-    own = table.column("vec_id").to_numpy()
-    order = np.argsort(own, kind="stable")
-    own, x = own[order], matrix(table.column("embedding"), length)[order]
-    same = np.unique(np.ascontiguousarray(x).view(f"V{8 * length}").ravel(), return_inverse=True)[1].ravel()
-    by = np.argsort(same, kind="stable")
-    first = np.flatnonzero(np.diff(same[by], prepend=-1))
-    place = np.empty(len(by), np.int64)
-    place[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
-    keep = np.sort(np.flatnonzero(place <= k))
-    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, len(books.words))[order][keep].astype(np.int64)
-    own, x, norm = own[keep], x[keep], table.column("norm").to_numpy()[order][keep]
-    at = codes + np.arange(codes.shape[1])[None, :] * books.words.shape[1]
-    for begin in range(0, len(ids), 512):
-        part = queries[begin : begin + 512]
-        tables = part @ books.flat.T
-        out_q, out_v, out_s = [], [], []
-        for query, q, t in zip(ids[begin : begin + 512], part, tables):
-            rough = t[at[:, 0]].copy()
-            for m in range(1, at.shape[1]):
-                rough += t[at[:, m]]
-            rough *= norm
-            near = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
+def _needed(own: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The rows of a block, sorted by id, without repeats of the same vector that can't be among anyone's ``k`` nearest."""
+
+    def place_in(groups: np.ndarray) -> np.ndarray:
+        by = np.argsort(groups, kind="stable")
+        first = np.flatnonzero(np.diff(groups[by], prepend=-1))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        return place
+
+    same = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    keep = np.flatnonzero(place_in(np.unique(np.stack([same, own]), axis=1, return_inverse=True)[1].ravel()) < k)
+    return keep[place_in(same[keep]) < 2 * k]
+
+
+def _find(table: pa.Table, queries: np.ndarray, ids: np.ndarray, floors: np.ndarray, vectors: np.ndarray, books: Codebooks, k: int, deviations: float, length: int) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
+    own, x = table.column("vec_id").to_numpy()[order], matrix(table.column("embedding"), length)[order]
+    keep = _needed(own, x, k)
+    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, len(books.words))[order][keep]
+    norm, rest = (table.column(c).to_numpy()[order][keep] for c in ("norm", "rest"))
+    own, x = own[keep], x[keep]
+    spread = deviations * rest / np.sqrt(length) + 1e-6 * np.linalg.norm(x, axis=1)  # the last for rounding
+    for begin in range(0, len(ids), 64):
+        part = vectors[begin : begin + 64]
+        tables = (part @ books.flat.T).reshape(len(part), len(books.words), -1)
+        rough = tables[:, 0, codes[:, 0]]
+        for m in range(1, codes.shape[1]):
+            rough += tables[:, m, codes[:, m]]
+        rough *= norm
+        rough += np.linalg.norm(part, axis=1)[:, None] * spread[None, :]
+        out_q, out_i, out_v, out_s = [], [], [], []
+        for n, (q, may) in enumerate(zip(part, rough >= floors[begin : begin + 64, None])):
+            query = ids[begin + n]
+            near = np.flatnonzero(may)
             near = near[own[near] != query]
             score = (x[near] * q).sum(1)
             top = np.lexsort((own[near], -score))[:k]
-            out_q.append(np.full(len(top), query))
+            out_q.append(np.full(len(top), queries[begin + n]))
+            out_i.append(np.full(len(top), query))
             out_v.append(own[near][top])
             out_s.append(score[top])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_i, out_v, out_s)], ["query", "query_id", "vec_id", "score"])
