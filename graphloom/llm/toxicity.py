@@ -16,7 +16,7 @@ their presence are trained with numpy on a bounded sample, and averaged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import discard, small_arrow, written
 from graphloom.llm.textscan import WORD, Slice, slices
 
 BITS = 22
@@ -64,12 +65,25 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(logits, -40, 40)))).mean(axis=0)
 
 
+def risk_slopes(g: np.ndarray, is_pos: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """The slope of the risk by each text's logit ``g``, and the bracket: the estimated risk on negatives.
+
+    While the bracket is not below zero the slope is that of the whole risk; below, it is
+    that of the bracket turned round, so that a step down raises the bracket again.
+    """
+    p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+    n_pos, n_all = max(is_pos.sum(), 1), max((~is_pos).sum(), 1)
+    bracket = np.logaddexp(0, g[~is_pos]).sum() / n_all - prior * np.logaddexp(0, g[is_pos]).sum() / n_pos
+    d_neg = np.where(is_pos, -prior * p / n_pos, p / n_all)
+    return (prior * (p - 1) * is_pos / n_pos + d_neg if bracket >= 0 else -d_neg), float(bracket)
+
+
 def fit_member(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float, seed: int,
                steps: int = 300, rate: float = 0.1, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
     """One classifier by full-batch Adam on a bootstrap of both samples."""
     rng = np.random.default_rng(seed)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    pos, unl = rng.choice(pos, len(pos)), rng.choice(unl, len(unl))
+    pos, unl = (rng.choice(x, len(x)) if len(x) else x for x in (pos, unl))
     take = np.concatenate([pos, unl])
     sizes = np.array([len(rows[i]) for i in take])
     columns = np.concatenate([rows[i] for i in take]) if sizes.sum() else np.zeros(0, np.int64)
@@ -79,12 +93,7 @@ def fit_member(rows: list[np.ndarray], positive: np.ndarray, width: int, prior:
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, steps + 1):
         g = np.bincount(owner, w[columns], minlength=len(take)) + b
-        p = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
-        on_all = np.logaddexp(0, g[~is_pos]).mean()
-        on_pos = np.logaddexp(0, g[is_pos]).mean()
-        d_pos = prior * (p - 1) * is_pos / len(pos)
-        d_neg = np.where(is_pos, -prior * p / len(pos), p / len(unl))
-        d = d_pos + d_neg if on_all - prior * on_pos >= 0 else -d_neg
+        d, _ = risk_slopes(g, is_pos, prior)
         grad = np.append(np.bincount(columns, d[owner], minlength=width) + ridge * w, d.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -92,8 +101,9 @@ def fit_member(rows: list[np.ndarray], positive: np.ndarray, width: int, prior:
     return w, b
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+def blank(share: float) -> Model:
+    """A model without features: every text's score is ``share``."""
+    return Model(np.full(1 << BITS, -1, np.int32), np.zeros((1, 1)), np.array([np.log(share / (1 - share))]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, prior: float | None = None, members: int = 3,
@@ -105,45 +115,83 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, prior: float | No
     classifiers are trained on; features are counted over all learning rows.  ``prior``
     is by default the ratio of the rates, among all texts and among the confirmed, of the
     features that tell them apart best.
+
+    Null and repeated ids: a confirmed id stands for all rows that have it; rows of a null
+    id are never confirmed.  Without confirmed texts, or features that tell them apart, the
+    model gives every text the prior.
+
+    The confirmed texts are picked by a join before any reaches Python; one pass over all
+    learning texts then counts features and takes the sample.
     """
     spark = docs.sparkSession
+    small_arrow(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(may_learn & (F.col("toxic") == 1) & F.col("doc_id").isNotNull())
-    confirmed = known.select("doc_id").distinct()
-    ids = np.sort(np.array([r.doc_id for r in confirmed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives).collect()], np.int64))
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives).toArrow().column(0)
     share = min(max(prior if prior is not None else 0.01, 1e-3), 0.5)
     if not len(ids):
-        return Model(np.full(1 << BITS, -1, np.int32), np.zeros((1, 1)), np.array([np.log(share / (1 - share))]))
+        return blank(share)
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(may_learn)
-    sent = spark.sparkContext.broadcast(ids)
+    confirmed = F.broadcast(spark.createDataFrame(pa.table({"doc_id": ids})))  # at most max_positives numbers
+
+    def every_feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch.column(0)):
+                texts, found = features(piece)
+                both = np.unique(texts << BITS | found)
+                cut = np.searchsorted(both >> BITS, np.arange(piece.n + 1))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(both & (1 << BITS) - 1, pa.int32()))], ["found"])
+
+    def numbered(chosen) -> Callable:
+        """The numbers that the broadcast ``chosen`` gives the features found, without those that it leaves out."""
 
-    def count_in(positives_only: bool, chosen_sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chosen = chosen_sent.value if chosen_sent else np.arange(1 << BITS, dtype=np.int32)
-            counts, texts = np.zeros(int(chosen.max()) + 1, np.int64), 0
             for batch in batches:
-                doc, text = _ids(batch.column(0)), batch.column(1)
-                if positives_only:
-                    keep = np.isin(doc, sent.value)
-                    text = text.filter(pa.array(keep))
-                texts += len(text)
-                for piece in slices(text):
-                    counts += np.bincount(pairs(piece, chosen)[1], minlength=len(counts))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], texts))], ["feature", "n"])
-        return learn.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-
-    least = max(3, len(ids) // 100)
-    rows = count_in(True, None).filter((F.col("n") >= least) | (F.col("feature") < 0)).orderBy(F.col("feature") >= 0, F.desc("n"), "feature").limit(max_candidates + 1).collect()
-    seen_positives = max(1, next((r.n for r in rows if r.feature < 0), 1))
-    candidates = np.array([r.feature for r in rows if r.feature >= 0], np.int64)
-    in_positives = np.array([r.n for r in rows if r.feature >= 0], float)
+                found = batch.column(0)
+                numbers = chosen.value[found.flatten().to_numpy()]
+                hits = np.concatenate([[0], np.cumsum(numbers >= 0)])[np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(hits, pa.int32()), pa.array(numbers[numbers >= 0], pa.int32()))], ["found"])
+        return run
+
+    def taken(found: DataFrame, chosen) -> list[np.ndarray]:
+        """The rows of a bounded sample on the driver."""
+        lists = found.mapInArrow(numbered(chosen), "found array<int>").toArrow().column(0).combine_chunks()
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+    positives = written(learn.join(confirmed, "doc_id", "left_semi").select("text").mapInArrow(every_feature, "found array<int>"), "positives")
+    seen_positives = max(1, positives.count())
+    rows = positives.select(F.explode("found").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    rows = rows.filter(F.col("n") >= max(3, len(ids) // 100)).orderBy(F.desc("n"), "feature").limit(max_candidates).collect()
+    candidates, in_positives = np.array([r.feature for r in rows], np.int64), np.array([r.n for r in rows], float)
     if not len(candidates):
-        return Model(np.full(1 << BITS, -1, np.int32), np.zeros((1, 1)), np.array([np.log(share / (1 - share))]))
+        return blank(share)
     chosen = np.full(1 << BITS, -1, np.int32)
     chosen[candidates] = np.arange(len(candidates))
-    counted = {r.feature: r.n for r in count_in(False, spark.sparkContext.broadcast(chosen)).collect()}  # at most max_candidates + 1 rows
-    total = max(1, counted.get(-1, 1))
-    in_all = np.array([counted.get(i, 0) for i in range(len(candidates))], float)
+    chosen_sent = spark.sparkContext.broadcast(chosen)
+    total = max(1, learn.count())
+    part = min(1.0, max_unlabelled / total)
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 20)) < int(part * (1 << 20))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts drawn with their candidates, and at the end the task's counts of each."""
+        counts = np.zeros(len(candidates), np.int64)
+        for batch in batches:
+            take = batch.column(1).to_numpy(zero_copy_only=False)
+            for piece in slices(batch.column(0)):
+                texts, numbers = pairs(piece, chosen_sent.value)
+                counts += np.bincount(numbers, minlength=len(counts))
+                mine = take[piece.first : piece.first + piece.n]
+                if mine.any():
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(piece.n + 1)), pa.int32()), pa.array(numbers, pa.int32()))
+                    lists = lists.filter(pa.array(mine))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(lists), pa.int32()), pa.nulls(len(lists), pa.int64()), lists], ["feature", "n", "found"])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some]), pa.nulls(len(some), pa.list_(pa.int32()))], ["feature", "n", "found"])
+
+    passed = written(learn.select("text", F.coalesce(drawn, F.lit(False)).alias("drawn")).mapInArrow(counted, "feature int, n long, found array<int>"), "learning-pass")
+    in_all = np.zeros(len(candidates))
+    for r in passed.filter("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most max_candidates rows
+        in_all[r.feature] = r.n
     a, u = (in_positives + 0.5) / (seen_positives + 1), (in_all + 0.5) / (total + 1)
     surprise = (a - u) / np.sqrt(u * (1 - u) / (seen_positives + 1))
     best = np.argsort(-surprise, kind="stable")[:max_features]
@@ -152,44 +200,27 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, prior: float | No
         share = float(np.clip(np.median((u / a)[best[:16]]), 1e-3, 0.5))
     best = best[share * a[best] >= 0.5 * u[best]]  # texts with it are more likely toxic than not
     if not len(best):
-        return Model(np.full(1 << BITS, -1, np.int32), np.zeros((1, 1)), np.array([np.log(share / (1 - share))]))
+        return blank(share)
     chosen = np.full(1 << BITS, -1, np.int32)
     chosen[candidates[best]] = np.arange(len(best))
-    chosen_sent = spark.sparkContext.broadcast(chosen)
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = _ids(batch.column(0))
-            for piece in slices(batch.column(1)):
-                texts, numbers = pairs(piece, chosen_sent.value)
-                cut = np.searchsorted(texts, np.arange(piece.n + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.isin(doc[piece.first : piece.first + piece.n], sent.value)),
-                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(numbers, pa.int32()))], ["positive", "found"])
-
-    part = min(1.0, max_unlabelled / total)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 20)) < int(part * (1 << 20))
-    sample = learn.filter(drawn)
-    sample = sample.mapInArrow(present, "positive boolean, found array<int>").limit(2 * max_unlabelled)
-    positives = learn.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "doc_id long")), "doc_id", "left_semi").mapInArrow(present, "positive boolean, found array<int>")
-    rows, flags = [], []
-    for source, flag in ((positives, True), (sample, False)):
-        found = source.select("found").toArrow().column(0).combine_chunks()
-        offsets, values = found.offsets.to_numpy(), found.values.to_numpy()
-        rows += [values[a:b] for a, b in zip(offsets, offsets[1:])]
-        flags += [flag] * len(found)
-    flags = np.array(flags)
-    fitted = [fit_member(rows, flags, len(best), share, seed) for seed in range(members)]
+    again = np.full(len(candidates), -1, np.int32)
+    again[best] = np.arange(len(best))
+    known = taken(positives, spark.sparkContext.broadcast(chosen))
+    rest = taken(passed.filter("found is not null").select("found").limit(2 * max_unlabelled), spark.sparkContext.broadcast(again))
+    discard(positives, passed)
+    flags = np.arange(len(known) + len(rest)) < len(known)
+    fitted = [fit_member(known + rest, flags, len(best), share, seed) for seed in range(members)]
     return Model(chosen, np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1, the mean of the members' probabilities) of every whole text.
+    """doc_id and score (0 to 1, the mean of the members' probabilities) of every whole text of ``docs`` (doc_id, text).
 
     Null or empty text: the score of a text without any feature.  Rows are independent, so
     null and repeated doc_ids each give a row.  An empty table gives no rows.  Other
     columns are not read.  The model has a fixed size (feature table of 2**22 numbers).
     """
+    small_arrow(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
