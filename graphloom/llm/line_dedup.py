@@ -2,9 +2,9 @@
 
 The hashes of all lines seen so far lie in runs: tables bucketed and sorted by hash.  A new
 batch is merge-joined with the runs (both sides sorted by hash, the runs without a shuffle):
-lines found there go, lines that are new to the runs are added as a run of their own.  As
-soon as a level holds ``fanout`` runs they are merged into one run of the next level, so a
-batch meets a number of runs that grows with the logarithm of the batches.
+lines found there go, lines that are new to the runs are added as a run of their own.  When
+a level holds ``fanout`` runs they are merged into one run of the next level before the
+next batch, so a batch meets a number of runs that grows with the logarithm of the batches.
 
 All of it is DataFrame code on built-in functions.
 """
@@ -12,11 +12,12 @@ All of it is DataFrame code on built-in functions.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path, shuffle_partitions, written
+from graphloom.llm.common import apart, delete, fresh_path, shuffle_partitions, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,27 +32,45 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The runs: rows (h1, h2), a 128-bit hash of a line's key, each hash in one run only."""
+    """The runs: rows (h1, h2), a 128-bit hash of a line's key, each hash in one run only.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4):
+    A level that is full is merged into one run of the next level before the next batch
+    meets the runs, never after a last one.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, hashes: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = fresh_path(self.spark, name)
         (
             hashes.select("h1", "h2").repartition(self.buckets, "h1", "h2").write
             .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-            .option("path", fresh_path(self.spark, name)).saveAsTable(name)
+            .option("path", self.paths[name]).saveAsTable(name)
         )
         return name
 
+    def _drop(self, names: list[str]) -> None:
+        """From the catalogue and from the folder: they are external tables."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drop all runs."""
+        self._drop(self.tables())
+        self.levels = []
+
     def tables(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
     def seen(self, keys: DataFrame) -> DataFrame:
         """``keys`` with a column ``seen``: whether a run has the hash."""
+        self._compact()
         names = self.tables()
         if not names:
             return keys.withColumn("seen", F.lit(False))
@@ -60,22 +79,22 @@ class LineRuns:
         return keys.withColumn("seen", F.coalesce(*[F.col(f"in{i}") for i in range(len(names))], F.lit(False))).drop(*[f"in{i}" for i in range(len(names))])
 
     def add(self, hashes: DataFrame) -> None:
-        """Add hashes that no run has; compact full levels."""
-        self._put(0, self._write(hashes))
-
-    def _put(self, level: int, name: str) -> None:
-        if level == len(self.levels):
+        """Add hashes that no run has."""
+        if not self.levels:
             self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self.spark.table(self.levels[level][0])
-            for other in self.levels[level][1:]:
-                merged = merged.unionAll(self.spark.table(other))
-            full = self._write(merged)
-            for old in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {old}")
-            self.levels[level] = []
-            self._put(level + 1, full)
+        self.levels[0].append(self._write(hashes))
+
+    def _compact(self) -> None:
+        level = 0
+        while level < len(self.levels):
+            if len(full := self.levels[level]) >= self.fanout:
+                merged = self._write(reduce(DataFrame.unionAll, [self.spark.table(name) for name in full]))
+                self._drop(full)
+                self.levels[level] = []
+                if level + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[level + 1].append(merged)
+            level += 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -115,7 +134,8 @@ def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = 4,
     A line's key is :func:`line_key`; keys of at least ``min_chars`` code points that are
     in at least 2 documents lose their lines in all but the smallest doc_id that has it.
     Documents are taken in ``batches`` by ascending doc_id, so an earlier batch keeps what
-    a later one loses; ``runs`` from earlier calls make lines found there go as well.
+    a later one loses; ``runs`` from earlier calls make lines found there go as well, and
+    keep this call's lines.  Without ``runs`` those of the call are dropped again.
 
     Null text: one empty line, text ''.  Null doc_ids: one document after all others.
     Rows of one doc_id are one document: its lines don't drop each other.  An empty table
@@ -126,7 +146,8 @@ def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = 4,
     shuffle) or met by a join whose hot partitions Spark can split.
     """
     spark = docs.sparkSession
-    runs = runs or LineRuns(spark)
+    own_runs = None if runs else LineRuns(spark)
+    runs = runs or own_runs
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"))
     steps = [i / batches for i in range(1, batches)]
     bounds = (ids.agg(F.percentile_approx("did", steps, 1000)).first()[0] or []) if steps else []
@@ -138,15 +159,17 @@ def dedup_lines(docs: DataFrame, runs: LineRuns | None = None, batches: int = 4,
     for n in range(len(bounds) + 1):
         part = absorb(lines.filter(F.col("batch") == n).drop("batch"), runs)
         gone = part if gone is None else gone.unionAll(part)
+    if own_runs:  # what goes is read from written tables, not from the runs
+        own_runs.close()
     gone = gone.groupBy("did", "content").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
     text = F.coalesce(F.col("text"), F.lit(""))
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    split = docs.select(
+    split = apart(docs.select(
         *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)],
         text.alias("own_text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("content"),
-    ).join(gone, ["did", "content"], "left").withColumn("own_lines", F.split("own_text", "\n"))
+    ), "did", "content").join(apart(gone, "did", "content"), ["did", "content", "apart"], "left").withColumn("own_lines", F.split("own_text", "\n"))
     ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("own_lines")))
     split = split.withColumn("ends", F.when(F.col("gone").isNotNull(), ends))
     between = F.transform(
