@@ -4,131 +4,234 @@ Each source is a queue of tokens.  Deficit round robin fills every window (a seq
 4096 tokens) to the target proportions: each window adds a queue's quantum to its deficit,
 the queue gives the whole tokens of its deficit, tokens still missing come from the queues
 with the largest deficits, and what is left is carried on.  Deficits are kept in units of
-1/64 token, so the gifts of 64 windows form a cycle, and the place of every token follows
-from its place in its queue by arithmetic.  A queue that runs dry starts a new phase with
-the quanta of those that are left.  So no task follows the windows one by one: partitions
-only need how much of each queue lies before them (:func:`pack_documents`), and carry on
-with the same deficits.
+1/64 token, so the gifts repeat after 64 windows or so, and the place of every token
+follows from its place in its queue by arithmetic.  Where a queue runs dry the others make
+up for it in the same window, and a new phase starts with the deficits they have by then
+and the quanta of those that are left.  So no task follows the windows one by one:
+partitions only need how much of each queue lies before them (:func:`pack_documents`), and
+carry on with the same deficits.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, written
+from graphloom.llm.common import small_arrow, small_batches, written
 
-CYCLE = 64
+#: A deficit of so many units is a token; so many windows of equal quanta give whole tokens.
+UNITS = 64
 MAX_BROADCAST_ROWS = 200_000
 
 
+def _shares(weights: np.ndarray, units: int, least: int = 0) -> np.ndarray:
+    """``units`` in proportion to ``weights``, as whole numbers, at least ``least`` where a weight is."""
+    exact = units * (weights / weights.sum())
+    out = np.where(weights > 0, np.maximum(least, np.floor(exact)), 0).astype(np.int64)
+    short = units - int(out.sum())
+    if short > 0:
+        out[np.lexsort((np.arange(len(out)), np.floor(exact) - exact))[:short]] += 1
+    else:
+        out[int(np.argmax(out))] += short
+    return out
+
+
+def serve(deficits: np.ndarray, quanta: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gifts, deficits after) of a window that no queue is too short for; deficits and quanta sum to ``size`` tokens."""
+    deficits = deficits + quanta
+    gifts = np.maximum(deficits // UNITS, 0)
+    rest = deficits - gifts * UNITS
+    missing = size - int(gifts.sum())
+    if missing > 0:  # to the largest rests, one token each
+        most = np.lexsort((np.arange(len(rest)), -rest))
+        most = most[quanta[most] > 0][:missing]
+        gifts[most] += 1
+        rest[most] -= UNITS
+    while missing < 0:  # queues below zero got nothing, so others got too much
+        q = min((q for q in range(len(rest)) if gifts[q]), key=lambda q: (rest[q], q))
+        less = min(-missing, int(gifts[q]))
+        gifts[q] -= less
+        rest[q] += less * UNITS
+        missing += less
+    return gifts, rest
+
+
+def serve_short(deficits: np.ndarray, weights: np.ndarray, size: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gifts, deficits after) of a window in which queues may run dry: rounds until it is full.
+
+    A dry queue's deficit goes, and the others share what is missing by their weights.
+    """
+    deficits, gifts = deficits.copy(), np.zeros(len(left), np.int64)
+    while (need := size - int(gifts.sum())) > 0:
+        room = left - gifts
+        deficits[room == 0] = 0
+        units = need * UNITS - int(deficits.sum())
+        if units > 0:
+            deficits += _shares(np.where(room > 0, weights, 0.0), units)
+        give = np.clip(deficits // UNITS, 0, room)
+        missing = need - int(give.sum())
+        order = np.flatnonzero(room > 0)
+        order = order[np.argsort(-(deficits - give * UNITS)[order], kind="stable")].tolist()
+        for q in order:
+            if missing > 0 and give[q] < room[q]:
+                give[q] += 1
+                missing -= 1
+        for q in reversed(order):
+            if missing < 0:
+                less = min(int(give[q]), -missing)
+                give[q] -= less
+                missing += less
+        gifts += give
+        deficits -= give * UNITS
+    deficits[left == gifts] = 0
+    return gifts, deficits
+
+
 class Phase:
-    """Windows ``first`` to ``first + n - 1``; ``given[k][q]`` tokens of queue q in its first k windows of a cycle."""
+    """Windows ``first`` to ``first + n - 1`` of ``size`` tokens that the same queues fill.
+
+    ``used``: the tokens of each queue before them.  Either ``quanta`` and the deficits at
+    the start, from which the gifts are worked out when asked for, or the ``gifts`` of a
+    single window.
+    """
+
+    def __init__(self, first: int, n: int, size: int, used: np.ndarray, deficits: np.ndarray | None = None, quanta: np.ndarray | None = None, gifts: np.ndarray | None = None):
+        self.first, self.n, self.size, self.used, self.deficits, self.quanta, self.gifts = first, n, size, used, deficits, quanta, gifts
+        self.tables: tuple | None = None
 
-    def __init__(self, first: int, n: int, used: list[int], given: list[list[int]]):
-        self.first, self.n, self.used = first, n, used
-        idle = [0] * len(given)
-        self.columns = [list(c) if c[-1] else idle for c in zip(*given)]
-        self.before = [[0, *accumulate(b - a for a, b in zip(x, y))] for x, y in zip(given, given[1:])]
+    def __getstate__(self):
+        return self.__dict__ | {"tables": None}
 
-    def given(self, queue: int, windows: int) -> int:
-        column = self.columns[queue]
-        turns, rest = divmod(windows, len(column) - 1)
-        return turns * column[-1] + column[rest]
+    def unrolled(self, most: int = 64 * UNITS) -> tuple[np.ndarray, np.ndarray, int | None]:
+        """(tokens given before each window, tokens of earlier queues in each window, first window of the cycle).
+
+        Windows are followed until the deficits are those before an earlier window; from
+        there on they repeat.  Should they not repeat within ``most`` windows, the phase
+        has no more windows than those.
+        """
+        if self.tables is None:
+            if self.gifts is not None:
+                given, start = [np.zeros_like(self.gifts), self.gifts], None
+            else:
+                given, deficits, start = [np.zeros_like(self.used)], self.deficits, None
+                met = {deficits.tobytes(): 0}
+                while start is None and len(given) <= most:
+                    gifts, deficits = serve(deficits, self.quanta, self.size)
+                    given.append(given[-1] + gifts)
+                    start = met.get(deficits.tobytes())
+                    met[deficits.tobytes()] = len(given) - 1
+            table = np.stack(given)
+            each = np.diff(table, axis=0)
+            self.tables = table, np.cumsum(each, axis=1) - each, start
+        return self.tables
+
+    def given(self, windows: int) -> np.ndarray:
+        """Tokens of each queue in the first ``windows`` windows."""
+        table, _, start = self.unrolled()
+        last = len(table) - 1
+        if windows <= last:
+            return table[windows]
+        turns, rest = divmod(windows - start, last - start)
+        return table[start + rest] + turns * (table[last] - table[start])
+
+    def deficits_after(self, windows: int) -> np.ndarray:
+        return self.deficits + windows * self.quanta - UNITS * self.given(windows)
+
+    def before(self, queue: int, window: int) -> int:
+        """Tokens of earlier queues in a window, counted from ``first``."""
+        _, earlier, start = self.unrolled()
+        return int(earlier[window if window < len(earlier) else start + (window - start) % (len(earlier) - start), queue])
 
     def window_of(self, queue: int, token: int) -> int:
         """The window, counted from ``first``, that has the queue's ``token``, counted from the phase's start."""
-        column = self.columns[queue]
-        turns, rest = divmod(token, column[-1])
-        return turns * (len(column) - 1) + bisect_right(column, rest) - 1
-
-
-def round_robin(quanta: list[int], window: int) -> list[list[int]]:
-    """Tokens given after 0 to 64 windows; quanta in 1/64 token a window, 64 * window in sum."""
-    deficits, given = [0] * len(quanta), [[0] * len(quanta)]
-    for _ in range(CYCLE):
-        deficits = [d + q for d, q in zip(deficits, quanta)]
-        gifts = [max(0, d // CYCLE) for d in deficits]
-        deficits = [d - g * CYCLE for d, g in zip(deficits, gifts)]
-        missing = window - sum(gifts)
-        for q in sorted((q for q in range(len(quanta)) if quanta[q]), key=lambda q: (-deficits[q], q))[: max(0, missing)]:
-            gifts[q] += 1
-            deficits[q] -= CYCLE
-        for q in sorted(range(len(quanta)), key=lambda q: (deficits[q], q)):  # after gifts below zero were lifted to it
-            if (over := sum(gifts) - window) <= 0:
-                break
-            less = min(over, gifts[q])
-            gifts[q] -= less
-            deficits[q] += less * CYCLE
-        given.append([a + b for a, b in zip(given[-1], gifts)])
-    return given
-
-
-def _quanta(weights: list[float], window: int) -> list[int]:
-    units, total = window * CYCLE, sum(weights)
-    quanta = [max(1, int(units * w / total)) if w > 0 else 0 for w in weights]
-    quanta[max(range(len(weights)), key=lambda q: quanta[q])] += units - sum(quanta)
-    return quanta
+        table, _, start = self.unrolled()
+        column, last = table[:, queue], len(table) - 1
+        if token < column[last]:
+            return int(np.searchsorted(column, token, "right")) - 1
+        if start is None or column[last] == column[start]:
+            return self.n
+        turns, rest = divmod(token - int(column[start]), int(column[last] - column[start]))
+        return turns * (last - start) + int(np.searchsorted(column, int(column[start]) + rest, "right")) - 1
 
 
 def plan(totals: list[int], weights: list[float] | None = None, window: int = 4096) -> list[Phase]:
     """The phases that use up ``totals`` tokens of each queue.
 
-    ``weights`` are the target proportions, by default those of the totals themselves,
+    ``weights`` are the target proportions, by default those of the tokens that are left,
     with which all queues end together.  All windows are full, but that the last tokens
-    (fewer than a window) make sequences whose lengths are powers of two.
+    (fewer than a window) make sequences whose lengths are powers of two.  Deficits are
+    carried through all windows: from phase to phase too, but for those of dry queues,
+    which the others make up for.
     """
-    weights = [max(float(w), 1e-12) for w in weights] if weights else [float(t) for t in totals]
-    used, first, phases = [0] * len(totals), 0, []
-    while (left := sum(totals) - sum(used)) > 0:
-        active = [w if t > u else 0.0 for w, t, u in zip(weights, totals, used)]
-        size = window if left >= window else 1 << (left.bit_length() - 1)
-        given = round_robin(_quanta(active, size), size)
-        phase = Phase(first, 0, list(used), given)
-        low, high = 0, (left // size if size == window else 0)
+    total = np.array(totals, np.int64)
+    used, first, phases, deficits = np.zeros(len(total), np.int64), 0, [], np.zeros(len(total), np.int64)
+    asked = None if weights is None else np.maximum(np.array(weights, float), 1e-12)
+    while (tokens := int((total - used).sum())) > 0:
+        left = total - used
+        target = np.where(left > 0, left.astype(float) if asked is None else asked, 0.0)
+        size = window if tokens >= window else 1 << (tokens.bit_length() - 1)
+        deficits = np.where(left > 0, deficits, 0)
+        if (lost := int(deficits.sum())) > 0:
+            deficits -= _shares(target, lost)
+        elif lost < 0:
+            deficits += _shares(target, -lost)
+        low = high = 0
+        if size == window:
+            phase = Phase(first, 0, size, used, deficits, _shares(target, size * UNITS, 1))
+            table, _, start = phase.unrolled()
+            high = tokens // size if start is not None else min(tokens // size, len(table) - 1)
         while low < high:
-            mid = (low + high + 1) // 2
-            if all(u + phase.given(q, mid) <= t for q, (t, u) in enumerate(zip(totals, used))):
-                low = mid
+            middle = (low + high + 1) // 2
+            if (phase.given(middle) <= left).all():
+                low = middle
             else:
-                high = mid - 1
+                high = middle - 1
         if low:
-            phase.n = low
-            used = [u + phase.given(q, low) for q, u in enumerate(used)]
-        else:  # a queue has less than its share of this window: the others make up for it
-            gifts = [min(g, t - u) for g, t, u in zip(given[1], totals, used)]
-            for q in sorted(range(len(totals)), key=lambda q: (used[q] + gifts[q] - totals[q], q)):
-                gifts[q] += min(size - sum(gifts), totals[q] - used[q] - gifts[q])
-            phase = Phase(first, 1, list(used), [[0] * len(totals), gifts])
-            used = [u + g for u, g in zip(used, gifts)]
+            phase.n, deficits = low, phase.deficits_after(low)
+            used = used + phase.given(low)
+        else:
+            gifts, deficits = serve_short(deficits, target, size, left)
+            phase = Phase(first, 1, size, used, gifts=gifts)
+            used = used + gifts
+        phase.tables = None
         phases.append(phase)
         first += phase.n
     return phases
 
 
-def pieces(phases: list[Phase], queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(start in the document, length, sequence, offset there) of a document at ``start`` of its queue."""
-    at, end = start, start + length
-    i = bisect_right(phases, at, key=lambda p: p.used[queue]) - 1
-    while at < end:
-        phase = phases[i]
-        k = phase.window_of(queue, at - phase.used[queue]) if phase.columns[queue][-1] else phase.n
-        if k >= phase.n:
-            i += 1
-            continue
-        begin = phase.used[queue] + phase.given(queue, k)
-        stop = min(end, phase.used[queue] + phase.given(queue, k + 1))
-        yield at - start, stop - at, phase.first + k, phase.before[k % len(phase.before)][queue] + at - begin
-        at = stop
+class Plan:
+    """The phases as workers use them: the tables of a few phases are kept at a time."""
+
+    def __init__(self, phases: list[Phase], kept: int = 16):
+        self.phases, self.kept, self.open = phases, kept, []
+        self.used = np.stack([p.used for p in phases]) if phases else np.zeros((0, 0), np.int64)
+
+    def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """(start in the document, length, sequence, offset there) of a document at ``start`` of its queue."""
+        at, end = start, start + length
+        i = int(np.searchsorted(self.used[:, queue], at, "right")) - 1
+        while at < end:
+            phase = self.phases[i]
+            if phase.tables is None:
+                self.open.append(phase)
+                if len(self.open) > self.kept:
+                    self.open.pop(0).tables = None
+            k = phase.window_of(queue, at - int(self.used[i, queue]))
+            if k >= phase.n:
+                i += 1
+                continue
+            begin = int(self.used[i, queue] + phase.given(k)[queue])
+            stop = min(end, int(self.used[i, queue] + phase.given(k + 1)[queue]))
+            yield at - start, stop - at, phase.first + k, phase.before(queue, k) + at - begin
+            at = stop
 
 
 def _is_latin(text: str) -> bool:
@@ -159,7 +262,7 @@ class WordTokens:
     LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
                        "[^\\t-\\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
-    def __init__(self, definition: str, generation: int = 400_000):
+    def __init__(self, definition: str, generation: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -204,7 +307,7 @@ _tokenizers: dict[int, WordTokens] = {}
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096,
-    weights: dict[str, float] | None = None, max_queues: int = 64,
+    weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """Pack all ``docs`` (doc_id, text, source) into sequences of at most ``window`` tokens.
 
@@ -215,8 +318,8 @@ def pack_documents(
     packed each by itself, so repeated doc_ids and null ids are kept (their pieces are
     told apart by their sequences).  An empty table gives no pieces.  Other columns are
     not read.  Every source has a queue of its own, however many there are, and ``weights``
-    are by source; the driver makes the plan from one total a source.  ``max_queues`` once
-    merged sources by hash; it is accepted and merges nothing.
+    are by source (others: next to nothing, until all named ones are used up); the driver
+    makes the plan from one total a source.
 
     One pass makes the ids and writes them with each document's place among its queue's
     tokens in its partition; then partitions get the tokens before them, and every
@@ -224,6 +327,7 @@ def pack_documents(
     task's: queues are split by partition.
     """
     spark = docs.sparkSession
+    small_arrow(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = f.read()
     key, shipped = zlib.crc32(definition.encode()), spark.sparkContext.broadcast(definition)
@@ -261,12 +365,13 @@ def pack_documents(
         bases = F.broadcast(bases)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Plan(phases.value)
         for batch in small_batches(batches):
             rows = []
             for doc, queue, begin, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                for start, length, sequence, offset in pieces(phases.value, numbers[queue], begin, n):
-                    own = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, zlib.crc32(own), n, sequence, offset, queue, own))
+                for start, length, sequence, offset in own.pieces(numbers[queue], begin, n):
+                    part = ids[4 * start : 4 * (start + length)]
+                    rows.append((doc, start, length, zlib.crc32(part), n, sequence, offset, queue, part))
             columns = list(zip(*rows)) or [[]] * 9
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 7, pa.string(), pa.binary()])],
