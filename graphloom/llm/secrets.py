@@ -1,7 +1,7 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a text is content-addressed (sha256).  The ledger, an append-only table,
-has a row for each blob and rule version that was scanned, with the spans found.  A scan
+has a row for each blob and rule version that was scanned, and one for each span found.  A scan
 takes only the pairs of blob and rule version that the ledger lacks, whatever paths and
 however many copies have the blob; findings are then joined back to all paths.
 
@@ -14,11 +14,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from graphloom.llm.common import fresh_path
+from graphloom.llm.common import apart, fresh_path, remember
 
 
 @dataclass(frozen=True)
@@ -45,29 +44,19 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{32,}"),
 )
 
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", SPAN)])
+#: A row for each scan of a blob by a rule (start and stop null) and for each span that it found.
+LEDGER = "blob string, kind string, version int, start long, stop long"
 
 
-def spans_of(text: Column, lower: Column, rule: Rule) -> Column:
-    """The (start, stop) of the rule's matches in ``text``, in code points, stop exclusive."""
-    pattern = F.lit(rule.pattern)
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern)
-    start = F.lit(0).cast("long")
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+def _matches(text: Column, lower: Column, rule: Rule) -> Column:
+    """What lies before each match of the rule's pattern, the match's length and whether it counts; first a row of the scan itself."""
+    found, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern)
     good = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least) if rule.group else (lambda m: F.length(m) >= rule.least)
-    empty = F.array().cast(SPAN)
-    placed = F.aggregate(
-        pairs,
-        F.struct(start.alias("at"), empty.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["size"]).alias("at"),
-            F.when(good(p["text"]), F.concat(a["spans"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["size"]).alias("stop"))).cast(SPAN)))
-            .otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
+    row = lambda gap, size, counts: F.struct(gap.cast("long").alias("gap"), size.cast("long").alias("size"), counts.alias("good"))
+    each = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: row(F.length(g), F.length(m), good(m)))
     hinted = reduce(lambda x, y: x | y, [F.contains(lower, F.lit(h)) for h in rule.hints]) if rule.hints else F.lit(True)
-    return F.when(hinted & F.regexp_like(text, pattern), placed).otherwise(empty)
+    scan = F.array(row(F.lit(0), F.lit(0), F.lit(False)))
+    return F.when(hinted & F.regexp_like(text, F.lit(rule.pattern)), F.concat(scan, each)).otherwise(scan)
 
 
 class BlobLedger:
@@ -75,12 +64,16 @@ class BlobLedger:
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = BASE_RULES):
         self.spark, self.rules = spark, rules
-        self.path = path or fresh_path(spark, "blob-ledger")
+        self.path = path or remember(spark, fresh_path(spark, "blob-ledger"))
         spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
+    def _current(self) -> DataFrame:
+        """The rows of the rules' present versions."""
+        return self.rows().filter(reduce(lambda x, y: x | y, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in self.rules]))
+
     @staticmethod
     def addressed(versions: DataFrame) -> DataFrame:
         text = F.coalesce(F.col("text"), F.lit(""))
@@ -91,32 +84,47 @@ class BlobLedger:
 
         The rows of one call are committed together; a call that fails leaves the ledger
         as it was, and the next call scans what is missing.
+
+        A match is a row, and its place the running sum of the lengths before it: the work
+        grows with a text and its matches, whatever their number.
         """
         blobs = self.addressed(versions).dropDuplicates(["blob"])
-        current = reduce(lambda x, y: x | y, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in self.rules])
-        have = self.rows().filter(current).groupBy("blob").agg(F.collect_set("kind").alias("have"))
+        have = self._current().filter("start is null").groupBy("blob").agg(F.collect_set("kind").alias("have"))
         todo = blobs.join(have, "blob", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
         todo = todo.filter(F.size("have") < len(self.rules)).withColumn("lower", F.lower("text"))
-        results = [
-            F.when(~F.array_contains("have", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), F.col("lower"), r).alias("spans")))
+        scans = [
+            F.when(~F.array_contains("have", r.kind), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _matches(F.col("text"), F.col("lower"), r).alias("found")))
             for r in self.rules
         ]
-        found = todo.select("blob", F.explode(F.array_compact(F.array(*results))).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
-        found.write.mode("append").parquet(self.path)
-
-    def findings(self, paths: DataFrame) -> DataFrame:
-        """``paths`` with blob and spans: an array of (start, stop, kind number, kind) in that order."""
+        each = todo.select("blob", F.explode(F.array_compact(F.array(*scans))).alias("x")).select("blob", "x.kind", "x.version", F.posexplode("x.found").alias("at", "m"))
+        before = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = each.withColumn("stop", F.sum(F.col("m.gap") + F.col("m.size")).over(before)).filter("at = 0 or m.good")
+        span = lambda c: F.when(F.col("at") > 0, c)
+        placed.select("blob", "kind", "version", span(F.col("stop") - F.col("m.size")).alias("start"), span(F.col("stop")).alias("stop")).write.mode("append").parquet(self.path)
+
+    def spans(self) -> DataFrame:
+        """(blob, start, stop, number, kind) of all findings, each once; ``number`` is the rule's place."""
         numbers = F.create_map(*[x for i, r in enumerate(self.rules) for x in (F.lit(r.kind), F.lit(i))])
-        current = reduce(lambda x, y: x | y, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in self.rules])
-        spans = (
-            self.rows().filter(current & (F.size("spans") > 0)).dropDuplicates(["blob", "kind"])
-            .select("blob", "kind", F.explode("spans").alias("s"))
-            .groupBy("blob")
-            .agg(F.sort_array(F.collect_list(F.struct("s.start", "s.stop", numbers[F.col("kind")].alias("number"), "kind"))).alias("spans"))
-        )
+        return self._current().filter("start is not null").select("blob", "start", "stop", numbers[F.col("kind")].alias("number"), "kind").distinct()
+
+    def findings(self, paths: DataFrame, merged: bool = False) -> DataFrame:
+        """``paths`` with blob and spans: an array of (start, stop, number, kind) in that order.
+
+        With ``merged`` spans that overlap are one, named after the first.
+        """
+        spans = self.spans()
+        if merged:
+            order = Window.partitionBy("blob").orderBy("start", "number")
+            reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+            spans = spans.withColumn("new", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+            spans = spans.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            first = F.min(F.struct("start", "number", "kind"))
+            spans = spans.groupBy("blob", "island").agg(F.max("stop").alias("end"), first.alias("s")).select("blob", "s.start", F.col("end").alias("stop"), "s.number", "s.kind")
+        spans = spans.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "number", "kind"))).alias("spans"))
         own = [c for c in paths.columns if c not in ("blob", "spans")]
         addressed = paths.select(*[F.col(f"`{c}`") for c in own], F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
-        return addressed.join(spans, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint,number:int,kind:string>>")))
+        joined = apart(addressed, "blob").join(apart(spans, "blob"), ["blob", "apart"], "left").drop("apart")
+        return joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint,number:int,kind:string>>")))
 
 
 def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
@@ -138,25 +146,34 @@ def scan_documents(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFra
     return found.select(F.col("doc_id").cast("long"), count("assign"), count("access"), count("hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+CHUNK = 4_096
+
+
+def _between(chunks: Column, start: Column, stop: Column) -> Column:
+    """The code points from ``start`` up to ``stop`` of a text cut into ``chunks``: only the chunks touched are read."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(stop / CHUNK).cast("int")
+    at, to = (F.pmod(x, F.lit(CHUNK)).cast("int") for x in (start, stop))
+    head, tail = F.get(chunks, first), F.coalesce(F.get(chunks, last), F.lit(""))
+    whole = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(stop <= start, F.lit("")).when(first == last, F.substring(head, at + 1, to - at)).otherwise(
+        F.concat(F.substring(head, at + 1, F.lit(CHUNK)), whole, F.substring(tail, F.lit(1), to)))
+
+
 def redact_documents(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``<kind>``; all columns kept, other rows unchanged.
 
-    Overlapping spans are joined and named after the first.  Null text stays null.
+    Overlapping spans are joined and named after the first.  Null text stays null.  Rows
+    are independent, whatever their ids; an empty table gives no rows.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.scan(docs)
     own = [c for c in docs.columns if c != "text"]
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], "text")
-    found = ledger.findings(renamed)
-    fold = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, s: F.when(s["stop"] <= a["at"], a).otherwise(F.struct(
-            s["stop"].alias("at"),
-            F.concat(a["parts"], F.when(s["start"] >= a["at"], F.array(F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), s["kind"], F.lit(">")))).otherwise(F.array().cast("array<string>"))).alias("parts"),
-        )),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", (a["at"] + 1).cast("int"), F.length("text"))),
-    )
-    text = F.when(F.size("spans") > 0, fold).otherwise(F.col("text"))
+    found = ledger.findings(renamed, merged=True)
+    found = found.withColumn("chunks", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    chunks, spans = F.col("chunks"), F.col("spans")
+    pieces = F.transform(spans, lambda s, i: F.concat(_between(chunks, F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0)), s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+    rest = _between(chunks, F.get(spans, F.size(spans) - 1)["stop"], F.length("text").cast("long"))
+    text = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
     place = {c: f"own_{i}" for i, c in enumerate(own)}
     return found.select(*[text.alias("text") if c == "text" else F.col(place[c]).alias(c) for c in docs.columns])
