@@ -34,15 +34,19 @@ def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores 0.3 or more stay, whatever other rows of their doc_id (null or repeated) score.
-    Labels of the held-out fold are not read."""
+    A row carries its own score: null and empty texts are scored like others, other columns
+    than those of documents are left out, an empty table gives no rows.  Labels of the
+    held-out fold are not read."""
     labels = common.labels(spark, sf_dir).select("doc_id", "quality")
-    docs = _keyed(docs)
-    scores = quality.score_documents(docs.select("doc_id", "text", "text_key"), labels, common.id_text_remainder("doc_id", 5) != 0, ("text_key",))
-    return _joined(docs, scores.filter(F.col("score") < 0.3).select("doc_id", "text_key").distinct(), "left_anti").select(*COLUMNS)
+    scores = quality.score_documents(docs.select(*COLUMNS), labels, common.id_text_remainder("doc_id", 5) != 0, tuple(c for c in COLUMNS if c != "doc_id"))
+    return scores.filter("score >= 0.3").select(*COLUMNS)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has are cut out; documents stay, even if nothing is left of them."""
+    """Lines that an earlier document has are cut out; documents stay, even if nothing is left of them
+    (the text is then empty, and packing makes it one end token).  Null text becomes empty; rows of a
+    null doc_id are one document after all others, rows of one doc_id are one document; an empty table
+    gives no rows; other columns are left out."""
     return _columns(line_dedup.dedup_lines(docs.select(*COLUMNS)))
 
 
@@ -50,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near-duplicates stays: of the smallest doc_id (a null one only where no
     row of the group has an id), there of the smallest md5 of the text, and of rows alike in both one.
     Texts without words are no group and stay.  Rows are judged by their own text, so other
-    texts of a repeated or null doc_id are not touched."""
+    texts of a repeated or null doc_id are not touched.  An empty table gives no rows; other columns are left out."""
     docs = _keyed(docs)
     found = shingle_join.group_documents(docs.select("doc_id", "text", "text_key"), keep=("text_key",)).filter("label is not null")
     keys = common.written(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n")), "group-keys")
@@ -68,12 +72,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; all documents stay."""
+    """Secrets are replaced by their kind; all rows stay, whatever their ids, null text stays null.
+    An empty table gives no rows; other columns are left out."""
     return _columns(secrets.redact_documents(docs.select(*COLUMNS)))
 
 
 def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a training sequence."""
+    """A row for each piece of a document in a training sequence.  Null and empty texts are their end id
+    alone; rows of a null or repeated doc_id are packed each by itself; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -89,8 +95,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again by the next."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over ``documents``; each one's rows are written and read again by the next, and
+    nothing else that it wrote is left.  What the last one reads stays until ``common.sweep``."""
+    docs, others = common.documents(spark, sf_dir), common.left(spark)
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name)
+        common.sweep(spark, docs, besides=others)
     return STAGES[-1][1](spark, docs, sf_dir)

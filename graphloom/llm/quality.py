@@ -15,11 +15,13 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import written
+from graphloom.llm.common import small_arrow, written
 from graphloom.llm.textscan import LOWER, SPACE, Slice, slices
 
 FEATURES = (
@@ -202,17 +204,19 @@ def fit_tables(x: np.ndarray, y: np.ndarray, bins: int = 64, pair_bins: int = 12
 
 
 def featurise(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and features (array of double) of every whole text of ``docs``, and the string columns ``keep``; null text as empty."""
+    """doc_id and features (array of double) of every whole text of ``docs``, and the columns ``keep``; null text as empty."""
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(f"`{k}`") for k in keep if k != "text"])
+    places = [picked.columns.index(k) for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_features(piece) for piece in slices(batch.column(1))]
             x = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
             cut = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(x.ravel())), *batch.columns[2:]], ["doc_id", "features", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(x.ravel())), *(batch.column(i) for i in places)], ["doc_id", "features", *keep])
 
-    fields = "doc_id long, features array<double>" + "".join(f", {k} string" for k in keep)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, fields)
+    fields = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.ArrayType(T.DoubleType())), *(picked.schema[k] for k in keep)])
+    return picked.mapInArrow(run, fields)
 
 
 def fit(features: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 40_000) -> AdditiveModel:
@@ -220,24 +224,24 @@ def fit(features: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(may_learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id", "quality").limit(max_rows)
-    rows = features.select("doc_id", "features").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows).toArrow()
+    rows = features.select("doc_id", "features").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("features")).limit(max_rows).toArrow()
     x = rows.column("features").combine_chunks().values.to_numpy().reshape(-1, len(FEATURES)) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit_tables(x, rows.column("quality").to_numpy().astype(float))
 
 
-def score_features(features: DataFrame, model: AdditiveModel, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_features(features: DataFrame, model: AdditiveModel) -> DataFrame:
+    """``features`` with a score in place of the features; only these leave the JVM."""
     sent = features.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.scores(x)), *batch.columns[2:]], ["doc_id", "score", *keep])
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.scores(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
 
-    return features.select("doc_id", "features", *keep).mapInArrow(run, "doc_id long, score double" + "".join(f", {k} string" for k in keep))
+    return features.select("doc_id", score("features").alias("score"), *[c for c in features.columns if c not in ("doc_id", "features")])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, may_learn: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text of ``docs`` (doc_id, text), with the string columns ``keep``.
+    """doc_id and score (0 to 1) of every whole text of ``docs`` (doc_id, text), with its columns ``keep`` (the text may be one).
 
     The texts are read once: their features are written, the model is fitted to those of
     labelled rows, then all are scored.  Null text counts as empty and is scored too; null
@@ -245,5 +249,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, may_learn: Column, keep:
     scores are the share of good ones.  An empty table gives no rows.  Other columns are
     not read.
     """
+    small_arrow(docs.sparkSession)
     features = written(featurise(docs, keep), "quality")
-    return score_features(features, fit(features, labels, may_learn), keep)
+    return score_features(features, fit(features, labels, may_learn))
