@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import shuffle_partitions, written
-from graphloom.llm.graph import components
+from graphloom.llm.buckets import across_blocks, labelled
+from graphloom.llm.common import apart, discard, shuffle_partitions, small_arrow, written
+from graphloom.llm.graph import components, joined_up
 from graphloom.llm.textscan import SPACE, mixed, slices
 
 #: Segments with one-deletion neighbours, the last of each band's cut.
@@ -142,20 +143,26 @@ def _signed(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        signed, ids, metas = [], [], []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (signed, ids, metas)], ["bucket", "id", "meta"])
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                signed, ids, metas = [], [], []
-                for found in shingles(batch.column(1).slice(start, 256), width):
-                    if not len(found) or (own := _class_of(found)) in seen:
-                        continue
-                    seen.add(own)
-                    for band, need in bands.bands_of(len(found)):
-                        values, spare = signatures(found, band, bands.segments(band), need)
-                        signed.append(values)
-                        ids.append(np.full(len(values), own, np.int64))
-                        metas.append(np.full(len(values), spare << 6 | band, np.int32))
-                if signed:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signed).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(metas))], ["bucket", "id", "meta"])
+            for found in shingles(batch.column(1), width):
+                if not len(found) or (own := _class_of(found)) in seen:
+                    continue
+                seen.add(own)
+                for band, need in bands.bands_of(len(found)):
+                    values, spare = signatures(found, band, bands.segments(band), need)
+                    signed.append(values.view(np.int64))
+                    ids.append(np.full(len(values), own, np.int64))
+                    metas.append(np.full(len(values), spare << 6 | band, np.int32))
+                if sum(map(len, signed[-64:])) > 50_000 or len(signed) > 512:
+                    yield rows()
+                    signed, ids, metas = [], [], []
+        if signed:
+            yield rows()
 
     return docs.mapInArrow(run, "bucket long, id long, meta int")
 
@@ -233,9 +240,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting += len(x)
             bucket, ids, meta = (c[keep:].copy() for c in (bucket, ids, meta))
         held = [bucket, ids, meta]
-        if waiting > 1_000_000:
+        if waiting > 250_000:
             merged = _counted([np.concatenate(c) for c in zip(*pairs)])
-            if len(merged[0]) > 500_000:
+            if len(merged[0]) > 125_000:
                 yield emit_pairs(merged)
                 merged = [c[:0] for c in merged]
             pairs, waiting = [merged], len(merged[0])
@@ -243,7 +250,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coming: list[pa.RecordBatch] = []
     for batch in batches:
         coming.append(batch)
-        if sum(b.num_rows for b in coming) >= 100_000:
+        if sum(b.num_rows for b in coming) >= 50_000:
             held = [np.concatenate([h, *(b.column(i).to_numpy() for b in coming)]) for i, h in enumerate(held)]
             coming = []
             yield from work(False)
@@ -278,7 +285,7 @@ def link_cell(sets: list[np.ndarray], percent: int) -> list[int]:
     return [find(i) for i in range(len(sets))]
 
 
-def join_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limit: int = 512, most_sent: int = 4_000_000) -> DataFrame:
+def join_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limit: int = 512, most_sent: int = 1_000_000) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
 
     Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``, A-Z lower-cased.  A text's
@@ -292,28 +299,34 @@ def join_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limi
     a group of such rows only has a null component_id.  An empty table gives no rows.
     Other columns are not read.
 
-    Equal sets are one class, however many there are, and never make pairs.
+    Equal sets are one class, however many there are, and never make pairs.  Tables of up
+    to ``most_sent`` numbers are broadcast after they have been counted, larger ones joined.
     """
-    labelled = group_documents(docs, percent, width, cell_limit, most_sent)
-    least = labelled.filter("size > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = group_documents(docs, percent, width, cell_limit, most_sent)
+    named = labels.filter("label is not null")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    linked = apart(named, "label").join(apart(least, "label"), ["label", "apart"])
+    return linked.select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionAll(labels.filter("label is null").select("doc_id", "size", "doc_id"))
 
 
-def group_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limit: int = 512, most_sent: int = 4_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def group_documents(docs: DataFrame, percent: int = 80, width: int = 5, cell_limit: int = 512, most_sent: int = 1_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of ``docs``: doc_id, size of its set, label, and the string columns ``keep``.
 
     Links are those of :func:`join_documents`; rows that links reach have the same label,
     whatever their ids.  A text without words has no label.
     """
+    small_arrow(docs.sparkSession)
     bands = Bands(percent)
     sized = written(_sizes(_docs(docs, keep), width, keep), "shingle-sizes")
     placed = _components(_docs(docs), sized, bands, width, cell_limit, most_sent)
-    labelled = sized.join(placed.withColumnRenamed("id", "class"), "class", "left")
-    return written(labelled.select("doc_id", "size", F.when(F.col("size") > 0, F.coalesce("component", "class")).alias("label"), *keep), "shingle-labels")
+    worded = sized.filter("size > 0").join(placed.withColumnRenamed("id", "class"), "class", "left").select("doc_id", "size", F.coalesce("component", "class").alias("label"), *keep)
+    found = written(worded.unionAll(sized.filter("size = 0").select("doc_id", "size", F.lit(None).cast("long"), *keep)), "shingle-labels")
+    discard(sized, placed)
+    return found
 
 
-def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, cell_limit: int, most_sent: int) -> DataFrame:
-    """(id, component) of the classes that are linked with others."""
+def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, cell_limit: int, most_sent: int, cell_bytes: int = 16 << 20) -> DataFrame:
+    """(id, component) of the classes that are linked with others; a written table."""
     spark = texts.sparkSession
     signed = _signed(texts, width, bands)
     runs = written(signed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "id")
@@ -328,25 +341,34 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     pairs = pairs.filter(F.col("n") > F.greatest(shares("a"), shares("b"))).select("a", "b")
     hot = written(_needing(hot, frequent.filter("lost > spare").select("id", "band"), most_sent), "shingle-hot")
     edges = written(pairs.unionAll(hot.filter("centre < id").select("centre", "id")).distinct(), "shingle-edges")
-    cells = written(components(edges), "shingle-cells")
-    weights = cells.groupBy("component").agg(F.count("*").alias("members"))
-    cells = written(cells.join(weights, "component"), "shingle-cells")
-    total = cells.count()
+    discard(runs, frequent)
+    linked = components(edges)
+    classes = sized.filter("size > 0").groupBy(F.col("class").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"))
+    members = written(linked.join(classes, "id"), "shingle-members")
+    weights = members.groupBy("component").agg(F.count("*").alias("members"), (8 * F.sum("size")).alias("bytes"))
+    cells = written(apart(members, "component").join(apart(weights, "component"), ["component", "apart"]).drop("apart").withColumn(
+        "large", (F.col("members") > cell_limit) | (F.col("bytes") > cell_bytes)), "shingle-cells")
+    discard(linked, members)
+    total, size = cells.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not total:
         return cells.select("id", "component")
-    chosen = sized.join(cells.select(F.col("id").alias("class")), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(chosen, "shingle-chosen")
-    named, unnamed = chosen.filter("doc_id is not null"), chosen.filter("doc_id is null").select("class")  # classes of null ids only are told by their sets
+    # classes of null ids only are told by their sets
+    named, unnamed = cells.filter("doc_id is not null").select("doc_id"), cells.filter("doc_id is null").select("id")
     if total <= most_sent:  # 8 bytes each
-        sent = spark.sparkContext.broadcast(tuple(np.sort(rows.toArrow().column(0).to_numpy()) for rows in (named.select("doc_id"), unnamed)))
+        sent = spark.sparkContext.broadcast(tuple(np.sort(rows.toArrow().column(0).to_numpy()) for rows in (named, unnamed)))
         wanted = texts
     else:
-        sent, wanted = None, texts.join(named.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+        sent, wanted = None, texts.join(named, "doc_id", "left_semi").select("doc_id", "text")
         if not unnamed.isEmpty():
             wanted = wanted.unionAll(texts.filter("doc_id is null"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ids, sets = [], []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
         for batch in batches:
             text, null = batch.column(1), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             unnamed = None
@@ -354,40 +376,44 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
                 named, unnamed = sent.value
                 keep = np.where(null, len(unnamed) > 0, np.isin(batch.column(0).fill_null(0).to_numpy(), named))
                 text, null = text.filter(pa.array(keep)), null[keep]
-            for start in range(0, len(text), 256):
-                ids, sets = [], []
-                for found, nameless in zip(shingles(text.slice(start, 256), width), null[start : start + 256].tolist()):
-                    if not len(found) or (own := _class_of(found)) in seen:
-                        continue
-                    if not nameless or unnamed is None or unnamed[min(np.searchsorted(unnamed, own), len(unnamed) - 1)] == own:
-                        seen.add(own)
-                        ids.append(own)
-                        sets.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    sets = written(wanted.mapInArrow(collect, "id long, shingles binary").join(cells.select("id", "component", "members"), "id"), "shingle-sets")
-    lots = max(64, -(-total // 256))
+            for found, nameless in zip(shingles(text, width), null.tolist()):
+                if not len(found) or (own := _class_of(found)) in seen:
+                    continue
+                if not nameless or unnamed is None or unnamed[min(np.searchsorted(unnamed, own), len(unnamed) - 1)] == own:
+                    seen.add(own)
+                    ids.append(own)
+                    sets.append(found.tobytes())
+                    if len(ids) >= 256 or sum(map(len, sets[-16:])) > 1 << 20:
+                        yield rows()
+                        ids, sets = [], []
+        yield rows()
+
+    sets = written(wanted.mapInArrow(collect, "id long, shingles binary").join(cells.select("id", "component", "large"), "id"), "shingle-sets")
+    lots = max(64, 8 * size // (4 << 20))
     percent = bands.percent
 
     def settle(table):
+        """The cells of a lot: some megabytes of sets, and at most one cell's more."""
         ids, owner = table.column("id").to_numpy(), table.column("component").to_numpy()
-        raw = table.column("shingles").to_pylist()
+        raw = table.column("shingles")
         order = np.lexsort((ids, owner))
         out = np.empty(len(ids), np.int64)
         cuts = np.flatnonzero(np.diff(owner[order], prepend=owner[order][0] - 1, append=owner[order][-1] + 1))
         for a, b in zip(cuts, cuts[1:]):
             members = order[a:b]
             first = members[np.concatenate([[True], np.diff(ids[members]) != 0])]
-            roots = link_cell([np.frombuffer(raw[i], np.uint64) for i in first], percent)
+            roots = link_cell([np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in first], percent)
             of = dict(zip(ids[first].tolist(), [int(ids[first[r]]) for r in roots]))
             out[members] = [of[i] for i in ids[members].tolist()]
         return pa.table({"id": ids, "component": out})
 
-    small = sets.filter(F.col("members") <= cell_limit).withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(lots)))
+    small = sets.filter("not large").withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(lots)))
     settled = small.groupBy("lot").applyInArrow(settle, "id long, component long").distinct()
-    large = sets.filter(F.col("members") > cell_limit)
+    large = sets.filter("large")
     if large.isEmpty():
-        return written(settled, "shingle-components")
+        found = written(settled, "shingle-components")
+        discard(sets, cells, edges, hot)
+        return found
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,9 +426,11 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
         both = pairs.join(large.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    ids = cells.filter(F.col("members") > cell_limit).select("id")
-    edges = written(edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi"), "shingle-edges")
-    return written(settled.unionAll(_settle_large(edges, hot.select("bucket", "id"), large, verify, percent, most_sent)), "shingle-components")
+    inside = written(edges.join(cells.filter("large").select(F.col("id").alias("a")), "a", "left_semi"), "shingle-edges")
+    rest = _settle_large(inside, hot.select("bucket", "id"), large, verify, percent, most_sent)
+    found = written(settled.unionAll(rest), "shingle-components")
+    discard(sets, cells, edges, inside, hot, large, rest)
+    return found
 
 
 def _needing(hot: DataFrame, needy: DataFrame, most_sent: int) -> DataFrame:
@@ -424,9 +452,7 @@ def _needing(hot: DataFrame, needy: DataFrame, most_sent: int) -> DataFrame:
 def _labelled(rows: DataFrame, names: list[str], placed: DataFrame, most_sent: int) -> DataFrame:
     """``rows`` (longs only) with the component of each of the id columns ``names``, as c_name; an id without one is its own."""
     if placed.count() > most_sent:
-        for n in names:
-            rows = rows.join(placed.select(F.col("id").alias(n), F.col("component").alias(f"c_{n}")), n, "left").withColumn(f"c_{n}", F.coalesce(f"c_{n}", n))
-        return rows
+        return labelled(rows, names, placed)
     table = placed.orderBy("id").toArrow()
     sent = rows.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), table.column("component").to_numpy()))
     fields = rows.columns
@@ -470,12 +496,13 @@ def parities(found: np.ndarray) -> bytes:
 
 
 def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, percent: int, most_sent: int) -> DataFrame:
-    """(id, component) within cells too large for a task.
+    """(id, component) within cells too large for a task; a written table.
 
     Sizes and parity bits rule out the pairs that differ in too many shingles, so that sets
     which share a passage only are not fetched.  Of the candidate edges left, one per set
     is verified first, then those whose ends are still apart, then the members of frequent
-    buckets across components.
+    buckets across components: these are compared by their bits in blocks within tasks, and
+    only the pairs that the bits leave are written.
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,24 +520,38 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
         fits = 100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))
         return fits & (differing * (100 + percent) <= (100 - percent) * (size(x) + size(y)))
 
-    edges = edges.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id"))
-    edges = written(edges.filter(possible("x", "y")).select("a", "b"), "shingle-possible")
-    links = written(verify(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
-    placed = written(components(links), "placed")
+    def compare(rest: pa.Table, every: pa.Table) -> pa.Table:
+        (ids, mine, size, words), (others, theirs, sizes, their_words) = (
+            (*(t.column(c).to_numpy() for c in ("id", "component", "size")), np.stack([t.column(f"w{i}").to_numpy() for i in range(8)], axis=1)) for t in (rest, every))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(ids), 64):
+            part = slice(at, at + 64)
+            both = size[part, None] + sizes[None, :]
+            may = (mine[part, None] != theirs[None, :]) & (100 * np.minimum(size[part, None], sizes[None, :]) >= percent * np.maximum(size[part, None], sizes[None, :]))
+            differing = np.bitwise_count(words[part, None, :] ^ their_words[None, :, :]).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero(may & (differing * (100 + percent) <= (100 - percent) * both))
+            a.append(np.minimum(ids[at + i], others[j]))
+            b.append(np.maximum(ids[at + i], others[j]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    near = edges.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id"))
+    near = written(near.filter(possible("x", "y")).select("a", "b"), "shingle-possible")
+    links = written(verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+    placed = components(links)
+    discard(links)
 
     def add(pairs: DataFrame) -> None:
-        nonlocal links, placed
+        nonlocal placed
         more = written(verify(pairs), "links")
         if not more.isEmpty():
-            links = links.unionAll(more)
-            placed = written(components(links), "placed")
+            placed = joined_up(placed, more)
+        discard(more)
 
-    add(_labelled(edges, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b"))
+    add(_labelled(near, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b"))
     marked = _labelled(hot, ["id"], placed, most_sent)
-    torn = marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket")
-    marked = written(_sketched(marked, written(torn, "torn-buckets"), sketch, most_sent // 8), "torn")
+    torn = written(marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets")
+    marked = written(_sketched(marked, torn, sketch, most_sent // 8), "torn")
     if not marked.isEmpty():
-        x, y = marked.alias("x"), marked.alias("y")
-        across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c_id") != F.col("y.c_id")) & possible("x", "y"))
-        add(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        add(across_blocks(marked.withColumnRenamed("c_id", "component"), compare, "a long, b long").distinct())
+    discard(near, torn, marked, sketch)
     return placed
