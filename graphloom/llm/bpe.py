@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import small_arrow
+
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks from the lines of a .tiktoken file."""
@@ -243,6 +245,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     (under 1 MB) and broadcasts it, so executors need no copy of it.
     """
     spark = docs.sparkSession
+    small_arrow(spark)
     with open(ranks_path, "rb") as f:
         data = f.read()
     key, shipped = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
