@@ -103,3 +103,36 @@ def test_rows_are_judged_by_their_own_text(spark, folder):
     out = sorted([(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()], key=str)
     first = lambda *t: min(t, key=lambda x: hashlib.md5(x.encode()).hexdigest())
     assert out == sorted([(1, a), (2, b), (None, first(c, c + " more")), (None, d), (3, first(e, e + " more")), (None, ""), (None, None), (None, "")], key=str)
+
+
+def test_stages_take_odd_tables(spark, folder):
+    """No rows, other columns, null and repeated ids, and a very long text."""
+    schema = "extra string, doc_id long, text string, lang string, source string, n_chars long, score double, label long, text_key string"
+    rnd = random.Random(15)
+    long = "\n".join(" ".join(f"w{rnd.randrange(10**5)}" for _ in range(20)) for _ in range(4_000)) + "\npassword = abcdefgh1234"
+    given = [(1, long), (1, "one line of text\nsecond line of text"), (None, "one line of text\nthird line of text"), (None, None), (None, ""), (7, "one line of text")]
+    docs = spark.createDataFrame([("e", i, t, "en", None, 3, 0.1, 5, "k") for i, t in given], schema)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+        out = stage(spark, docs, folder)
+        if name != "mixture_packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        got[name] = out.collect()
+    texts = lambda name: sorted([(r.doc_id, r.text) for r in got[name]], key=str)
+    assert set(texts("quality_classifier")) <= set(given)
+    assert texts("line_runs") == sorted([(1, long), (1, given[1][1]), (None, "third line of text"), (None, ""), (None, ""), (7, "")], key=str)
+    assert texts("near_duplicates") == sorted(given, key=str)
+    assert texts("secret_scan") == sorted([(i, t and t.replace("password = abcdefgh1234", "<assign>")) for i, t in given], key=str)
+    ends = [(r.doc_id, r.doc_tokens) for r in got["mixture_packing"] if r.start == 0]
+    assert len(ends) == len(given) and ends.count((None, 1)) == 2
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, folder):
+    from graphloom.llm import common
+
+    before = common.left(spark)
+    rows = corpus_pipeline.run(spark, folder)
+    n = rows.count()
+    common.sweep(spark, besides=before)
+    assert n > 300 and common.left(spark) == before
