@@ -38,7 +38,7 @@ def labelled(rows: DataFrame, names: list[str], placed: DataFrame) -> DataFrame:
     return rows
 
 
-def across_blocks(torn: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = 2_048) -> DataFrame:
+def across_blocks(torn: DataFrame, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = 512) -> DataFrame:
     """What ``compare`` gives for rows of ``torn`` (bucket, id, component, ...) in different components of a bucket.
 
     Rows outside a bucket's main component (the one with most rows) meet all its rows.  Both
