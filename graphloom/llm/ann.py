@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, fresh_path, remember, small_arrow, written
+from graphloom.llm.common import discard, fresh_path, lean, remember, small_arrow, written
 from graphloom.llm.vectors import common_length, matrix, usable
 
 
@@ -150,11 +150,11 @@ def search(
                     floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(score), -np.inf)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floor)], ["query", "vec_id", "embedding", "floor"])
 
-        coded = rows.mapInArrow(encode, "vec_id long, embedding array<double>, asks boolean, codes binary, norm double, rest double")
+        coded = rows.mapInArrow(lean(encode), "vec_id long, embedding array<double>, asks boolean, codes binary, norm double, rest double")
         index = written(coded.withColumn("row", F.monotonically_increasing_id()), "ann-index")
         total, asking = index.agg(F.count("*"), F.count_if("asks")).first()
         blocks, chunks = -(-total // block_rows), -(-asking // query_rows)
-        asked = written(index.filter("asks").select(F.col("row").alias("query"), "vec_id", "embedding").mapInArrow(floors, "query long, vec_id long, embedding array<double>, floor double"), "ann-queries")
+        asked = written(index.filter("asks").select(F.col("row").alias("query"), "vec_id", "embedding").mapInArrow(lean(floors), "query long, vec_id long, embedding array<double>, floor double"), "ann-queries")
         for chunk in range(chunks):
             mine = asked.filter(F.pmod(F.xxhash64("query"), F.lit(chunks)) == chunk).toArrow()
             mine = spark.sparkContext.broadcast((*(mine.column(c).to_numpy() for c in ("query", "vec_id", "floor")), matrix(mine.column("embedding"), length)))
@@ -163,7 +163,7 @@ def search(
                 if batches := list(batches):
                     yield from _find(pa.Table.from_batches(batches), *mine.value, sent.value[0], k, deviations, length)
 
-            index.select("row", "vec_id", "embedding", "codes", "norm", "rest").repartition(blocks, "row").mapInArrow(find, schema).write.mode("append").parquet(path)
+            index.select("row", "vec_id", "embedding", "codes", "norm", "rest").repartition(blocks, "row").mapInArrow(lean(find), schema).write.mode("append").parquet(path)
             mine.unpersist()
         discard(index, asked)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_arrow
+from graphloom.llm.common import lean, small_arrow
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -272,4 +272,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)

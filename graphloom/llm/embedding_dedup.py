@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.buckets import across_blocks, resolve, with_centres
-from graphloom.llm.common import apart, discard, small_arrow, written
+from graphloom.llm.common import apart, discard, lean, small_arrow, written
 from graphloom.llm.textscan import mixed
 from graphloom.llm.vectors import close, common_length, cosines, matrix, unit, usable
 
@@ -92,7 +92,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 11, blo
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("embedding").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("embedding").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(lean(linked), "a long, b long")
 
     def compare(rest: pa.Table, every: pa.Table) -> pa.Table:
         """A link of each row with each other component that it has one with: more would join nothing more."""
@@ -112,7 +112,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, seed: int = 11, blo
     def across(torn: DataFrame) -> DataFrame:
         return across_blocks(torn.join(own, "id"), compare, "a long, b long").distinct()
 
-    met = written(with_centres(own.mapInArrow(hashes, "bucket long, id long, sketch long")), "vector-buckets")
+    met = written(with_centres(own.mapInArrow(lean(hashes), "bucket long, id long, sketch long")), "vector-buckets")
     placed = resolve(met, verify, across, (lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= most_signs(cosine)) if signs else None)
     discard(met)
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))

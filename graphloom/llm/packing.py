@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_arrow, small_batches, written
+from graphloom.llm.common import lean, small_arrow, small_batches, written
 
 #: A deficit of so many units is a token; so many windows of equal quanta give whole tokens.
 UNITS = 64
@@ -353,7 +353,7 @@ def pack_documents(
 
     coded = written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), source.alias("queue"))
-        .mapInArrow(tokens, "doc_id long, queue string, part int, begin long, doc_tokens long, ids binary"), "packing")
+        .mapInArrow(lean(tokens), "doc_id long, queue string, part int, begin long, doc_tokens long, ids binary"), "packing")
     parts = coded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens"))
     totals = {r.queue: r.tokens for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals)
@@ -380,5 +380,5 @@ def pack_documents(
     return (
         coded.join(bases, ["queue", "part"])
         .select("doc_id", "queue", (F.col("begin") + F.col("base")).alias("begin"), "doc_tokens", "ids")
-        .mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")
+        .mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, ids binary")
     )

@@ -15,13 +15,12 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import small_arrow, written
+from graphloom.llm.common import lean, small_arrow, written
 from graphloom.llm.textscan import LOWER, SPACE, Slice, slices
 
 FEATURES = (
@@ -216,7 +215,7 @@ def featurise(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(x.ravel())), *(batch.column(i) for i in places)], ["doc_id", "features", *keep])
 
     fields = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("features", T.ArrayType(T.DoubleType())), *(picked.schema[k] for k in keep)])
-    return picked.mapInArrow(run, fields)
+    return picked.mapInArrow(lean(run), fields)
 
 
 def fit(features: DataFrame, labels: DataFrame, may_learn: Column, max_rows: int = 40_000) -> AdditiveModel:
@@ -233,9 +232,9 @@ def score_features(features: DataFrame, model: AdditiveModel) -> DataFrame:
     """``features`` with a score in place of the features; only these leave the JVM."""
     sent = features.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.scores(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(sent.value.scores(x.flatten().to_numpy().reshape(-1, len(FEATURES))))
 
     return features.select("doc_id", score("features").alias("score"), *[c for c in features.columns if c not in ("doc_id", "features")])
 

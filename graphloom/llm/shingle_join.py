@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.buckets import across_blocks, labelled
-from graphloom.llm.common import apart, discard, shuffle_partitions, small_arrow, written
+from graphloom.llm.common import apart, discard, lean, shuffle_partitions, small_arrow, written
 from graphloom.llm.graph import components, joined_up
 from graphloom.llm.textscan import SPACE, mixed, slices
 
@@ -135,7 +135,7 @@ def _sizes(docs: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame
             sets = [(len(s), _class_of(s)) for s in shingles(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*sets) if sets else ([], []))), *batch.columns[2:]], ["doc_id", "size", "class", *keep])
 
-    return docs.mapInArrow(run, "doc_id long, size long, class long" + "".join(f", {k} string" for k in keep))
+    return docs.mapInArrow(lean(run), "doc_id long, size long, class long" + "".join(f", {k} string" for k in keep))
 
 
 def _signed(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -164,7 +164,7 @@ def _signed(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
         if signed:
             yield rows()
 
-    return docs.mapInArrow(run, "bucket long, id long, meta int")
+    return docs.mapInArrow(lean(run), "bucket long, id long, meta int")
 
 
 def _counted(rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -330,7 +330,7 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     spark = texts.sparkSession
     signed = _signed(texts, width, bands)
     runs = written(signed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "id")
-                   .mapInArrow(_runs, "a long, b long, band int, spare_a int, spare_b int, n int, centre long, hot boolean"), "shingle-runs", "hot")
+                   .mapInArrow(lean(_runs), "a long, b long, band int, spare_a int, spare_b int, n int, centre long, hot boolean"), "shingle-runs", "hot")
     hot = runs.filter("hot").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "centre", "band", F.col("spare_a").alias("spare"))
     frequent = written(hot.groupBy("id", "band").agg(F.count("*").alias("lost"), F.max("spare").alias("spare")), "shingle-frequent")
     # of a set's signatures its similar partners share more than it could do without; less those among the frequent
@@ -388,7 +388,7 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
                         ids, sets = [], []
         yield rows()
 
-    sets = written(wanted.mapInArrow(collect, "id long, shingles binary").join(cells.select("id", "component", "large"), "id"), "shingle-sets")
+    sets = written(wanted.mapInArrow(lean(collect), "id long, shingles binary").join(cells.select("id", "component", "large"), "id"), "shingle-sets")
     lots = max(64, 8 * size // (4 << 20))
     percent = bands.percent
 
@@ -424,7 +424,7 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(large.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
     inside = written(edges.join(cells.filter("large").select(F.col("id").alias("a")), "a", "left_semi"), "shingle-edges")
     rest = _settle_large(inside, hot.select("bucket", "id"), large, verify, percent, most_sent)
@@ -446,7 +446,7 @@ def _needing(hot: DataFrame, needy: DataFrame, most_sent: int) -> DataFrame:
             keep = pa.array(np.isin(name(batch.column(1).to_numpy(), batch.column(3).to_numpy()), sent.value))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], ["bucket", "id", "centre"])
 
-    return hot.select("bucket", "id", "centre", "band").mapInArrow(run, "bucket long, id long, centre long")
+    return hot.select("bucket", "id", "centre", "band").mapInArrow(lean(run), "bucket long, id long, centre long")
 
 
 def _labelled(rows: DataFrame, names: list[str], placed: DataFrame, most_sent: int) -> DataFrame:
@@ -467,7 +467,7 @@ def _labelled(rows: DataFrame, names: list[str], placed: DataFrame, most_sent: i
                 out.append(pa.array(np.where(known[at] == own, component[at], own) if len(known) else own))
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*fields, *(f"c_{n}" for n in names)])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*fields, *(f"c_{n}" for n in names)]))
+    return rows.mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*fields, *(f"c_{n}" for n in names)]))
 
 
 def _sketched(rows: DataFrame, buckets: DataFrame, sketch: DataFrame, most_sent: int) -> DataFrame:
@@ -486,7 +486,7 @@ def _sketched(rows: DataFrame, buckets: DataFrame, sketch: DataFrame, most_sent:
             keep = np.isin(batch.column(0).to_numpy(), wanted) & ((ids[at] == own) if len(ids) else np.zeros(len(own), bool))
             yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep)) for c in batch.columns), *(pa.array(c[at[keep]]) for c in columns)], ["bucket", "id", "c_id", *names])
 
-    return rows.select("bucket", "id", "c_id").mapInArrow(run, "bucket long, id long, c_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.select("bucket", "id", "c_id").mapInArrow(lean(run), "bucket long, id long, c_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def parities(found: np.ndarray) -> bytes:
@@ -512,7 +512,7 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(8))],
                                              ["id", "size", *(f"w{i}" for i in range(8))])
 
-    sketch = written(large.select("id", "shingles").mapInArrow(bits, "id long, size long, " + ", ".join(f"w{i} long" for i in range(8))), "shingle-bits")
+    sketch = written(large.select("id", "shingles").mapInArrow(lean(bits), "id long, size long, " + ", ".join(f"w{i} long" for i in range(8))), "shingle-bits")
 
     def possible(x: str, y: str):
         size = lambda s: F.col(f"{s}.size")

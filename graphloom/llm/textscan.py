@@ -1,6 +1,6 @@
 """Whole texts as byte arrays: words and their hashes by array operations.
 
-Texts are taken from Arrow's buffers in slices of about a megabyte, so memory is bounded
+Texts are taken from Arrow's buffers in slices of some hundred kilobytes, so memory is bounded
 by the longest text.  A word's hash is a polynomial in an odd base modulo 2**64 over a
 table of random byte values: differences of one running sum give the hash of any range.
 """
@@ -29,7 +29,7 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 1 << 21)
+        size = max(n + n // 4, 1 << 19)
         _powers, _inverses = (np.full(size, x, np.uint64) for x in (_BASE, _INVERSE))
         _powers[0] = _inverses[0] = 1
         _powers, _inverses = np.multiply.accumulate(_powers), np.multiply.accumulate(_inverses)
@@ -83,7 +83,7 @@ class Ranges:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[Slice]:
+def slices(texts: pa.Array, size: int = 1 << 18) -> Iterator[Slice]:
     """The texts (nulls as empty) in slices of about ``size`` bytes, each text whole."""
     texts = texts.fill_null("") if texts.null_count else texts
     texts = texts.cast(pa.large_string())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, small_arrow, written
+from graphloom.llm.common import discard, lean, small_arrow, written
 from graphloom.llm.textscan import WORD, Slice, slices
 
 BITS = 22
@@ -154,11 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, prior: float | No
 
     def taken(found: DataFrame, chosen) -> list[np.ndarray]:
         """The rows of a bounded sample on the driver."""
-        lists = found.mapInArrow(numbered(chosen), "found array<int>").toArrow().column(0).combine_chunks()
+        lists = found.mapInArrow(lean(numbered(chosen)), "found array<int>").toArrow().column(0).combine_chunks()
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
-    positives = written(learn.join(confirmed, "doc_id", "left_semi").select("text").mapInArrow(every_feature, "found array<int>"), "positives")
+    positives = written(learn.join(confirmed, "doc_id", "left_semi").select("text").mapInArrow(lean(every_feature), "found array<int>"), "positives")
     seen_positives = max(1, positives.count())
     rows = positives.select(F.explode("found").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
     rows = rows.filter(F.col("n") >= max(3, len(ids) // 100)).orderBy(F.desc("n"), "feature").limit(max_candidates).collect()
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, prior: float | No
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some]), pa.nulls(len(some), pa.list_(pa.int32()))], ["feature", "n", "found"])
 
-    passed = written(learn.select("text", F.coalesce(drawn, F.lit(False)).alias("drawn")).mapInArrow(counted, "feature int, n long, found array<int>"), "learning-pass")
+    passed = written(learn.select("text", F.coalesce(drawn, F.lit(False)).alias("drawn")).mapInArrow(lean(counted), "feature int, n long, found array<int>"), "learning-pass")
     in_all = np.zeros(len(candidates))
     for r in passed.filter("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most max_candidates rows
         in_all[r.feature] = r.n
@@ -228,4 +228,4 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             scores = [sent.value.scores(piece) for piece in slices(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
