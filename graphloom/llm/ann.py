@@ -27,30 +27,28 @@ from graphloom.llm.vectors import common_length, matrix, usable
 class Codebooks:
     words: np.ndarray  # books x entries x length
 
-    def __post_init__(self) -> None:
-        self.flat = self.words.reshape(-1, self.words.shape[2])
-        self.gram = self.flat @ self.flat.T
+    @property
+    def flat(self) -> np.ndarray:
+        return self.words.reshape(-1, self.words.shape[2])
 
     def encode(self, x: np.ndarray, beam: int = 4, block: int = 256) -> np.ndarray:
-        """Codes (rows x books) by beam search over the books."""
-        books, entries, _ = self.words.shape
+        """Codes (rows x books) by beam search over the books; single precision is enough for a choice of words."""
+        books, entries, length = self.words.shape
+        words = self.words.astype(np.float32)
         out = np.zeros((len(x), books), np.uint8)
-        own = np.einsum("ii->i", self.gram)
         for at in range(0, len(x), block):
-            part = x[at : at + block]
-            gain = own[None, :] - 2 * (part @ self.flat.T)
-            n = len(part)
-            costs, codes = np.zeros((n, 1)), np.zeros((n, 1, 0), np.int64)
+            rest = x[at : at + block].astype(np.float32)[:, None, :]
+            n = len(rest)
+            costs, codes = np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.int64)
             for m in range(books):
-                level = slice(m * entries, (m + 1) * entries)
-                grown = costs[:, :, None] + gain[:, None, level]
-                for j in range(m):
-                    grown += 2 * self.gram[j * entries + codes[:, :, j], level]
+                grown = costs[:, :, None] + (words[m] ** 2).sum(1) - 2 * (rest.reshape(-1, length) @ words[m].T).reshape(n, -1, entries)
                 flat = grown.reshape(n, -1)
                 keep = min(beam, flat.shape[1])
                 best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
                 costs = np.take_along_axis(flat, best, 1)
-                codes = np.concatenate([np.take_along_axis(codes, (best // entries)[:, :, None], 1), (best % entries)[:, :, None]], axis=2)
+                held, word = best // entries, best % entries
+                codes = np.concatenate([np.take_along_axis(codes, held[:, :, None], 1), word[:, :, None]], axis=2)
+                rest = np.take_along_axis(rest, held[:, :, None], 1) - words[m][word]
             out[at : at + n] = codes[np.arange(n), costs.argmin(1)]
         return out
 
