@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from struct import pack
 
@@ -145,22 +146,6 @@ class Phase:
     def deficits_after(self, windows: int) -> np.ndarray:
         return self.deficits + windows * self.quanta - UNITS * self.given(windows)
 
-    def before(self, queue: int, window: int) -> int:
-        """Tokens of earlier queues in a window, counted from ``first``."""
-        _, earlier, start = self.unrolled()
-        return int(earlier[window if window < len(earlier) else start + (window - start) % (len(earlier) - start), queue])
-
-    def window_of(self, queue: int, token: int) -> int:
-        """The window, counted from ``first``, that has the queue's ``token``, counted from the phase's start."""
-        table, _, start = self.unrolled()
-        column, last = table[:, queue], len(table) - 1
-        if token < column[last]:
-            return int(np.searchsorted(column, token, "right")) - 1
-        if start is None or column[last] == column[start]:
-            return self.n
-        turns, rest = divmod(token - int(column[start]), int(column[last] - column[start]))
-        return turns * (last - start) + int(np.searchsorted(column, int(column[start]) + rest, "right")) - 1
-
 
 def plan(totals: list[int], weights: list[float] | None = None, window: int = 4096) -> list[Phase]:
     """The phases that use up ``totals`` tokens of each queue.
@@ -211,26 +196,50 @@ class Plan:
     """The phases as workers use them: the tables of a few phases are kept at a time."""
 
     def __init__(self, phases: list[Phase], kept: int = 16):
-        self.phases, self.kept, self.open = phases, kept, []
+        self.phases, self.kept = phases, kept
         self.used = np.stack([p.used for p in phases]) if phases else np.zeros((0, 0), np.int64)
+        self.starts: dict[int, list[int]] = {}
+        self.columns: dict[int, dict[int, tuple[list[int], list[int]]]] = {}
+
+    def _column(self, i: int, queue: int) -> tuple[list[int], list[int]]:
+        """A queue's tokens before each window of a phase, and the tokens of earlier queues in it."""
+        columns = self.columns.get(i)
+        if columns is None:
+            if len(self.columns) >= self.kept:
+                old = next(iter(self.columns))
+                del self.columns[old]
+                self.phases[old].tables = None
+            columns = self.columns[i] = {}
+        if queue not in columns:
+            table, earlier, _ = self.phases[i].unrolled()
+            columns[queue] = table[:, queue].tolist(), earlier[:, queue].tolist()
+        return columns[queue]
 
     def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, sequence, offset there) of a document at ``start`` of its queue."""
         at, end = start, start + length
-        i = int(np.searchsorted(self.used[:, queue], at, "right")) - 1
+        if queue not in self.starts:
+            self.starts[queue] = self.used[:, queue].tolist()
+        starts = self.starts[queue]
+        i = bisect_right(starts, at) - 1
         while at < end:
-            phase = self.phases[i]
-            if phase.tables is None:
-                self.open.append(phase)
-                if len(self.open) > self.kept:
-                    self.open.pop(0).tables = None
-            k = phase.window_of(queue, at - int(self.used[i, queue]))
-            if k >= phase.n:
+            phase, (given, earlier) = self.phases[i], self._column(i, queue)
+            token, base, window = at - starts[i], starts[i], 0
+            if token >= given[-1]:  # past the table: whole cycles before
+                cycle = phase.unrolled()[2]
+                each = given[-1] - given[cycle] if cycle is not None else 0
+                if not each:
+                    i += 1
+                    continue
+                turns, rest = divmod(token - given[cycle], each)
+                token, base, window = given[cycle] + rest, base + turns * each, turns * (len(given) - 1 - cycle)
+            row = bisect_right(given, token) - 1
+            window += row
+            if window >= phase.n:
                 i += 1
                 continue
-            begin = int(self.used[i, queue] + phase.given(k)[queue])
-            stop = min(end, int(self.used[i, queue] + phase.given(k + 1)[queue]))
-            yield at - start, stop - at, phase.first + k, phase.before(queue, k) + at - begin
+            begin, stop = base + given[row], min(end, base + given[row + 1])
+            yield at - start, stop - at, phase.first + window, earlier[row] + at - begin
             at = stop
 
 
@@ -262,7 +271,7 @@ class WordTokens:
     LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
                        "[^\\t-\\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
-    def __init__(self, definition: str, generation: int = 150_000):
+    def __init__(self, definition: str, generation: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
