@@ -26,6 +26,15 @@ def python_symbols(text: str) -> list[tuple]:
     def body(node: ast.AST) -> str:
         return "\n".join(lines[node.lineno - 1 : node.end_lineno])
 
+    def head(node: ast.AST) -> str:
+        """The text before the body, wherever that begins, without the colon."""
+        first = min([node.body[0], *getattr(node.body[0], "decorator_list", [])], key=lambda x: (x.lineno, x.col_offset))
+        start = len(lines[node.lineno - 1].encode()[: node.col_offset].decode())
+        rows = lines[node.lineno - 1 : first.lineno]
+        rows[-1] = rows[-1].encode()[: first.col_offset].decode()
+        rows[0] = rows[0][start:]
+        return "\n".join(rows).strip().removesuffix(":").strip()
+
     def add(node, name, kind, scope, signature):
         full = "::".join([*scope, name])
         found.append((len(found), name, full, kind, "::".join(scope), signature, body(node), node.lineno - 1, node.end_lineno - 1))
@@ -33,10 +42,9 @@ def python_symbols(text: str) -> list[tuple]:
     def walk(nodes, scope):
         for node in nodes:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                head = body(node).split(":\n")[0].strip()
-                add(node, node.name, "f", scope, head)
+                add(node, node.name, "f", scope, head(node))
             elif isinstance(node, ast.ClassDef):
-                add(node, node.name, "t", scope, body(node).split(":\n")[0].strip())
+                add(node, node.name, "t", scope, head(node))
                 walk(node.body, [*scope, node.name])
             elif isinstance(node, (ast.Import, ast.ImportFrom)):
                 add(node, ast.unparse(node), "d", scope, "")
@@ -65,11 +73,12 @@ def python_facts(text: str) -> list[tuple]:
             elif isinstance(child, ast.Raise):
                 raised = child.exc.func if isinstance(child.exc, ast.Call) else child.exc
                 found.append((child.lineno - 1, "raise", name_of(raised) if raised is not None else "", where))
-            elif isinstance(child, ast.ExceptHandler):
-                types = child.type.elts if isinstance(child.type, ast.Tuple) else [child.type] if child.type else []
-                code = "\n".join(ast.unparse(b) for b in child.body)
-                found.append((child.lineno - 1, "catch", ", ".join(ast.unparse(t) for t in types) or "all", where))
-                found.append((child.lineno - 1, "recovery", "returns" if "return" in code else "re-raises" if "raise" in code else "logs" if "log" in code else "handles", where))
+            elif isinstance(child, (ast.Try, ast.TryStar)):
+                types = [name_of(t) for h in child.handlers for t in (h.type.elts if isinstance(h.type, ast.Tuple) else [h.type] if h.type else [])]
+                code = ast.unparse(child)
+                told = (("returns", "return" in code), ("re-raises", "raise" in code), ("logs", "log" in code.lower() or "print" in code), ("handles", True))
+                found.append((child.lineno - 1, "catch", ", ".join(t for t in types if t) or "all", where))
+                found.append((child.lineno - 1, "recovery", next(word for word, is_so in told if is_so), where))
             elif isinstance(child, ast.Assert):
                 found.append((child.lineno - 1, "assert", ast.unparse(child.test), where))
             for decorator in getattr(child, "decorator_list", []):
@@ -112,17 +121,21 @@ def unhandled(found: DataFrame) -> DataFrame:
     return found.filter("fact = 'raise'").join(found.filter("fact = 'catch'").select("file", "scope").distinct(), ["file", "scope"], "left_anti")
 
 
-# What a fact says about intent, and how surely.
+# What a fact says about intent, and how surely; a decorator says something if its text has the word.
 INTENTS = (
-    ("assert", "precondition", "inferred:high"), ("raise", "guards", "inferred:high"), ("catch", "recovers", "inferred:medium"),
-    ("decorator", "decorated", "inferred:medium"),
+    ("assert", "", "PRECONDITION", "assert statement", "inferred:high"), ("raise", "", "PRECONDITION", "throw in function body", "inferred:high"),
+    ("catch", "", "INTENT", "error-boundary", "inferred:medium"), ("decorator", "property", "INTENT", "accessor", "inferred:medium"),
+    ("decorator", "staticmethod", "INTENT", "static", "inferred:medium"), ("unsafe", "", "INTENT", "unsafe:reason-unknown", "inferred:medium"),
+    ("const", "", "INVARIANT", "immutable", "inferred:high"), ("attribute", "bench", "INTENT", "perf-critical", "inferred:medium"),
 )
 
 
-def intents(found: DataFrame) -> DataFrame:
-    """(file, scope, tag, description, confidence) from facts by a table of rules."""
-    rules = found.sparkSession.createDataFrame(list(INTENTS), "fact string, tag string, confidence string")
-    return found.join(F.broadcast(rules), "fact").select("file", "scope", "tag", F.col("text").alias("description"), "confidence").distinct()
+def intents(found: DataFrame, rules: tuple[tuple[str, str, str, str, str], ...] = INTENTS) -> DataFrame:
+    """(file, scope, tag, description, confidence) from facts by a table of rules; each once.  Of one decorator the first rule counts."""
+    table = found.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(rules)], "n int, fact string, word string, tag string, description string, confidence string")
+    met = found.join(F.broadcast(table), "fact").filter(F.contains("text", F.col("word")))
+    first = met.groupBy("file", "line", "fact", "text", "scope").agg(F.min_by(F.struct("tag", "description", "confidence"), "n").alias("x"))
+    return first.select("file", "scope", "x.*").distinct()
 
 
 def unknown_kinds(found: DataFrame, known: DataFrame, most: int = 200) -> DataFrame:
@@ -131,36 +144,51 @@ def unknown_kinds(found: DataFrame, known: DataFrame, most: int = 200) -> DataFr
     return rest.groupBy("language").agg(F.slice(F.sort_array(F.collect_list("node_type")), 1, most).alias("kinds"))
 
 
-def signature_params(signature: Column) -> Column:
-    """The parameters between the outer parentheses, split at commas outside brackets."""
-    inside = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
-    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+def signature_params(signature: Column, language: Column | None = None) -> Column:
+    """The parameters of a signature, split at commas outside brackets.
+
+    They stand between the first parenthesis and the last one in C++, the next one in Rust
+    and Python; other languages have none.  Without a language: as in C++.
+    """
+    wide, narrow = F.regexp_extract(signature, r"(?s)\((.*)\)", 1), F.regexp_extract(signature, r"(?s)^[^(]*\((.*?)\)", 1)
+    inside = wide if language is None else F.when(language == "cpp", wide).when(language.isin("rust", "python"), narrow).otherwise(F.lit(""))
+    empty = F.array().cast("array<string>")
+    state = F.struct(F.lit(0).alias("depth"), empty.alias("open"), empty.alias("done"))
+    opening = lambda p: F.length(p) - F.length(F.regexp_replace(p, r"[<(\[{]", ""))
+    closing = lambda p: F.length(p) - F.length(F.regexp_replace(p, r"[>)\]}]", ""))
 
-    def step(a: Column, ch: Column) -> Column:
-        cut = (ch == ",") & (a["depth"] == 0)
-        depth = a["depth"] + F.when(ch.isin("(", "[", "<", "{"), 1).when(ch.isin(")", "]", ">", "}"), -1).otherwise(0)
+    def step(a: Column, piece: Column) -> Column:
+        """A piece between commas ends a parameter where no bracket is open after it."""
+        depth = (a["depth"] + opening(piece) - closing(piece)).cast("int")
+        parts = F.array_append(a["open"], piece)
         return F.struct(
-            depth.cast("int").alias("depth"), F.when(cut, F.lit("")).otherwise(F.concat(a["now"], ch)).alias("now"),
-            F.when(cut, F.array_append(a["done"], F.trim(a["now"]))).otherwise(a["done"]).alias("done"))
+            depth.alias("depth"), F.when(depth == 0, empty).otherwise(parts).alias("open"),
+            F.when(depth == 0, F.array_append(a["done"], F.trim(F.array_join(parts, ",")))).otherwise(a["done"]).alias("done"))
 
-    split = F.aggregate(F.filter(F.split(inside, ""), lambda c: c != ""), state, step, lambda a: F.array_append(a["done"], F.trim(a["now"])))
+    split = F.aggregate(F.split(inside, ","), state, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], F.trim(F.array_join(a["open"], ",")))).otherwise(a["done"]))
     return F.filter(split, lambda p: p != "")
 
 
 def return_type(signature: Column, language: Column) -> Column:
-    before = F.regexp_extract(signature, r"^\s*(.*?)\s*[\w:~]+\s*\(", 1)
-    return F.when(language.isin("python", "rust"), F.trim(F.regexp_extract(signature, r"->\s*([^:{]+)", 1))).when(language == "cpp", before).otherwise(F.lit(""))
+    """What stands before the name in C++, after the arrow in Rust and Python; '' elsewhere."""
+    before = F.trim(F.regexp_extract(signature, r"(?s)^([^(]*)\(", 1))
+    arrow = F.trim(F.regexp_extract(signature, r"(?s)->(.*)$", 1))
+    return F.when(language == "cpp", F.regexp_extract(before, r"(?s)^(.*\S)\s+\S+$", 1)).when(language == "rust", arrow).when(language == "python", F.regexp_replace(arrow, ":+$", "")).otherwise(F.lit(""))
 
 
-def visibility(name: Column, language: Column, body: Column) -> Column:
-    dunder = name.startswith("__") & name.endswith("__")
+def visibility(name: Column, language: Column, body: Column, signature: Column | None = None) -> Column:
+    """By marks in a C++ body, ``pub`` before a Rust signature, underscores of a Python name; public elsewhere."""
+    text = F.trim(body)
+    head = F.ltrim(signature if signature is not None else body)
     return (
-        F.when(language == "python", F.when(name.startswith("__") & ~dunder, "private").when(name.startswith("_") & ~dunder, "protected").otherwise("public"))
-        .when(language == "rust", F.when(body.rlike(r"^\s*pub\b"), "public").otherwise("private"))
-        .when(language == "cpp", F.when(body.contains("private:"), "private").when(body.contains("protected:"), "protected").otherwise("public"))
+        F.when(language == "python", F.when(name.startswith("__") & ~name.endswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public"))
+        .when(language == "rust", F.when(head.startswith("pub"), "public").otherwise("private"))
+        .when(language == "cpp", F.when(body.contains("private:") | text.startswith("private"), "private").when(body.contains("protected:") | text.startswith("protected"), "protected").otherwise("public"))
         .otherwise("public")
     )
 
 
 def test_behaviours(name: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(name, "^test_?", ""), "_"), lambda w: w != "")
+    """What a test's name says it tests; the name itself if nothing else."""
+    words = F.filter(F.split(F.regexp_replace(name, "^test_?", ""), "_"), lambda w: w != "")
+    return F.when(F.size(words) > 0, words).otherwise(F.array(name))

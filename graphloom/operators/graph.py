@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.joins import few, stored
+
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Distinct edges without loops."""
     return edges.filter("src <> dst").select("src", "dst").distinct()
 
 
+def navigable(edges: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] = ("f", "t", "m")) -> DataFrame:
+    """Distinct edges whose ends are both symbols of these kinds."""
+    ids = symbols.filter(F.col("kind").isin(*kinds)).select("id").distinct()
+    kept = clean_edges(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    return kept.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def adjacency(local: DataFrame, cross: DataFrame) -> DataFrame:
+    """The calls within files and across them as one set of edges (src, dst)."""
+    return local.select("src", "dst").union(cross.select("src", "dst")).distinct()
+
+
 def with_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges with both ends' names; an end that is no symbol shows its id."""
     names = symbols.select("id", "qualified_name")
@@ -21,31 +35,37 @@ def with_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def callers(edges: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, caller, caller_name) for each ``id`` of ``targets``; the whole set in one join."""
-    found = edges.join(targets.withColumnRenamed("id", "dst"), "dst").select("src", "dst").distinct()
+    """(id, caller, caller_name) for each ``id`` of ``targets``; the whole set in one join.  With :func:`with_files` also the caller's file."""
+    found = edges.join(few(targets.withColumnRenamed("id", "dst")), "dst").select("src", "dst").distinct()
     return with_names(found, symbols).select(F.col("dst").alias("id"), F.col("src").alias("caller"), F.col("src_name").alias("caller_name"))
 
 
 def callees(edges: DataFrame, symbols: DataFrame, sources: DataFrame) -> DataFrame:
-    found = edges.join(sources.withColumnRenamed("id", "src"), "src").select("src", "dst").distinct()
+    found = edges.join(few(sources.withColumnRenamed("id", "src")), "src").select("src", "dst").distinct()
     return with_names(found, symbols).select(F.col("src").alias("id"), F.col("dst").alias("callee"), F.col("dst_name").alias("callee_name"))
 
 
 def neighbours(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(id, direction, other): 'in' for callers, 'out' for callees."""
-    own = targets.select("id").distinct()
+    own = few(targets.select("id").distinct())
     into = edges.join(own, edges["dst"] == own["id"]).select("id", F.lit("in").alias("direction"), F.col("src").alias("other"))
     out = edges.join(own, edges["src"] == own["id"]).select("id", F.lit("out").alias("direction"), F.col("dst").alias("other"))
     return into.unionAll(out).distinct()
 
 
-def context(edges: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each target with the sorted names of its callers and callees."""
-    ins = callers(edges, symbols, targets).groupBy("id").agg(F.sort_array(F.collect_set("caller_name")).alias("callers"))
-    outs = callees(edges, symbols, targets).groupBy("id").agg(F.sort_array(F.collect_set("callee_name")).alias("callees"))
+def context(edges: DataFrame, symbols: DataFrame, targets: DataFrame, cap: int | None = 50) -> DataFrame:
+    """Each target with the sorted names of its callers and callees, at most ``cap`` of each, and how many there are.
+
+    A hub's names are cut to the first ``cap`` where they lie, before they come together.
+    """
+    found = targets.join(symbols.select("id", "qualified_name", "file"), "id")
+    for side, rows in (("caller", callers(edges, symbols, targets)), ("callee", callees(edges, symbols, targets))):
+        names = rows.select("id", F.col(f"{side}_name").alias("name")).distinct()
+        first = names if cap is None else names.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("name"))).filter(F.col("place") <= cap)
+        lists = first.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias(f"{side}s"))
+        found = found.join(lists, "id", "left").join(names.groupBy("id").agg(F.count("*").alias(f"n_{side}s")), "id", "left")
     empty = F.array().cast("array<string>")
-    return targets.join(symbols.select("id", "qualified_name", "file"), "id").join(ins, "id", "left").join(outs, "id", "left").select(
-        "id", "qualified_name", "file", F.coalesce("callers", empty).alias("callers"), F.coalesce("callees", empty).alias("callees"))
+    return found.select("id", "qualified_name", "file", *[F.coalesce(f"{s}s", empty).alias(f"{s}s") for s in ("caller", "callee")], *[F.coalesce(f"n_{s}s", F.lit(0)).alias(f"n_{s}s") for s in ("caller", "callee")])
 
 
 def fan(edges: DataFrame) -> DataFrame:
@@ -61,8 +81,8 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False
     Each hop is a join of the new frontier only, which is made distinct before the next.
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    step = edges.select(F.col(a).alias("here"), F.col(b).alias("there")).distinct()
-    first = starts.select(F.col("id").alias("start")).distinct()
+    step = edges.select(F.col(a).alias("here"), F.col(b).alias("there"))
+    first = few(starts.select(F.col("id").alias("start")).distinct())
     frontier = first.select("start", F.col("start").alias("id"))
     found = frontier.withColumn("distance", F.lit(0))
     for hop in range(1, hops + 1):
@@ -73,16 +93,31 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int, backward: bool = False
 
 
 def reach_fixpoint(edges: DataFrame, starts: DataFrame, most_hops: int = 1_000) -> DataFrame:
-    """(start, id) without a bound of hops; lineage is cut by a checkpoint every round."""
+    """(start, id) without a bound of hops; a start is not its own.  Every round is written.
+
+    A walk that has not settled after ``most_hops`` rounds is an error.
+    """
     first = starts.select(F.col("id").alias("start")).distinct()
-    seen = frontier = first.select("start", F.col("start").alias("id"))
+    return _settled(edges, first.select("start", F.col("start").alias("id")), ["start", "id"], most_hops).filter("start <> id")
+
+
+def reachable(edges: DataFrame, starts: DataFrame, most_hops: int = 1_000) -> DataFrame:
+    """(id) that any of ``starts`` reaches, without a bound of hops, starts left out: a walk of all together."""
+    first = starts.select("id").distinct()
+    return _settled(edges, first, ["id"], most_hops).join(first, "id", "left_anti")
+
+
+def _settled(edges: DataFrame, frontier: DataFrame, keys: list[str], most_hops: int) -> DataFrame:
+    """``frontier`` and all that it reaches; only what a round found anew goes on."""
+    step = stored(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct(), "steps")
+    seen = frontier = stored(frontier, "reach")
     for _ in range(most_hops):
-        frontier = frontier.join(edges, frontier["id"] == edges["src"]).select("start", F.col("dst").alias("id")).distinct()
-        frontier = frontier.join(seen, ["start", "id"], "left_anti").checkpoint()
+        onward = frontier.join(step, "id").drop("id").withColumnRenamed("next", "id").select(*keys).distinct()
+        frontier = stored(onward.join(seen, keys, "left_anti"), "reach")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionAll(frontier)
-    return seen.filter("start <> id")
+    raise RuntimeError(f"the walk did not settle in {most_hops} hops")
 
 
 def file_dependencies(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -115,3 +150,19 @@ def impact_report(found: DataFrame, caps: dict[str, int] | None = None) -> DataF
     most = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
     order = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.element_at(most, F.col("bucket")))
+
+
+def suggested_tests(found: DataFrame, most: int = 3) -> DataFrame:
+    """The callers that a test would help most: the most salient of high risk."""
+    return found.filter("bucket = 'high_risk'").orderBy(F.desc("score"), "id").limit(most).select("id", "score")
+
+
+def with_files(rows: DataFrame, symbols: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the file of the ids in ``column`` as <column>_file; null for what is no symbol."""
+    files = symbols.groupBy(F.col("id").alias(column)).agg(F.max("file").alias(f"{column}_file"))
+    return rows.join(files, column, "left")
+
+
+def touching(refs: DataFrame, file: str) -> DataFrame:
+    """The cross references (source_file, target_file, ...) that leave or enter one file."""
+    return refs.filter((F.col("source_file") == file) | (F.col("target_file") == file))

@@ -2,15 +2,64 @@
 
 from __future__ import annotations
 
-import builtins
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.joins import apart
 from graphloom.functions.predicates import is_vendor
 
-#: Names that every program has and that link no files; a parameter of :func:`cross_file_links`.
-BUILTIN_NAMES = tuple(sorted(n for n in dir(builtins) if not n.startswith("_"))) + tuple(sorted({m for t in (str, list, dict, set) for m in dir(t) if not m.startswith("_")}))
+# Names of builtins and standard libraries, which link no files.
+BUILTIN_NAMES = (
+    # Python
+    "print", "len", "range", "str", "int", "float", "bool", "list", "dict",
+    "set", "tuple", "type", "isinstance", "issubclass", "hasattr", "getattr",
+    "setattr", "delattr", "super", "open", "close", "read", "write", "append",
+    "extend", "pop", "get", "keys", "values", "items", "update", "format",
+    "join", "split", "strip", "replace", "startswith", "endswith", "encode",
+    "decode", "sort", "sorted", "reversed", "enumerate", "zip", "map", "filter",
+    "any", "all", "min", "max", "sum", "abs", "round", "iter", "next", "hash",
+    "id", "repr", "input", "exit", "vars", "dir", "help", "property",
+    "staticmethod", "classmethod", "callable",
+    "run", "call", "dump", "dumps", "load", "loads", "copy", "move", "remove",
+    "exists", "mkdir", "makedirs", "walk", "glob", "match", "search", "find",
+    "compile", "execute", "connect", "send", "recv", "accept", "listen", "bind",
+    "sleep", "time", "now",
+    # C, C++, Rust
+    "main", "malloc", "free", "sizeof", "printf", "fprintf", "scanf",
+    "memcpy", "memset", "strlen", "strcmp", "strcpy",
+    "push", "push_back", "emplace_back", "begin", "end", "size", "empty",
+    "insert", "erase", "clear", "front", "back", "top", "data",
+    "lock", "unlock", "try_lock", "clone", "drop", "into", "from",
+    "unwrap", "expect", "ok", "err", "some", "none",
+    "unwrap_or_else", "unwrap_or", "unwrap_or_default",
+    "and_then", "or_else", "ok_or_else", "ok_or",
+    "map_err", "map_or", "map_or_else",
+    "is_some", "is_none", "is_ok", "is_err",
+    "as_ref", "as_mut", "as_slice", "as_ptr",
+    "into_iter", "iter", "iter_mut",
+    "to_string", "to_owned", "to_vec",
+    "fmt", "eq", "ne", "cmp", "partial_cmp",
+    "hash", "default", "deref", "deref_mut",
+    "index", "index_mut",
+    "try_from", "try_into", "from_str", "parse",
+    "new", "build", "with_capacity",
+    # JavaScript, TypeScript
+    "constructor", "prototype", "toString", "valueOf", "hasOwnProperty",
+    "addEventListener", "removeEventListener", "querySelector",
+    "getElementById", "createElement", "appendChild",
+    "then", "catch", "finally", "resolve", "reject",
+    "require", "exports",
+    "readFileSync", "writeFileSync", "readFile", "writeFile",
+    "existsSync", "mkdirSync", "readdirSync", "statSync", "unlinkSync",
+    "warn", "info", "error", "debug", "log", "trace",
+    "finish", "destroy", "pipe", "emit", "on", "once", "off",
+    "render", "mount", "unmount", "dispose",
+    # Go
+    "make", "cap", "panic", "recover", "string", "byte", "rune",
+    "Println", "Printf", "Sprintf", "Fprintf", "Errorf",
+    "Error", "String", "Close", "Read", "Write",
+    "Len", "Cap", "Append", "Copy", "Delete",
+)
 
 
 def deduplicated(symbols: DataFrame) -> DataFrame:
@@ -35,13 +84,19 @@ def id_collisions(ids: DataFrame) -> DataFrame:
 
 def fingerprints(symbols: DataFrame) -> DataFrame:
     """(file, fingerprint) whatever the order of the file's symbols; bodies are not part of it."""
-    row = F.concat_ws("|", "id", "kind", "scope", "qualified_name")
+    row = F.concat_ws("|", "id", "kind", "scope", "qualified_name")  # a file's symbols are one task's
     return symbols.groupBy("file").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256), 1, 12).alias("fingerprint"))
 
 
-def enclosing(sites: DataFrame, spans: DataFrame) -> DataFrame:
-    """(file, line, id): the smallest span of ``spans`` (file, id, start, stop, pos) that holds each line; the first of equals."""
-    joined = sites.join(spans, "file").filter(F.col("line").between(F.col("start"), F.col("stop")))
+def enclosing(sites: DataFrame, spans: DataFrame, block: int = 256) -> DataFrame:
+    """(file, line, id): the smallest span of ``spans`` (file, id, start, stop, pos) that holds each line; the first of equals.
+
+    Files are cut into blocks of lines, and spans listed in each block that they touch, so
+    a line meets only the spans of its block, however long its file.
+    """
+    cut = lambda line: F.floor(line / block).cast("long")
+    listed = spans.withColumn("block", F.explode(F.sequence(cut(F.col("start")), cut(F.greatest("start", "stop")))))
+    joined = sites.withColumn("block", cut(F.col("line"))).join(listed, ["file", "block"]).filter(F.col("line").between(F.col("start"), F.col("stop")))
     best = F.min_by("id", F.struct((F.col("stop") - F.col("start")).alias("size"), "pos"))
     return joined.groupBy("file", "line").agg(best.alias("id"))
 
@@ -51,27 +106,35 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Qualified names first (of equals the last), then names or what follows the last ``::``:
     unique, unique in the caller's scope, unique below it; else ambiguous or unresolved.
+
+    Symbols are summed by name, by name and scope, and by name and each scope around them,
+    before sites meet them: a site joins one row of each, however common its name.
     """
+    counted = lambda name: [F.count("*").alias(f"n_{name}"), F.min("id").alias(name)]
     full = symbols.groupBy(F.col("qualified_name").alias("callee_name")).agg(F.max_by("id", "pos").alias("full_id"))
-    simple = symbols.select(F.col("name").alias("by"), F.col("id").alias("cand"), F.col("scope").alias("cand_scope"), F.col("qualified_name").alias("cand_name"))
+    by_name = symbols.groupBy(F.col("name").alias("by")).agg(*counted("only"))
+    by_scope = symbols.groupBy(F.col("name").alias("by"), F.col("scope").alias("caller_scope")).agg(*counted("same"))
+    parts = F.split("qualified_name", "::")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "::"))
+    below = symbols.filter(F.size(parts) > 1).select(F.col("name").alias("by"), "id", F.explode(around).alias("caller_scope")).filter("caller_scope <> ''")
+    by_outer = below.groupBy("by", "caller_scope").agg(*counted("below"))
     suffix = F.element_at(F.split("callee_name", "::"), -1)
-    names = symbols.select(F.col("name").alias("callee_name")).distinct().withColumn("known", F.lit(True))
-    rows = sites.join(full, "callee_name", "left").join(names, "callee_name", "left").withColumn("by", F.when(F.col("known"), F.col("callee_name")).otherwise(suffix))
-    found = rows.join(simple, "by", "left")
-    same = F.col("cand_scope") == F.col("caller_scope")
-    below = (F.col("caller_scope") != "") & F.col("cand_name").startswith(F.concat("caller_scope", F.lit("::")))
-    summed = found.groupBy("site").agg(
-        F.first("full_id").alias("full_id"), F.count("cand").alias("n"), F.min("cand").alias("only"),
-        F.count_if(same).alias("n_same"), F.min(F.when(same, F.col("cand"))).alias("same"),
-        F.count_if(below).alias("n_below"), F.min(F.when(below, F.col("cand"))).alias("below"))
+    known = by_name.select(F.col("by").alias("callee_name"), F.lit(True).alias("known"))
+    rows = apart(sites, "callee_name").join(apart(full, "callee_name"), ["callee_name", "apart"], "left").join(apart(known, "callee_name"), ["callee_name", "apart"], "left").drop("apart")
+    rows = apart(rows.withColumn("by", F.when(F.col("known"), F.col("callee_name")).otherwise(suffix)), "by")
+    rows = rows.join(apart(by_name, "by"), ["by", "apart"], "left").drop("apart")
+    rows = apart(rows, "by", "caller_scope")
+    for table in (by_scope, by_outer):
+        rows = rows.join(apart(table, "by", "caller_scope"), ["by", "caller_scope", "apart"], "left")
+    n = F.coalesce("n_only", F.lit(0))
     status = (
-        F.when(F.col("full_id").isNotNull(), "resolved_qualified").when(F.col("n") == 0, "unresolved").when(F.col("n") == 1, "resolved_unique")
+        F.when(F.col("full_id").isNotNull(), "resolved_qualified").when(n == 0, "unresolved").when(n == 1, "resolved_unique")
         .when(F.col("n_same") == 1, "resolved_same_scope").when(F.col("n_below") == 1, "resolved_nested_scope").otherwise("ambiguous"))
-    rows = summed.withColumn("status", status)
     chosen = (
         F.when(F.col("status") == "resolved_qualified", F.col("full_id")).when(F.col("status") == "resolved_unique", F.col("only"))
         .when(F.col("status") == "resolved_same_scope", F.col("same")).when(F.col("status") == "resolved_nested_scope", F.col("below")))
-    return rows.select("site", "status", chosen.alias("resolved_id"), F.when(F.col("status") == "resolved_qualified", 1).otherwise(F.col("n")).cast("long").alias("candidates"))
+    return rows.withColumn("status", status).select(
+        "site", "status", chosen.alias("resolved_id"), F.when(F.col("status") == "resolved_qualified", 1).otherwise(n).cast("long").alias("candidates"))
 
 
 def imports(directives: DataFrame) -> DataFrame:
@@ -89,21 +152,29 @@ def cross_file_links(sites: DataFrame, symbols: DataFrame, imported: DataFrame,
     """(caller, callee, source_file, target_file) of unresolved sites (caller, callee_name, file).
 
     A name that one other file defines is taken, unless that leads from own into vendor
-    code; of several, the only one in a file that the import of the name matches.
+    code; of several, the only one in a file that the import of the name matches.  Names are
+    summed by file first, so a common name without an import is one row a site.
     """
     known = symbols.select(F.col("name").alias("callee_name"), F.col("id").alias("callee"), F.col("file").alias("target_file")).union(
         symbols.filter("name <> qualified_name").select("qualified_name", "id", "file"))
     open_ = sites.filter(~F.col("callee_name").isin(*builtin_names))
-    found = open_.join(known, "callee_name").filter("target_file <> file")
-    per = Window.partitionBy("caller", "file", "callee_name")
-    found = found.withColumn("n", F.count("*").over(per))
-    single = found.filter("n = 1").filter(~(~is_vendor(F.col("file")) & is_vendor(F.col("target_file"))))
+    by_file = known.groupBy("callee_name", "target_file").agg(F.count("*").alias("n"), F.min("callee").alias("callee"))
+    # a name with one candidate elsewhere is in two files at most: the caller's own and that
+    files = by_file.groupBy("callee_name").agg(F.count("*").alias("files"), F.min(F.struct("target_file", "n", "callee")).alias("x"), F.max(F.struct("target_file", "n", "callee")).alias("y")).filter("files <= 2")
+    met = apart(open_, "callee_name").join(apart(files, "callee_name"), ["callee_name", "apart"]).drop("apart")
+    other = F.when(F.col("x.target_file") != F.col("file"), F.when((F.col("files") == 1) | (F.col("y.target_file") == F.col("file")), F.col("x"))).when(F.col("files") == 2, F.col("y"))
+    single = met.withColumn("other", other).filter("other.n = 1").select("caller", "file", F.col("other.callee").alias("callee"), F.col("other.target_file").alias("target_file"))
+    single = single.filter(~(~is_vendor(F.col("file")) & is_vendor(F.col("target_file"))))
+    # of several only those in files that an import of the name matches; names without an import are not spread out
     parts = imported.groupBy("file", F.col("name").alias("callee_name")).agg(F.collect_set("part").alias("parts"))
+    totals = known.groupBy("callee_name").agg(F.count("*").alias("total"))
+    asked = open_.join(parts, ["file", "callee_name"]).join(totals, "callee_name").join(
+        by_file.select("callee_name", F.col("target_file").alias("file"), F.col("n").alias("own")), ["callee_name", "file"], "left").filter(F.col("total") - F.coalesce("own", F.lit(0)) > 1)
     path = F.transform(F.split("target_file", "/"), lambda p: F.regexp_replace(p, r"\.[A-Za-z0-9]+$", ""))
-    several = found.filter("n > 1").join(parts, ["file", "callee_name"]).filter(F.arrays_overlap(path, F.col("parts")))
-    several = several.withColumn("m", F.count("*").over(per)).filter("m = 1")
+    several = asked.join(known, "callee_name").filter("target_file <> file").filter(F.arrays_overlap(path, F.col("parts")))
+    several = several.groupBy("caller", "file", "callee_name").agg(F.count("*").alias("m"), F.min("callee").alias("callee"), F.min("target_file").alias("target_file")).filter("m = 1")
     cols = ["caller", "callee", F.col("file").alias("source_file"), "target_file"]
-    return single.select(*cols).unionAll(several.select(*cols)).dropDuplicates(["caller", "callee"])
+    return single.select(*cols).unionAll(several.select(*cols)).groupBy("caller", "callee").agg(F.min(F.struct("source_file", "target_file")).alias("x")).select("caller", "callee", "x.*")
 
 
 def hierarchy(symbols: DataFrame) -> DataFrame:
@@ -116,3 +187,14 @@ def containment(parents: DataFrame, calls: DataFrame) -> DataFrame:
     """The semantic graph's edges (source, target, kind)."""
     return parents.filter("parent is not null").select(F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind")).unionAll(
         calls.select("src", "dst", F.lit("calls")))
+
+
+def cross_file_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(caller, callee, source_file, target_file, caller_name, callee_name): local edges whose callee lies in another file."""
+    files = symbols.groupBy("id").agg(F.max_by(F.struct("file", "qualified_name"), "file").alias("at"))
+    rows = edges.select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    for side in ("caller", "callee"):
+        rows = rows.join(files.select(F.col("id").alias(side), F.col("at").alias(f"{side}_at")), side)
+    return rows.filter("caller_at.file <> callee_at.file").select(
+        "caller", "callee", F.col("caller_at.file").alias("source_file"), F.col("callee_at.file").alias("target_file"),
+        F.col("caller_at.qualified_name").alias("caller_name"), F.col("callee_at.qualified_name").alias("callee_name")).distinct()

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.joins import few
 from graphloom.functions.predicates import looks_like_id
 
 
+def with_files(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """``symbols`` (file_id, ...) with the path and language of ``files`` (file_id, path, language)."""
+    return symbols.join(files.select("file_id", F.col("path").alias("file"), "language"), "file_id").drop("file_id")
+
+
 def projection(symbols: DataFrame) -> DataFrame:
     """What listings and searches read; never a body."""
     return symbols.select("id", "name", "qualified_name", "kind", "file")
@@ -40,27 +46,40 @@ def by_name(symbols: DataFrame, names: DataFrame) -> DataFrame:
 def ref_status(symbols: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
     """For each ``ref``: status (id, name, ambiguous, graph_only, not_found), the id if it is one, and how many matched.
 
-    Ids come first, then names, then ids that only edges know.
+    Ids come first, then names, then ids that only edges know.  Symbols and edges are
+    scanned for the references, and nothing else of them is shuffled.
     """
-    ids = refs.join(latest(symbols), F.col("ref") == F.col("id")).select("ref", F.lit(1).alias("tier"), "id")
-    names = by_name(symbols, refs).select("ref", F.lit(2).alias("tier"), "id").distinct()
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    graph = refs.join(nodes, F.col("ref") == F.col("id")).select("ref", F.lit(3).alias("tier"), "id")
-    all_ = ids.unionAll(names).unionAll(graph)
-    best = all_.withColumn("best", F.min("tier").over(Window.partitionBy("ref"))).filter("tier = best")
-    summed = best.groupBy("ref").agg(F.min("tier").alias("tier"), F.count("*").alias("matches"), F.min("id").alias("id"))
-    status = F.when(F.col("tier").isNull(), "not_found").when(F.col("tier") == 1, "id").when(F.col("tier") == 3, "graph_only").when(F.col("matches") > 1, "ambiguous").otherwise("name")
-    return refs.join(summed, "ref", "left").select(
-        "ref", status.alias("status"), F.when(F.coalesce("matches", F.lit(0)) == 1, F.col("id")).alias("id"), F.coalesce("matches", F.lit(0)).alias("matches"))
+    refs, own = few(refs), symbols.select("id", "name", "qualified_name")
+    ids = own.join(refs, F.col("ref") == F.col("id")).select("ref", F.lit(1).alias("tier"), "id").distinct()
+    names = own.join(refs, F.col("ref") == F.col("qualified_name")).select("ref", F.lit(2).alias("tier"), "id").distinct()
+    plain = own.join(refs, F.col("ref") == F.col("name")).select("ref", F.lit(3).alias("tier"), "id").distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).join(refs, F.col("ref") == F.col("id"))
+    graph = ends.select("ref", F.lit(4).alias("tier"), "id").distinct()
+    found = ids.unionAll(names).unionAll(plain).unionAll(graph).groupBy("ref", "tier").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
+    best = found.groupBy("ref").agg(F.min(F.struct("tier", "matches", "id")).alias("x")).select("ref", "x.*")
+    status = (
+        F.when(F.col("tier").isNull(), "not_found").when(F.col("tier") == 1, "id").when(F.col("tier") == 4, "graph_only").when(F.col("matches") > 1, "ambiguous").otherwise("name"))
+    n = F.coalesce("matches", F.lit(0))
+    return refs.join(best, "ref", "left").select("ref", status.alias("status"), F.when(n == 1, F.col("id")).alias("id"), n.alias("matches"))
+
+
+def candidates(symbols: DataFrame, refs: DataFrame, most: int = 50) -> DataFrame:
+    """(ref, id, qualified_name, file, not_shown): what an ambiguous name may mean, by file and id, at most ``most`` each."""
+    found = by_name(symbols, refs)
+    order = Window.partitionBy("ref").orderBy("file", "id")
+    shown = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place", "tier")
+    totals = found.groupBy("ref").agg(F.count("*").alias("total"))
+    return shown.join(totals, "ref").withColumn("not_shown", F.greatest(F.lit(0), F.col("total") - most)).drop("total")
 
 
 def id_shapes(refs: DataFrame) -> DataFrame:
-    return refs.select("ref", looks_like_id(F.col("ref")).alias("is_id"))
+    return refs.select("ref", looks_like_id(F.col("ref")).alias("is_id"), looks_like_id(F.col("ref"), strict=False).alias("may_be_id"))
 
 
 def dictionary(symbols: DataFrame) -> DataFrame:
-    """Rows as a dictionary shows them: a hash of the signature, 1-based lines."""
-    return symbols.select("id", "qualified_name", "kind", "file", F.substring(F.sha2("signature", 256), 1, 8).alias("signature_hash"),
+    """Rows as a dictionary shows them: a hash of the signature, 1-based lines, the language or '' where none is known."""
+    language = F.coalesce("language", F.lit("")) if "language" in symbols.columns else F.lit("")
+    return symbols.select("id", "qualified_name", "kind", "file", language.alias("language"), F.substring(F.sha2("signature", 256), 1, 8).alias("signature_hash"),
                           (F.col("span_start") + 1).alias("line_from"), (F.col("span_end") + 1).alias("line_to"))
 
 
@@ -71,6 +90,11 @@ def page(rows: DataFrame, order: list, limit: int) -> DataFrame:
 
 
 def byte_cap(lines: DataFrame, most: int = 100_000) -> DataFrame:
-    """The first lines (artifact, at, line) of each artifact that together stay within ``most`` bytes."""
+    """The first lines (artifact, at, line) of each artifact that together stay within ``most`` bytes.
+
+    A line has a byte at least, so only the first ``most`` of an artifact can be among
+    them: these are picked where they lie, before an artifact's lines come together.
+    """
+    near = lines.withColumn("place", F.row_number().over(Window.partitionBy("artifact").orderBy("at"))).filter(F.col("place") <= most).drop("place")
     running = Window.partitionBy("artifact").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("bytes", F.sum(F.octet_length("line") + F.lit(1)).over(running)).filter(F.col("bytes") <= most).drop("bytes")
+    return near.withColumn("bytes", F.sum(F.octet_length("line") + F.lit(1)).over(running)).filter(F.col("bytes") <= most).drop("bytes")

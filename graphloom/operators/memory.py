@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.identifiers import estimated_tokens
 from graphloom.functions.predicates import STOP_WORDS
+from graphloom.sources.artifacts import read_sections
 
 # Cues of the classes, compared in lower case.
 LEXICON: dict[str, tuple[str, ...]] = {
@@ -97,7 +98,12 @@ def with_symbols(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def dedup_key(text: Column) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", "")), 1, 80)
+    return F.substring(F.trim(_words_only(text)), 1, 80)
+
+
+def _words_only(text: Column) -> Column:
+    """Lower-cased, with letters and digits of any script, ``_`` and white space only."""
+    return F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", "")
 
 
 def dedup(entries: DataFrame) -> DataFrame:
@@ -110,7 +116,7 @@ def dedup(entries: DataFrame) -> DataFrame:
 
 
 def question_words(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_\s]", "")), r"\s+")
+    words = F.split(F.trim(_words_only(text)), r"(?U)\s+")
     return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS)))
 
 
@@ -127,34 +133,57 @@ def open_questions(entries: DataFrame) -> DataFrame:
     return entries.join(answered, ["conv_id", "turn", "at", "category"], "left_anti")
 
 
-def within_budget(entries: DataFrame, messages: DataFrame) -> DataFrame:
-    """One entry of each class first, then by class and confidence, up to a number that follows the conversation's length."""
+def within_budget(entries: DataFrame, messages: DataFrame, most: int = 15, least: int = 5) -> DataFrame:
+    """One entry of each class first, then by class and confidence, up to a number that follows the conversation's length.
+
+    Equals stand in the order of ``first``, the place of a sentence's first occurrence (of
+    :func:`dedup`).  Only the first ``most`` of a class can be among the chosen, so these
+    are picked before a conversation's classes come together.
+    """
     rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("category"))
-    order = [rank, F.desc("confidence"), "turn", "at"]
-    placed = entries.withColumn("reserved", F.row_number().over(Window.partitionBy("conv_id", "category").orderBy(*order[1:])) == 1)
+    placed = entries if "first" in entries.columns else entries.withColumn("first", F.struct("turn", "at"))
+    order = [F.desc("confidence"), "first"]
+    placed = placed.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "category").orderBy(*order))).filter(F.col("own") <= most)
     sizes = messages.groupBy("conv_id").agg(F.count("*").alias("messages"))
-    placed = placed.join(sizes, "conv_id").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("reserved"), *order)))
-    budget = F.least(F.lit(15), F.greatest(F.lit(5), F.col("messages")))
-    return placed.filter(F.col("reserved") | (F.col("place") <= budget)).drop("messages", "reserved")
+    placed = placed.join(sizes, "conv_id").withColumn("reserved", F.col("own") == 1)
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("reserved"), rank, *order)))
+    budget = F.least(F.lit(most), F.greatest(F.lit(least), F.col("messages")))
+    return placed.filter(F.col("reserved") | (F.col("place") <= budget)).drop("messages", "reserved", "own")
 
 
 def shortened(text: Column) -> Column:
     return F.when(F.length(text) > 150, F.concat(F.substring(text, 1, 147), F.lit("..."))).otherwise(text)
 
 
-def context_summary(messages: DataFrame) -> DataFrame:
-    """(conv_id, summary): the first user text's first sentence, or a longer of the next two if that is short."""
+# How an assistant tells what it is about, tried in this order.
+TASK_PATTERNS = (
+    r"(?i)(?:I'll|Let me|I will|I can see|Here's the plan)[^.]*\.",
+    r"(?i)(?:The (?:task|issue|problem|goal) is)[^.]*\.",
+    r"(?i)(?:Working on|Looking at)[^.]*\.",
+)
+
+
+def context_summary(messages: DataFrame, short: int = 30) -> DataFrame:
+    """(conv_id, summary): the first user text's first sentence, or a longer of the next two if that is short;
+    if it still is, a longer phrase of an assistant among the first four messages."""
     text = F.trim("text")
     dot = F.instr(text, ". ")
     cut = F.when((dot > 1) & (dot <= 200), F.substring(text, F.lit(1), dot)).otherwise(F.substring(text, 1, 200))
     user = messages.filter("role = 'user'").filter(text != "").select("conv_id", "turn", cut.alias("cut"))
     user = user.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("place <= 3")
-    lists = user.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "cut"))), lambda x: x["cut"]).alias("cuts"))
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    lists = user.groupBy("conv_id").agg(in_order("place", "cut").alias("cuts"))
+    begun = messages.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("place <= 4 and role = 'assistant'")
+    phrases = F.array(*[F.regexp_extract(text, p, 0) for p in TASK_PATTERNS])
+    told = begun.select("conv_id", "place", phrases.alias("phrases")).groupBy("conv_id").agg(in_order("place", "phrases").alias("told"))
+    longer = lambda best, c: F.when(F.length(c) > F.length(best), c).otherwise(best)
     first = F.get("cuts", F.lit(0))
-    longest = F.aggregate("cuts", first, lambda best, c: F.when(F.length(c) > F.length(best), c).otherwise(best))
-    best = F.when(F.length(first) < 30, longest).otherwise(first)
+    best = F.when(F.length(first) < short, F.aggregate("cuts", first, longer)).otherwise(first)
+    # of a message the first phrase that is longer than what there is, cut to 200
+    in_message = lambda best, phrases: F.coalesce(F.substring(F.get(F.filter(phrases, lambda p: F.length(p) > F.length(best)), F.lit(0)), 1, 200), best)
+    best = F.when(F.length(best) < short, F.aggregate(F.coalesce("told", F.array().cast("array<array<string>>")), best, in_message)).otherwise(best)
     every = messages.select("conv_id").distinct()
-    return every.join(lists, "conv_id", "left").select("conv_id", F.coalesce(F.concat(F.lit("Task: "), best), F.lit("No context available.")).alias("summary"))
+    return every.join(lists, "conv_id", "left").join(told, "conv_id", "left").select("conv_id", F.coalesce(F.concat(F.lit("Task: "), best), F.lit("No context available.")).alias("summary"))
 
 
 def compress(messages: DataFrame, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -179,28 +208,128 @@ def decompress(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Sentences with the entities back in place of their symbols and without marks."""
     lists = dictionary.groupBy("conv_id").agg(F.collect_list(F.struct("entity", "symbol")).alias("words"))
     joined = entries.join(lists, "conv_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<entity:string,symbol:string>>")))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("sentence", r"\[[0-9.]+\]\s*", ""), r"\s*refs=\S*", ""))
+    plain = F.trim(F.regexp_replace(F.regexp_replace("sentence", r"\s*refs=\S+", ""), r"\s*\[[0-9]+\.[0-9]+\]", ""))
     return joined.withColumn("sentence", F.aggregate("words", plain, lambda s, w: F.replace(s, w["symbol"], w["entity"]))).drop("words")
 
 
-def briefing(inferences: DataFrame, flags: DataFrame, patches: DataFrame, entries: DataFrame, top: int = 10) -> DataFrame:
-    """(section, text): the surest inferences, all flags, pending patches, and what the latest memory learned or decided."""
-    best = inferences.orderBy(F.desc("confidence"), "seq").limit(top).select(F.lit("inference").alias("section"), F.col("text"))
-    latest = entries.join(entries.agg(F.max("conv_id").alias("conv_id")), "conv_id")
-    return best.unionAll(flags.filter("not verified").select(F.lit("flag"), "text")).unionAll(patches.filter("status = 'pending'").select(F.lit("patch"), "text")).unionAll(
-        latest.filter("category = 'conclusion'").select(F.lit("learned"), "sentence")).unionAll(latest.filter("category = 'decision'").select(F.lit("decided"), "sentence"))
+def latest_memory(memories: DataFrame) -> DataFrame:
+    """The conversation that was appended last, of rows (seq, conv_id, ...)."""
+    return memories.join(F.broadcast(memories.agg(F.max_by("conv_id", "seq").alias("conv_id"))), "conv_id", "left_semi")
+
+
+def append_memory(entries: DataFrame, path: str, seq: int) -> None:
+    """Add a conversation's entries to the memories under ``path``; ``seq`` tells their order."""
+    entries.withColumn("seq", F.lit(seq).cast("long")).write.mode("append").parquet(path)
+
+
+def briefing(inferences: DataFrame, flags: DataFrame, patches: DataFrame, entries: DataFrame, dictionary: DataFrame | None = None, top: int = 10) -> DataFrame:
+    """(section, place, text): the surest inferences, all flags (with a mark if verified), pending patches, and what the
+    last appended memory (``entries`` with seq) decided or learned, with its entities spelled out."""
+    best = inferences.orderBy(F.desc("confidence"), "seq").limit(top)
+    line = F.concat_ws(" ", "target", F.concat(F.lit("["), F.col("confidence").cast("string"), F.lit("]")), "text") if "target" in inferences.columns else F.col("text")
+    sections = [best.select(F.lit("inferences").alias("section"), (F.row_number().over(Window.orderBy(F.desc("confidence"), "seq"))).alias("place"), line.alias("text"))]
+    flag = F.concat_ws(" ", *[c for c in ("target",) if c in flags.columns], "text")
+    sections.append(flags.select(F.lit("flags"), F.lit(0), F.when(F.col("verified"), F.concat(flag, F.lit(" [VERIFIED]"))).otherwise(flag)))
+    patch = F.concat_ws(" ", *[c for c in ("patch_id", "target") if c in patches.columns], "text")
+    sections.append(patches.filter("status = 'pending'").select(F.lit("patches"), F.lit(0), patch))
+    latest = latest_memory(entries)
+    latest = decompress(latest, dictionary) if dictionary is not None else latest
+    for section, category in (("decisions", "decision"), ("learned", "conclusion")):
+        sections.append(latest.filter(F.col("category") == category).select(F.lit(section), F.col("place").cast("int") if "place" in latest.columns else F.lit(0), "sentence"))
+    return reduce(DataFrame.unionAll, sections)
+
+
+#: Sections of a briefing in the order in which they are told, and their headings.
+HEADINGS = {"inferences": "Prior inferences, by confidence", "flags": "Flags", "patches": "Pending patches", "decisions": "Decisions", "learned": "Learned",
+            "code_changes": "Code changes", "errors": "Errors", "open_questions": "Open questions"}
 
 
 def prompt(sections: DataFrame) -> DataFrame:
-    """The briefing as Markdown, one row a section."""
-    return sections.groupBy("section").agg(F.concat(F.lit("## "), F.first("section"), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list("text")), lambda t: F.concat(F.lit("- "), t)), "\n")).alias("markdown"))
+    """The briefing as Markdown, one row a section, in order."""
+    order = F.array_position(F.array(*map(F.lit, HEADINGS)), F.col("section"))
+    title = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in HEADINGS.items() for x in pair]), F.col("section")), F.col("section"))
+    rows = sections.withColumn("place", F.col("place") if "place" in sections.columns else F.lit(0))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda t: F.concat(F.lit("- "), t["text"]))
+    return rows.groupBy("section").agg(items.alias("items")).select(
+        order.alias("place"), "section", F.concat(F.lit("### "), title, F.lit("\n"), F.array_join("items", "\n"), F.lit("\n")).alias("markdown")).orderBy("place")
+
+
+#: The sections of the text form of a memory, in order, and the class that each holds.
+MEMORY_SECTIONS = {"DECISIONS": "decision", "CONCLUSIONS": "conclusion", "OPEN_QUESTIONS": "open_question", "CODE_CHANGES": "code_change", "ERRORS": "error"}
+
+
+def memory_text(entries: DataFrame, dictionary: DataFrame, summaries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(conv_id, text): each conversation's memory as text, in sections between ``[NAME]`` and ``[/NAME]``.
+
+    Entries are (conv_id, place, category, sentence, confidence, refs), counts those of
+    :func:`stats`.  An entry's line ends with its confidence and the ids it refers to.
+    """
+    block = lambda name, body: F.concat(F.lit(f"[{name}]\n"), body, F.lit(f"\n[/{name}]\n"))
+    tail = F.when(F.size("refs") > 0, F.concat(F.lit(" refs="), F.array_join("refs", ","))).otherwise(F.lit(""))
+    line = F.concat("sentence", F.lit(" ["), F.format_number("confidence", 1), F.lit("]"), tail)
+    rows = entries.withColumn("line", line).groupBy("conv_id").agg(*[
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("category") == kind, F.struct("place", "line")))), lambda x: x["line"]).alias(name) for name, kind in MEMORY_SECTIONS.items()])
+    names = dictionary.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.concat_ws("=", "symbol", "entity"))).alias("DICT"))
+    joined = summaries.join(counts, "conv_id", "left").join(names, "conv_id", "left").join(rows, "conv_id", "left")
+    parts = [F.lit("[MEMORY:1.0]\n"), block("STATS", F.concat(F.lit("messages="), "messages", F.lit("\noriginal_tokens="), "tokens")), block("CONTEXT", F.col("summary"))]
+    parts += [F.when(F.size(name) > 0, block(name, F.array_join(name, "\n"))) for name in ("DICT", *MEMORY_SECTIONS)]
+    return joined.select("conv_id", F.concat_ws("", *parts).alias("text"))
+
+
+def read_memory(texts: DataFrame) -> dict[str, DataFrame]:
+    """The inverse of :func:`memory_text`: summaries, dictionary, counts and entries of texts (conv_id, text)."""
+    rows = read_sections(texts.select(F.col("conv_id").alias("artifact"), "text")).withColumnRenamed("artifact", "conv_id")
+    rows = rows.filter(~F.col("line").startswith("[/"))
+    lines = lambda name: rows.filter(F.col("section") == name)
+    stat = lambda name: F.max(F.regexp_extract("line", f"^{name}=([0-9]+)$", 1).try_cast("long")).alias(name)
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in MEMORY_SECTIONS.items() for x in pair]), F.col("section"))
+    entries = rows.filter(F.col("section").isin(*MEMORY_SECTIONS)).select("conv_id", F.col("at").alias("place"), kind.alias("category"), "line")
+    refs = F.regexp_extract("line", r" refs=(\S+)$", 1)
+    return {
+        "summaries": lines("CONTEXT").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("summary")),
+        "counts": lines("STATS").groupBy("conv_id").agg(stat("messages"), stat("original_tokens")),
+        "dictionary": lines("DICT").select("conv_id", F.regexp_extract("line", "^[^=]*=(.*)$", 1).alias("entity"), F.regexp_extract("line", "^([^=]*)=", 1).alias("symbol")),
+        "entries": entries.select(
+            "conv_id", "place", "category", F.trim(F.regexp_replace(F.regexp_replace("line", r" refs=\S+$", ""), r"\s*\[[0-9]+\.[0-9]+\]$", "")).alias("sentence"),
+            F.coalesce(F.regexp_extract("line", r"\[([0-9]+\.[0-9]+)\]", 1).try_cast("double"), F.lit(0.8)).alias("confidence"), F.filter(F.split(refs, ","), lambda r: r != "").alias("refs")),
+    }
+
+
+def briefing_text(sections: DataFrame, summary: str = "") -> DataFrame:
+    """(text): a briefing's sections between ``[NAME]`` and ``[/NAME]``, one row."""
+    names = [n for n in HEADINGS]
+    rows = sections.withColumn("place", F.col("place") if "place" in sections.columns else F.lit(0))
+    lists = rows.groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("section"))
+    blocks = lists.select(order.alias("place"), F.concat(F.lit("["), F.upper("section"), F.lit("]\n"), "body", F.lit("\n[/"), F.upper("section"), F.lit("]\n")).alias("block"))
+    context = f"[CONTEXT]\n{summary}\n[/CONTEXT]\n" if summary else ""
+    return blocks.agg(F.concat(F.lit("[RESUME:1.0]\n" + context), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "block"))), lambda x: x["block"]), "")).alias("text"))
+
+
+def read_briefing(texts: DataFrame) -> DataFrame:
+    """(section, place, text, verified) of a briefing's text (artifact, text)."""
+    rows = read_sections(texts).filter(~F.col("line").startswith("[/"))
+    marked = F.col("line").endswith(" [VERIFIED]")
+    return rows.select(F.lower("section").alias("section"), F.col("at").alias("place"), F.regexp_replace("line", r" \[VERIFIED\]$", "").alias("text"), (marked & (F.col("section") == "FLAGS")).alias("verified"))
 
 
 def entry_tokens(entries: DataFrame) -> DataFrame:
     return entries.groupBy("conv_id").agg(F.sum(estimated_tokens(F.col("sentence"))).alias("tokens"))
 
 
-def fidelity(expected: DataFrame, text: str) -> DataFrame:
-    """(category, found, facts) of facts (category, fact): whether the briefing's text holds them."""
-    low = F.lit(text.lower())
-    return expected.groupBy("category").agg(F.avg(F.contains(low, F.lower("fact")).cast("int")).alias("found"), F.count("*").alias("facts"))
+def fidelity(facts: DataFrame, sections: DataFrame, enough: float = 0.4) -> DataFrame:
+    """(category, found, facts): the share of facts (category, key, value) that a briefing (section, key, text) keeps.
+
+    Inferences, flags and patches are looked up by their key, and enough of the fact's words
+    must be there; decisions and conclusions must be part of what was decided or learned.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    told = sections.filter(F.col("section").isin("decisions", "learned")).agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("told"))
+    kept = sections.filter(F.col("section").isin("inferences", "flags", "patches")).select(F.regexp_replace("section", "(e?)s$", "$1").alias("category"), "key", F.col("text").alias("kept"))
+    kept = kept.withColumn("category", F.when(F.col("category") == "patche", "patch").otherwise(F.col("category")))
+    kept = kept.groupBy("category", "key").agg(F.first("kept").alias("kept"))
+    both = F.size(F.array_intersect(words("value"), words(F.coalesce("kept", F.lit("")))))
+    overlap = (F.size(words("value")) == 0) | (both >= F.greatest(F.lit(1.0), F.size(words("value")) * enough))
+    found = F.when(F.col("category").isin("decision", "conclusion"), F.contains(F.coalesce("told", F.lit("")), F.lower("value"))).otherwise(F.col("kept").isNotNull() & overlap)
+    rows = facts.join(kept, ["category", "key"], "left").crossJoin(F.broadcast(told))
+    return rows.groupBy("category").agg(F.avg(found.cast("int")).alias("found"), F.count("*").alias("facts"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.identifiers import half_up
-from graphloom.functions.predicates import is_private, is_test_file, is_vendor, top_folder
+from graphloom.functions.identifiers import half_up, reduction
+from graphloom.functions.joins import few
+from graphloom.functions.predicates import is_private, is_test_file, is_vendor, top_folder, within
+from graphloom.operators.graph import reach_fixpoint
 
 
 def _placed(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -78,11 +80,11 @@ def coverage(edges: DataFrame, symbols: DataFrame, tests: DataFrame, hops: int =
 
     All tests walk together: the frontier is a set of symbols, not of pairs with a test.
     """
-    step = edges.select("src", "dst").distinct()
     roots = tests.select(F.col("id").alias("test")).distinct()
-    direct = step.join(roots, step["src"] == roots["test"]).filter("src <> dst").groupBy("dst").agg(F.count("*").alias("test_count"))
+    calls = edges.join(roots, edges["src"] == roots["test"]).filter("src <> dst").select("src", "dst").distinct()
+    direct = calls.groupBy("dst").agg(F.count("*").alias("test_count"))
     frontier = direct.select(F.col("dst").alias("here"))
-    onward = step.select(F.col("src").alias("from"), F.col("dst").alias("there"))
+    onward = edges.select(F.col("src").alias("from"), F.col("dst").alias("there"))
     reached = direct.select("dst", "test_count")
     for _ in range(1, hops):
         frontier = frontier.join(onward, F.col("here") == F.col("from")).select(F.col("there").alias("here")).distinct()
@@ -93,6 +95,33 @@ def coverage(edges: DataFrame, symbols: DataFrame, tests: DataFrame, hops: int =
         "id", "file", F.when(F.col("test_count").isNotNull(), "covered").otherwise("none").alias("status"), F.coalesce("test_count", F.lit(0)).alias("test_count"))
 
 
+def file_coverage(edges: DataFrame, symbols: DataFrame, tests: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id, file, status, test_count, uncovered) by the calls within each file, followed without a bound of hops.
+
+    ``symbols``: id, name, kind, file; ``parents``: id, parent.  A test's walk goes through other tests but does not
+    count them.  A type that is reached is partial if one of its functions is not; ``uncovered`` names those.
+    """
+    files = symbols.select("id", "file")
+    inside = edges.join(files.withColumnRenamed("id", "src"), "src").join(files.select(F.col("id").alias("dst"), F.col("file").alias("dst_file")), "dst").filter("file = dst_file").select("src", "dst")
+    roots = tests.select("id").distinct()
+    reached = reach_fixpoint(inside, roots).join(roots, "id", "left_anti").groupBy("id").agg(F.count("*").alias("tests"))
+    rows = symbols.select("id", "name", "kind", "file").join(roots, "id", "left_anti").join(reached, "id", "left")
+    missing = rows.filter("kind = 'f' and tests is null").join(parents.filter("parent is not null").select("id", "parent"), "id")
+    missing = missing.groupBy(F.col("parent").alias("id")).agg(F.sort_array(F.collect_list("name")).alias("uncovered"))
+    some = (F.col("kind") == "t") & F.col("uncovered").isNotNull()
+    status = F.when(F.col("tests").isNull(), "none").when(some, "partial").otherwise("covered")
+    empty = F.array().cast("array<string>")
+    return rows.join(missing, "id", "left").select("id", "file", status.alias("status"), F.coalesce("tests", F.lit(0)).alias("test_count"), F.when(status == "partial", F.col("uncovered")).otherwise(empty).alias("uncovered"))
+
+
+def project_coverage(base: DataFrame, wide: DataFrame) -> DataFrame:
+    """``base`` (of :func:`file_coverage`) raised by ``wide`` (of :func:`coverage`): what other files' tests reach is covered, and the larger count of direct tests stays."""
+    more = wide.select("id", F.col("status").alias("wide"), F.col("test_count").alias("direct"))
+    raised = (F.col("status") == "none") & F.coalesce(F.col("wide") == "covered", F.lit(False))
+    count = F.when(raised, F.col("direct")).otherwise(F.greatest("test_count", F.coalesce("direct", F.lit(0))))
+    return base.join(more, "id", "left").select("id", "file", F.when(raised, "covered").otherwise(F.col("status")).alias("status"), count.alias("test_count"))
+
+
 def partial_types(found: DataFrame, parents: DataFrame) -> DataFrame:
     """``found`` with types 'partial' if a child (parents: id, parent) is not covered."""
     open_ = parents.join(found.filter("status = 'none'").select("id"), "id").select(F.col("parent").alias("id")).distinct().withColumn("open", F.lit(True))
@@ -109,13 +138,42 @@ def uncovered_salient(found: DataFrame, salience: DataFrame, least: float = 0.05
 
 
 def map_rollup(files: DataFrame) -> DataFrame:
-    """(folder, files, symbols) of rows (file, id)."""
-    return files.groupBy(top_folder(F.col("file")).alias("folder")).agg(F.countDistinct("file").alias("files"), F.count("*").alias("symbols"))
+    """(folder, files, symbols) of rows (file, id); with columns original and compressed also their tokens' sums."""
+    sums = [F.sum(c).alias(c) for c in ("original", "compressed") if c in files.columns]
+    return files.groupBy(top_folder(F.col("file")).alias("folder")).agg(F.countDistinct("file").alias("files"), F.count("*").alias("symbols"), *sums)
+
 
+def file_map(files: DataFrame, prefix: str = "", limit: int = 200, rollup_above: int = 500) -> DataFrame:
+    """What a map of files (file, symbols, original, compressed) shows: folders if there are many files and no ``prefix``
+    is given, else the first ``limit`` files below the prefix, with the number of those not shown."""
+    files = files.filter(within(F.col("file"), prefix)) if prefix else files
+    total = files.count()
+    if not prefix and total > rollup_above:
+        return files.groupBy(top_folder(F.col("file")).alias("file")).agg(
+            F.count("*").alias("files"), *[F.sum(c).alias(c) for c in ("symbols", "original", "compressed")]).withColumn("not_shown", F.lit(0)).orderBy("file")
+    shown = files.orderBy("file").limit(limit) if limit > 0 else files.orderBy("file")
+    return shown.select("file", F.lit(1).alias("files"), "symbols", "original", "compressed", F.lit(max(0, total - limit) if limit > 0 else 0).alias("not_shown"))
 
-def build_totals(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+
+def build_totals(symbols: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """symbols, files and edges; with ``files`` (file, original, compressed, rebuilt) also tokens, their reduction, and files rebuilt and reused."""
     counted = symbols.agg(F.count("*").alias("symbols"), F.countDistinct("file").alias("files"))
-    return counted.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+    totals = counted.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+    if files is None:
+        return totals
+    sums = files.agg(F.coalesce(F.sum("original"), F.lit(0)).alias("original"), F.coalesce(F.sum("compressed"), F.lit(0)).alias("compressed"), F.count_if("rebuilt").alias("rebuilt"), F.count_if(~F.col("rebuilt")).alias("reused"))
+    return totals.crossJoin(F.broadcast(sums)).withColumn("reduction", reduction(F.col("original"), F.col("compressed")))
+
+
+def in_salience_order(salience: DataFrame) -> DataFrame:
+    """The most salient first, then by file and id."""
+    return salience.orderBy(F.desc("score"), "file", "id")
+
+
+def having(metrics: DataFrame, column: str, value, ids: DataFrame | None = None) -> DataFrame:
+    """The rows of a metric whose ``column`` is ``value``; of the symbols ``ids`` only, if given."""
+    found = metrics.filter(F.col(column) == value)
+    return found if ids is None else found.join(few(ids.select("id").distinct()), "id", "left_semi")
 
 
 def enriched(symbols: DataFrame, salience: DataFrame, stability: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Approved patches put into Python sources as a note at the start of their symbol's body.
+"""Approved patches as notes in Python sources.
 
-The place comes from the parsed tree: a definition of the name within the recorded lines,
-else the only one of the name, or of the name within the class that the qualified name
-gives.  A name that stays ambiguous is an error; the first match is never taken blindly.
+A note goes to the top of the body of its symbol, below a docstring.  Which definition that
+is, the parsed source tells: one of the name that begins within the lines on record; without
+such, the only one of the name; of several, the only one within the class that the qualified
+name ends in.  Anything else is reported with the places of all that it might be.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ def insert_note(text: str, name: str, qualified_name: str, start: int, stop: int
         named = [node for around, node in found if owner and around and around[-1] == owner[-1]]
         choice = [node for _, node in found] if len(found) == 1 else named
         if len(choice) != 1:
-            return None, f"{len(found)} definitions of {name}"
+            places = ", ".join(f"{'::'.join([*around, name])} at {n.lineno}" for around, n in found)
+            return None, f"{len(found)} definitions of {name}: {places}"
         node = choice[0]
     first = node.body[0]
     if first.lineno == node.lineno:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.identifiers import symbol_hash
+from graphloom.sources.artifacts import replace_files
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -49,12 +50,27 @@ def id_migration(symbols: DataFrame, old_root: str = "") -> DataFrame:
     return ids.filter("old_id <> new_id")
 
 
+def migration_report(mapping: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: ids derived, changed and unchanged, those of ``known`` (id) that the mapping has (matched) or lacks (their file changed since)."""
+    ids = known.select("id").distinct().join(mapping.select(F.col("old_id").alias("id"), F.lit(True).alias("hit")).distinct(), "id", "left")
+    counts = ids.agg(F.count_if("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("unmatched"))
+    changed = F.col("old_id") != F.col("new_id")
+    return mapping.agg(F.count("*").alias("derived"), F.count_if(changed).alias("changed"), F.count_if(~changed).alias("unchanged")).crossJoin(F.broadcast(counts))
+
+
 def remap(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """``rows`` with old ids in ``column`` replaced; ids the map lacks stay."""
     renamed = mapping.select(F.col("old_id").alias(column), "new_id")
     return rows.join(renamed, column, "left").withColumn(column, F.coalesce("new_id", column)).drop("new_id")
 
 
+def remap_keys(rows: DataFrame, key: str, column: str, mapping: DataFrame) -> DataFrame:
+    """``rows`` (with a unique ``key``) whose map ``column`` has old ids as its keys, with the new ones."""
+    each = rows.select(key, F.explode(column).alias("old_id", "value")).join(mapping.select("old_id", "new_id"), "old_id", "left")
+    maps = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("new_id", "old_id"), "value"))).alias("changed"))
+    return rows.join(maps, key, "left").withColumn(column, F.coalesce("changed", column)).drop("changed")
+
+
 def overwrite_files(rows: DataFrame, path: str) -> None:
-    """Replace the partitions (by file) that ``rows`` has; other files' rows stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
+    """Replace the rows of the files that ``rows`` has; other files' rows stay."""
+    replace_files(rows.sparkSession, path, rows)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.joins import apart
+
 
 def flags(log: DataFrame) -> DataFrame:
     """(target, flagged, last_flag, verified): a flag is verified by a later verification of its target."""
@@ -16,6 +18,13 @@ def flags(log: DataFrame) -> DataFrame:
     return summed.filter("flagged > 0").select("target", "flagged", "last_flag", F.coalesce(F.col("last_verify") > F.col("last_flag"), F.lit(False)).alias("verified"))
 
 
+def flag_events(log: DataFrame) -> DataFrame:
+    """(seq, target, verified): every flag by itself; a later verification of its target verifies all flags before it."""
+    last = log.filter("kind = 'verify'").groupBy("target").agg(F.max("seq").alias("checked"))
+    flagged = log.filter("kind = 'flag'").select("seq", "target")
+    return apart(flagged, "target").join(apart(last, "target"), ["target", "apart"], "left").select("seq", "target", F.coalesce(F.col("checked") > F.col("seq"), F.lit(False)).alias("verified"))
+
+
 def latest_inferences(log: DataFrame) -> DataFrame:
     """The newest inference of each target."""
     return log.filter("kind = 'infer'").groupBy("target").agg(F.max_by(F.struct("seq", "confidence", "agent"), "seq").alias("x")).select("target", "x.seq", "x.confidence", "x.agent")

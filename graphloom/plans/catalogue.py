@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as ids
 from graphloom.functions import predicates
+from graphloom.functions.joins import scratch, stored
 from graphloom.operators import compression, extraction, graph, linking, lookup, memory, metrics, search, snapshots, state, temporal, workspace
-from graphloom.plans.tables_sql import tokenised, using
+from graphloom.plans.tables_sql import UNWORDED, cue, quoted, tokenised, using
 from graphloom.sources import adapters as a
 from graphloom.sources import artifacts, discovery
 from graphloom.streaming import watch
@@ -20,8 +19,6 @@ from graphloom.streaming import watch
 TARGET, WINDOW = "p1", a.REFERENCE_DATE
 TARGETS = ("p1", "p2", "s1", "s3", "c7")
 REFS = ("p1", "Supplier#000000001", "c99999999", "almond", "s2", "nobody")
-#: Cues that occur in the synthetic conversations.
-CUES = {"decision": ("that",), "assistant_decision": (), "error": ("ingth",), "conclusion": ("blewh",), "change_verb": (), "change_noun": (), "question": ("with",), "weak_conclusion": ()}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -88,14 +85,17 @@ def callees(spark, d):
     return graph.callees(a.edges(spark, d), a.symbols(spark, d), _strings(spark, "id", TARGETS))
 
 
+def _names(own: str, other: str) -> str:
+    return f"SELECT {own} AS id, list_sort(list(DISTINCT qualified_name)) AS names FROM edges JOIN symbols x ON x.id = {other} WHERE {own} IN ({_in(TARGETS)}) GROUP BY {own}"
+
+
 @query(using("symbols edges", f"""
-SELECT s.id, s.qualified_name, s.file,
-  coalesce((SELECT string_agg(DISTINCT x.qualified_name, ',' ORDER BY x.qualified_name) FROM edges e JOIN symbols x ON x.id = e.src WHERE e.dst = s.id), '') AS callers,
-  coalesce((SELECT string_agg(DISTINCT x.qualified_name, ',' ORDER BY x.qualified_name) FROM edges e JOIN symbols x ON x.id = e.dst WHERE e.src = s.id), '') AS callees
-FROM symbols s WHERE s.id IN ({_in(TARGETS)})"""))
+SELECT s.id, s.qualified_name, s.file, coalesce(array_to_string(i.names[1:50], ','), '') AS callers, coalesce(array_to_string(o.names[1:50], ','), '') AS callees,
+  coalesce(len(i.names), 0) AS n_callers, coalesce(len(o.names), 0) AS n_callees
+FROM symbols s LEFT JOIN ({_names("dst", "src")}) i ON i.id = s.id LEFT JOIN ({_names("src", "dst")}) o ON o.id = s.id WHERE s.id IN ({_in(TARGETS)})"""))
 def context(spark, d):
     rows = graph.context(a.edges(spark, d), a.symbols(spark, d), _strings(spark, "id", TARGETS))
-    return rows.select("id", "qualified_name", "file", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
+    return rows.select("id", "qualified_name", "file", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"), "n_callers", "n_callees")
 
 
 @query(using("edges", f"SELECT dst AS id, 'in' AS direction, src AS other FROM edges WHERE dst IN ({_in(TARGETS)}) UNION SELECT src, 'out', dst FROM edges WHERE src IN ({_in(TARGETS)})"))
@@ -127,9 +127,26 @@ def transitive_callers_2hop(spark, d):
     return graph.reach(a.edges(spark, d), _strings(spark, "id", (TARGET,)), 2, backward=True)
 
 
+_built: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What a build keeps of the tables in ``d``: symbols, edges, salience and coverage, written once per application.
+
+    An impact is asked of a built project: it reads stored metrics, it doesn't make them.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        kept = {"symbols": stored(a.symbols(spark, d), "symbols"), "edges": stored(a.edges(spark, d), "edges")}
+        kept["salience"] = stored(metrics.project_salience(kept["edges"], kept["symbols"]), "salience")
+        kept["coverage"] = stored(metrics.coverage(kept["edges"], kept["symbols"], a.tests(spark, d)), "coverage")
+        _built[key] = kept
+    return _built[key]
+
+
 def _impact(spark, d):
-    symbols, edges = a.symbols(spark, d), a.edges(spark, d)
-    return graph.impact(edges, symbols, metrics.project_salience(edges, symbols), metrics.coverage(edges, symbols, a.tests(spark, d)), TARGET)
+    kept = built(spark, d)
+    return graph.impact(kept["edges"], kept["symbols"], kept["salience"], kept["coverage"], TARGET)
 
 
 @query(_then("symbols edges salience coverage", _IMPACT, "SELECT * FROM bucketed"))
@@ -153,9 +170,10 @@ def file_deps(spark, d):
     return graph.file_dependencies(a.edges(spark, d), a.symbols(spark, d))
 
 
-@query()
+@query(using("tests edges", "SELECT DISTINCT id FROM reached_all WHERE id NOT IN (SELECT id FROM tests)").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT DISTINCT id FROM reached_all", ",\nreached_all AS (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM tests) UNION SELECT e.dst FROM reached_all r JOIN edges e ON e.src = r.id)\nSELECT DISTINCT id FROM reached_all"))
 def reach_fixpoint(spark, d):
-    return graph.reach(a.edges(spark, d), _strings(spark, "id", ("s1", "s2")), 6)
+    return graph.reachable(a.edges(spark, d), a.tests(spark, d))
 
 
 @query(using("symbols", "SELECT CASE WHEN contains(file, '/') THEN split_part(file, '/', 1) ELSE '.' END AS folder, count(DISTINCT file) AS files, count(*) AS symbols FROM symbols GROUP BY 1"))
@@ -252,10 +270,11 @@ def insufficient_history(spark, d):
 
 
 @query("""WITH spans AS (SELECT l_orderkey % 500 AS file, l_orderkey * 10 + l_linenumber AS id, CAST(l_linenumber * 3 AS BIGINT) AS start, CAST(l_linenumber * 3 + l_partkey % 5 AS BIGINT) AS stop FROM lineitem),
-lines AS (SELECT o_orderkey % 500 AS file, o_custkey % 25 AS line, o_orderdate AS ts FROM orders)
-SELECT id, date_sub('day', min(ts), TIMESTAMP '2001-08-01') AS age_days, date_sub('day', max(ts), TIMESTAMP '2001-08-01') AS last_modified_days,
-       count(DISTINCT CASE WHEN ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY THEN CAST(ts AS DATE) END) AS churn
-FROM spans JOIN lines ON spans.file = lines.file AND line BETWEEN start AND stop GROUP BY id""")
+lines AS (SELECT o_orderkey % 500 AS file, o_custkey % 25 AS line, o_orderdate AS ts FROM orders),
+own AS (SELECT s.file, start, stop, date_sub('day', min(ts), TIMESTAMP '2001-08-01') AS age_days, date_sub('day', max(ts), TIMESTAMP '2001-08-01') AS last_modified_days,
+          count(DISTINCT CASE WHEN ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY THEN CAST(ts AS DATE) END) AS churn
+        FROM (SELECT DISTINCT file, start, stop FROM spans) s JOIN lines ON s.file = lines.file AND line BETWEEN start AND stop GROUP BY 1, 2, 3)
+SELECT id, age_days, last_modified_days, churn FROM spans JOIN own USING (file, start, stop)""")
 def span_history(spark, d):
     items = a.table(spark, d, "lineitem").selectExpr("l_orderkey % 500 AS file", "l_orderkey * 10 + l_linenumber AS id", "l_linenumber * 3 AS start", "l_linenumber * 3 + l_partkey % 5 AS stop")
     lines = a.table(spark, d, "orders").selectExpr("o_orderkey % 500 AS file", "o_custkey % 25 AS line", "o_orderdate AS ts")
@@ -327,35 +346,46 @@ _FORMS = """forms AS (SELECT token, unnest(list_distinct(list_filter([token,
   CASE WHEN length(token) > 3 AND token LIKE '%s' AND NOT token LIKE '%ss' THEN substr(token, 1, length(token) - 1) ELSE token || 's' END], lambda v: v IS NOT NULL))) AS form FROM token_df)"""
 
 
-@query(_then("token_df", _FORMS, "SELECT f.token, max(coalesce(t.df, 0)) AS df FROM forms f LEFT JOIN token_df t ON t.token = f.form GROUP BY f.token"))
+@query(_then("token_df", _FORMS, """SELECT token, floor(ln(1 + ((SELECT count(*) FROM symbols) - df + 0.5) / (df + 0.5)) * 1000000 + 0.5) / 1000000 AS weight
+FROM (SELECT f.token, max(coalesce(t.df, 0)) AS df FROM forms f LEFT JOIN token_df t ON t.token = f.form GROUP BY f.token)"""))
 def variant_idf(spark, d):
-    df = search.token_frequency(a.symbols(spark, d))
+    symbols = a.symbols(spark, d)
+    df = search.token_frequency(symbols)
     forms = df.select("token", F.explode(ids.variants_of(F.col("token"))).alias("form"))
-    return forms.join(df.select(F.col("token").alias("form"), "df"), "form", "left").groupBy("token").agg(F.max(F.coalesce("df", F.lit(0))).alias("df"))
+    best = forms.join(df.select(F.col("token").alias("form"), "df"), "form", "left").groupBy("token").agg(F.max(F.coalesce("df", F.lit(0))).alias("df"))
+    total = F.broadcast(symbols.agg(F.count("*").alias("total")))
+    return best.crossJoin(total).select("token", ids.half_up(ids.idf(F.col("df"), F.col("total")), 6).alias("weight"))
 
 
 QUESTION = "supplier metals"
 
 
-def _search_sql(text: str) -> str:
-    tokens = ids.token_list(text)
-    forms = {t: "[" + _in(tuple(ids.variants(t))) + "]" for t in tokens}
-    low = text.lower()
-    weights = ", ".join(
-        f"(SELECT ln(1 + ((SELECT count(*) FROM symbols) - m + 0.5) / (m + 0.5)) FROM (SELECT coalesce(max(df), 0) AS m FROM token_df WHERE list_contains({f}, token))) AS w{i}" for i, f in enumerate(forms.values()))
+def _hits_sql(text: str, by_region: bool = False) -> str:
+    """The tables up to ``hits`` of a search for ``text``, in each region by itself if asked."""
+    forms = {t: "[" + _in(tuple(ids.variants(t))) + "]" for t in ids.token_list(text)}
+    low, size = text.lower(), len(text)
+    part, using_part = ("region, ", " USING (region)") if by_region else ("", "")
+    counts = "region, count(*) AS total" if by_region else "count(*) AS total"
+    df = ", ".join(f"greatest({', '.join(f'count(*) FILTER (list_contains(t, {v!r}))' for v in ids.variants(tok))}) AS d{i}" for i, tok in enumerate(forms))
+    weights = ", ".join(f"ln(1 + (total - d{i} + 0.5) / (d{i} + 0.5)) AS w{i}" for i in range(len(forms)))
     hit = " + ".join(f"CASE WHEN list_has_any(n, {f}) THEN w{i} WHEN list_has_any(p, {f}) THEN 0.6 * w{i} ELSE 0 END" for i, f in enumerate(forms.values()))
     named = " OR ".join(f"list_has_any(n, {f})" for f in forms.values())
-    total = " + ".join(f"w{i}" for i in range(len(tokens)))
-    return _then("token_df", f"""weights AS (SELECT {weights}),
-rows_ AS (SELECT id, qualified_name, kind, file, ({hit}) / ({total}) AS fraction, ({named}) AS named, lower(name) AS nm, lower(qualified_name) AS qn
-          FROM (SELECT *, {tokenised('qualified_name')} AS n, {tokenised('file')} AS p FROM symbols), weights),
-tiers AS (SELECT *, CASE WHEN lower(id) = '{low}' THEN 1.0 WHEN nm = '{low}' OR qn = '{low}' THEN 0.95 WHEN starts_with(nm, '{low}') THEN 0.7 + 0.2 * {len(low)} / greatest(length(nm), 1)
-           WHEN contains(qn, '{low}') OR contains(nm, '{low}') THEN 0.5 + 0.15 * least({len(low)} / greatest(length(qn), 1), 1.0) ELSE 0 END AS tier,
+    total = " + ".join(f"w{i}" for i in range(len(forms)))
+    return f"""tokenised AS (SELECT *, {tokenised('qualified_name')} AS n, {tokenised('file')} AS p FROM symbols),
+weights AS (SELECT {part}{weights} FROM (SELECT {counts}, {df} FROM (SELECT region, list_concat(n, p) AS t FROM tokenised) {'GROUP BY region' if by_region else ''})),
+rows_ AS (SELECT id, qualified_name, kind, file, region, ({hit}) / ({total}) AS fraction, ({named}) AS named, lower(name) AS nm, lower(qualified_name) AS qn
+          FROM tokenised {'JOIN' if by_region else ','} weights{using_part}),
+tiers AS (SELECT *, CASE WHEN lower(id) = '{low}' THEN 1.0 WHEN nm = '{low}' OR qn = '{low}' THEN 0.95 WHEN starts_with(nm, '{low}') THEN 0.7 + 0.2 * {size} / greatest(length(nm), 1)
+           WHEN contains(qn, '{low}') OR contains(nm, '{low}') THEN 0.5 + 0.15 * least({size} / greatest(length(qn), 1), 1.0) ELSE 0 END AS tier,
            CASE WHEN lower(id) = '{low}' THEN 'exact-id' WHEN nm = '{low}' OR qn = '{low}' THEN 'exact' WHEN starts_with(nm, '{low}') THEN 'prefix' WHEN contains(qn, '{low}') OR contains(nm, '{low}') THEN 'substring' ELSE '' END AS m FROM rows_),
 better AS (SELECT *, fraction >= 0.3 AND 0.25 + 0.43 * fraction > tier AND tier < 0.95 AS b FROM tiers),
-scored AS (SELECT id, qualified_name, kind, file, floor((CASE WHEN b THEN 0.25 + 0.43 * fraction ELSE tier END) * 1000 + 0.5) / 1000 AS score,
+scored AS (SELECT id, qualified_name, kind, file, region, floor((CASE WHEN b THEN 0.25 + 0.43 * fraction ELSE tier END) * 1000 + 0.5) / 1000 AS score,
            CASE WHEN b THEN CASE WHEN named THEN 'subtoken' ELSE 'path' END ELSE m END AS match FROM better),
-hits AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name, kind ORDER BY score DESC, id) AS r FROM scored WHERE score > 0) WHERE r = 1)""", "SELECT * FROM hits")
+hits AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY {part}qualified_name, kind ORDER BY score DESC, id) AS r FROM scored WHERE score > 0) WHERE r = 1)"""
+
+
+def _search_sql(text: str) -> str:
+    return _then("symbols", _hits_sql(text), "SELECT * EXCLUDE (region) FROM hits")
 
 
 @query(_search_sql(QUESTION))
@@ -412,28 +442,36 @@ def rrf_fuse(spark, d):
     return search.fuse(lexical, semantic)
 
 
-@query()
+@query(_then("symbols salience", _hits_sql("supplier"), """SELECT id, qualified_name, match, score, salience, combined FROM (
+  SELECT h.*, coalesce(s.score, 0) AS salience, floor((h.score * 0.5 + coalesce(s.score, 0) * 0.5) * CASE WHEN regexp_matches(lower(h.file), '(^|/)tests/|(^|/)test_[^/]*$|_test\\.py$') THEN 0.5 ELSE 1.0 END * 10000 + 0.5) / 10000 AS combined
+  FROM hits h LEFT JOIN salience s USING (id) WHERE h.kind <> 'd' AND h.score >= 0.35 AND NOT (match IN ('substring', 'path') AND coalesce(s.score, 0) <= 0 AND h.score < 0.6))
+ORDER BY combined DESC, id LIMIT 10"""))
 def brief_topn(spark, d):
-    return search.brief(a.symbols(spark, d), salience_project(spark, d), "the supplier")
+    return search.brief(a.symbols(spark, d), salience_project(spark, d), "fix the supplier")
 
 
 @query(using("sentences", "SELECT * FROM sentences"))
 def sentences(spark, d):
-    return memory.sentences(a.messages(spark, d))
+    return memory.sentences(a.cued_messages(spark, d))
 
 
 @query(using("classified", "SELECT conv_id, turn, role, \"at\", sentence, category, confidence FROM classified"))
 def classify(spark, d):
-    return memory.classify(sentences(spark, d), CUES)
+    return memory.classify(sentences(spark, d))
 
 
-@query("""SELECT conv_id, entity, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(text, '\\b([a-z]+th)\\b', 1)) AS entity FROM conversations) GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(using("entities", "SELECT conv_id, entity, n FROM entities"))
 def entity_counts(spark, d):
-    return memory.entities(a.messages(spark, d), (("th", r"\b([a-z]+th)\b", False),))
+    return memory.entities(a.cued_messages(spark, d))
 
 
-_KEYED = """keyed AS (SELECT *, substr(trim(regexp_replace(lower(sentence), '[^a-z0-9_\\s]', '', 'g')), 1, 80) AS key FROM classified),
-dedup AS (SELECT conv_id, turn, "at", category, confidence, sentence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY confidence DESC, turn, "at") AS r FROM keyed) WHERE r = 1)"""
+def _keyed(table: str = "classified", more: str = "") -> str:
+    return f"""keyed AS (SELECT *, substr(trim(regexp_replace(lower(sentence), '{UNWORDED}', '', 'g')), 1, 80) AS key FROM {table}),
+dedup AS (SELECT conv_id, turn, "at", category, confidence, sentence, first_{more} FROM (
+  SELECT *, row_number() OVER w AS r, min([turn, "at"]) OVER (PARTITION BY conv_id, key) AS first_ FROM keyed WINDOW w AS (PARTITION BY conv_id, key ORDER BY confidence DESC, turn, "at")) WHERE r = 1)"""
+
+
+_KEYED = _keyed()
 
 
 @query(_then("classified", _KEYED, "SELECT conv_id, turn, \"at\", category, confidence FROM dedup"))
@@ -442,11 +480,17 @@ def dedup_entries(spark, d):
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in predicates.STOP_WORDS) + "]"
-_WORDS = f"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(sentence), '[^a-z0-9_\\s]', '', 'g')), '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w)))"
-_OPEN = _KEYED + f""", q AS (SELECT *, {_WORDS} AS words FROM dedup), answered AS (
+_WORDS = f"list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(sentence), '{UNWORDED}', '', 'g')), '\\s+'), lambda w: w <> '' AND NOT list_contains({_STOPS}, w)))"
+_ANSWERED = f""", q AS (SELECT *, {_WORDS} AS words FROM dedup), answered AS (
   SELECT DISTINCT x.conv_id, x.turn, x."at" FROM q x JOIN q y ON x.conv_id = y.conv_id AND y.turn > x.turn
   WHERE x.category = 'open_question' AND y.category IN ('decision', 'conclusion') AND len(x.words) >= 2 AND len(list_intersect(x.words, y.words)) >= greatest(2, floor(len(x.words) * 0.4))),
 open_ AS (SELECT * FROM dedup d WHERE NOT (category = 'open_question' AND EXISTS (SELECT 1 FROM answered a WHERE a.conv_id = d.conv_id AND a.turn = d.turn AND a."at" = d."at")))"""
+_OPEN = _KEYED + _ANSWERED
+_BUDGET = """, sized AS (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1),
+ordered AS (SELECT o.*, messages, list_position(['decision', 'error', 'conclusion', 'code_change', 'open_question'], category) AS p,
+            row_number() OVER (PARTITION BY conv_id, category ORDER BY confidence DESC, first_) = 1 AS reserved FROM open_ o JOIN sized USING (conv_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reserved DESC, p, confidence DESC, first_) AS place FROM ordered),
+chosen AS (SELECT * FROM placed WHERE reserved OR place <= least(15, greatest(5, messages)))"""
 
 
 @query(_then("classified", _OPEN, "SELECT conv_id, turn, \"at\", category FROM open_"))
@@ -454,33 +498,45 @@ def resolve_questions(spark, d):
     return memory.open_questions(memory.dedup(classify(spark, d))).select("conv_id", "turn", "at", "category")
 
 
-@query(_then("classified", _OPEN + """, sized AS (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1),
-ordered AS (SELECT o.*, messages, list_position(['decision', 'error', 'conclusion', 'code_change', 'open_question'], category) AS p,
-            row_number() OVER (PARTITION BY conv_id, category ORDER BY confidence DESC, turn, "at") = 1 AS reserved FROM open_ o JOIN sized USING (conv_id)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reserved DESC, p, confidence DESC, turn, "at") AS place FROM ordered)""",
-    "SELECT conv_id, turn, \"at\", category, place FROM placed WHERE reserved OR place <= least(15, greatest(5, messages))"))
+@query(_then("classified", _OPEN + _BUDGET, "SELECT conv_id, turn, \"at\", category, place FROM chosen"))
 def budget_per_category(spark, d):
-    kept = memory.within_budget(memory.open_questions(memory.dedup(classify(spark, d))), a.messages(spark, d))
+    kept = memory.within_budget(memory.open_questions(memory.dedup(classify(spark, d))), a.cued_messages(spark, d))
     return kept.select("conv_id", "turn", "at", "category", "place")
 
 
-@query("SELECT conv_id, count(*) AS messages, greatest(1, CAST(floor((sum(length(text)) + count(*) - 1) / 4) AS BIGINT)) AS tokens FROM conversations GROUP BY conv_id")
+@query(using("messages", "SELECT conv_id, count(*) AS messages, greatest(1, CAST(floor((sum(length(text)) + count(*) - 1) / 4) AS BIGINT)) AS tokens FROM messages GROUP BY conv_id"))
 def memory_stats(spark, d):
-    return memory.stats(a.messages(spark, d))
+    return memory.stats(a.cued_messages(spark, d))
+
+
+@query(using("messages", """, u AS (SELECT conv_id, turn, CASE WHEN strpos(t, '. ') > 1 AND strpos(t, '. ') <= 200 THEN substr(t, 1, strpos(t, '. ')) ELSE substr(t, 1, 200) END AS c,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT *, trim(text) AS t FROM messages) WHERE role = 'user' AND t <> ''),
+f AS (SELECT conv_id, max(c) FILTER (r = 1) AS c1, max(c) FILTER (r = 2) AS c2, max(c) FILTER (r = 3) AS c3 FROM u GROUP BY 1),
+b AS (SELECT conv_id, CASE WHEN length(c1) >= 30 THEN c1 WHEN length(coalesce(c3, '')) > greatest(length(c1), length(coalesce(c2, ''))) THEN c3 WHEN length(coalesce(c2, '')) > length(c1) THEN c2 ELSE c1 END AS best FROM f),
+told AS (SELECT conv_id, list(PHRASES ORDER BY turn) AS xs FROM (SELECT *, trim(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM messages) WHERE r <= 4 AND role = 'assistant' GROUP BY 1),
+s AS (SELECT conv_id, CASE WHEN length(best) >= 30 THEN best ELSE list_reduce(list_prepend(best, coalesce(xs, [])),
+  lambda acc, x: coalesce(substr(list_filter(string_split(x, chr(1)), lambda p: length(p) > length(acc))[1], 1, 200), acc)) END AS best FROM b LEFT JOIN told USING (conv_id))
+SELECT k.conv_id, coalesce('Task: ' || best, 'No context available.') AS summary FROM (SELECT DISTINCT conv_id FROM messages) k LEFT JOIN s USING (conv_id)""".replace(
+    "PHRASES", " || chr(1) || ".join(f"regexp_extract(t, {quoted(p)}, 0)" for p in memory.TASK_PATTERNS))).replace("\n\n,", "\n,").replace("\n, u AS", ",\nu AS"))
+def context_summary(spark, d):
+    return memory.context_summary(a.cued_messages(spark, d))
 
 
-@query("""WITH u AS (SELECT conv_id, turn, CASE WHEN strpos(t, '. ') > 1 AND strpos(t, '. ') <= 200 THEN substr(t, 1, strpos(t, '. ')) ELSE substr(t, 1, 200) END AS c,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT *, trim(text) AS t FROM conversations) WHERE role = 'user' AND t <> ''),
-f AS (SELECT conv_id, max(c) FILTER (r = 1) AS c1, max(c) FILTER (r = 2) AS c2, max(c) FILTER (r = 3) AS c3 FROM u GROUP BY 1)
-SELECT k.conv_id, coalesce('Task: ' || CASE WHEN length(c1) >= 30 THEN c1 WHEN length(coalesce(c3, '')) > greatest(length(c1), length(coalesce(c2, ''))) THEN c3 WHEN length(coalesce(c2, '')) > length(c1) THEN c2 ELSE c1 END, 'No context available.') AS summary
-FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN f USING (conv_id)""")
-def context_summary(spark, d):
-    return memory.context_summary(a.messages(spark, d))
+_MARKED = """named AS (SELECT e.*, messages, row_number() OVER (PARTITION BY e.conv_id ORDER BY n DESC, entity) AS place FROM entities e JOIN (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1) USING (conv_id)),
+top_ AS (SELECT *, 's_' || substr(sha256(lower(entity)), 1, 6) AS short FROM named WHERE place <= least(50, greatest(8, 2 * messages))),
+dictionary AS (SELECT conv_id, entity, CASE WHEN row_number() OVER (PARTITION BY conv_id, short ORDER BY place) > 1 THEN 's_' || substr(sha256(entity), 1, 8) ELSE short END AS symbol FROM top_),
+words_ AS (SELECT conv_id, list(entity || chr(1) || symbol ORDER BY length(entity) DESC, entity) AS ws FROM dictionary GROUP BY conv_id),
+marked AS (SELECT c.conv_id, turn, "at", category, confidence,
+  list_reduce(list_prepend(sentence, coalesce(ws, [])), lambda acc, w: replace(acc, split_part(w, chr(1), 1), split_part(w, chr(1), 2))) AS sentence,
+  array_to_string(list_transform(list_filter(coalesce(ws, []), lambda w: contains(sentence, split_part(w, chr(1), 1))), lambda w: split_part(w, chr(1), 2)), ' ') AS refs
+  FROM classified c LEFT JOIN words_ USING (conv_id)),
+"""
 
 
-@query()
+@query(_then("classified entities", _MARKED + _keyed("marked", ", refs") + _ANSWERED + _BUDGET,
+             "SELECT conv_id, place, category, CASE WHEN length(sentence) > 150 THEN substr(sentence, 1, 147) || '...' ELSE sentence END AS sentence, confidence, refs FROM chosen"))
 def compressed_memory(spark, d):
-    return memory.compress(a.messages(spark, d), CUES)
+    return memory.compress(a.cued_messages(spark, d)).withColumn("refs", F.array_join("refs", " "))
 
 
 @query(using("changes", "SELECT * FROM changes"))
@@ -537,9 +593,12 @@ def id_collisions(spark, d):
     return linking.id_collisions(symbol_ids(spark, d))
 
 
-@query(using("symbols", "SELECT id, qualified_name, file FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name, scope, file ORDER BY id) AS r FROM symbols) WHERE r = 1"))
+@query(using("symbols", """SELECT id, qualified_name, file FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name, scope, file ORDER BY id) AS r FROM (
+  SELECT id, qualified_name, scope, file FROM symbols UNION ALL SELECT 'z' || id, qualified_name, scope, file FROM symbols WHERE kind = 'f')) WHERE r = 1"""))
 def dedup_symbols(spark, d):
-    return linking.deduplicated(a.symbols(spark, d).withColumn("pos", F.col("id"))).select("id", "qualified_name", "file")
+    symbols = a.symbols(spark, d)
+    again = symbols.filter("kind = 'f'").withColumn("id", F.concat(F.lit("z"), "id"))
+    return linking.deduplicated(symbols.unionByName(again).withColumn("pos", F.col("id"))).select("id", "qualified_name", "file")
 
 
 @query(using("symbols", "SELECT file, substr(sha256(string_agg(k, chr(10) ORDER BY k)), 1, 12) AS fingerprint FROM (SELECT file, concat_ws('|', id, kind, scope, qualified_name) AS k FROM symbols) GROUP BY file"))
@@ -552,21 +611,21 @@ def id_migration_map(spark, d):
     return snapshots.id_migration(a.symbols(spark, d), "/old/")
 
 
-_SITES = """sites AS (SELECT o_orderkey % 200 AS file, o_orderkey AS line FROM orders WHERE o_orderkey <= 6000),
+_SITES = """sites AS (SELECT o_custkey % 200 AS file, o_orderkey % 6000 AS line FROM orders),
 spans AS (SELECT s_suppkey % 200 AS file, s_suppkey AS id, s_suppkey * 37 % 5000 AS start, s_suppkey * 37 % 5000 + s_suppkey % 900 AS stop FROM supplier
   UNION ALL SELECT p_partkey % 200, 100000 + p_partkey, p_partkey * 13 % 5000, p_partkey * 13 % 5000 + p_partkey % 700 FROM part)"""
 
 
 @query("WITH " + _SITES + " SELECT file, line, arg_min(id, (stop - start) * 1000000 + id) AS id FROM (SELECT DISTINCT file, line FROM sites) JOIN spans USING (file) WHERE line BETWEEN start AND stop GROUP BY file, line")
 def enclosing_span(spark, d):
-    sites = a.table(spark, d, "orders").filter("o_orderkey <= 6000").selectExpr("o_orderkey % 200 AS file", "o_orderkey AS line").distinct()
+    sites = a.table(spark, d, "orders").selectExpr("o_custkey % 200 AS file", "o_orderkey % 6000 AS line").distinct()
     spans = a.table(spark, d, "supplier").selectExpr("s_suppkey % 200 AS file", "s_suppkey AS id", "s_suppkey * 37 % 5000 AS start", "s_suppkey * 37 % 5000 + s_suppkey % 900 AS stop").unionAll(
         a.table(spark, d, "part").selectExpr("p_partkey % 200", "100000 + p_partkey", "p_partkey * 13 % 5000", "p_partkey * 13 % 5000 + p_partkey % 700"))
     return linking.enclosing(sites, spans.withColumn("pos", F.col("id")))
 
 
 @query(using("symbols", """, sites AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS site, CASE WHEN l_linenumber % 2 = 0 THEN p_name ELSE p_brand || '::' || p_name END AS callee_name, 'Brand#' || (l_suppkey % 5 + 1) || (l_partkey % 5 + 1) AS caller_scope
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2),
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
 full_ AS (SELECT qualified_name AS q, arg_max(id, id) AS full_id FROM symbols GROUP BY 1),
 cand AS (SELECT site, callee_name, caller_scope, s.id, s.scope, s.qualified_name FROM (SELECT *, CASE WHEN callee_name IN (SELECT name FROM symbols) THEN callee_name ELSE list_extract(string_split(callee_name, '::'), -1) END AS n FROM sites) t LEFT JOIN symbols s ON s.name = t.n),
 summed AS (SELECT site, any_value(callee_name) AS callee_name, count(id) AS n, min(id) AS o, count(*) FILTER (scope = caller_scope) AS ns, min(id) FILTER (scope = caller_scope) AS s,
@@ -576,22 +635,38 @@ SELECT site, CASE WHEN full_id IS NOT NULL THEN 'resolved_qualified' WHEN n = 0
 FROM summed LEFT JOIN full_ ON q = callee_name"""))
 def call_resolution(spark, d):
     parts = a.table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    lines = a.table(spark, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = a.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     sites = lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("site"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_name")).otherwise(F.concat_ws("::", "p_brand", "p_name")).alias("callee_name"),
         F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 5 + 1).cast("string"), (F.col("l_partkey") % 5 + 1).cast("string")).alias("caller_scope")).distinct()
     return linking.resolve_calls(sites, a.symbols(spark, d).withColumn("pos", F.col("id")))
 
 
-@query(using("symbols", """, sites AS (SELECT DISTINCT 'c' || o_custkey AS caller, s_name AS callee_name, r_name || '/' || n_name AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderkey % 3 = 0)
-SELECT DISTINCT caller, s.id AS callee, sites.file AS source_file, s.file AS target_file FROM sites JOIN symbols s ON s.name = callee_name AND s.file <> sites.file"""))
+_LINKS = """, places AS (SELECT n_nationkey AS n, r_name || '/' || n_name AS file FROM nation JOIN region ON r_regionkey = n_regionkey),
+known AS (SELECT id, name, qualified_name, file FROM symbols
+  UNION ALL SELECT 'x' || n, 'Shared', 'n' || n || '::Shared', 'lib/n' || n || '.py' FROM places UNION ALL SELECT 'y', 'print', 'io::print', 'lib/io.py' UNION ALL SELECT 'v', 'vend', 'v::vend', 'vendor/v.py'),
+sites AS (SELECT DISTINCT 'c' || o_custkey AS caller, s_name AS callee_name, places.file FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey JOIN places ON n = c_nationkey
+  UNION SELECT 'c' || c_custkey, ['Shared', 'print', 'vend'][c_custkey % 3 + 1], places.file FROM customer JOIN places ON n = c_nationkey)
+SELECT DISTINCT caller, k.id AS callee, sites.file AS source_file, k.file AS target_file FROM sites JOIN known k ON k.name = callee_name AND k.file <> sites.file WHERE callee_name NOT IN ('Shared', 'print', 'vend')
+UNION SELECT caller, 'x' || (n + 2) % 25, sites.file, 'lib/n' || (n + 2) % 25 || '.py' FROM sites JOIN places USING (file) WHERE callee_name = 'Shared' AND n % 2 = 0"""
+
+
+@query(using("symbols", _LINKS).replace("\n, places", ",\nplaces"))
 def cross_file_link(spark, d):
-    symbols = a.symbols(spark, d)
-    lines = a.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(a.table(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Sites with a single candidate, with several and an import that tells (or does not), of a builtin's name, and into vendor code."""
+    symbols = a.symbols(spark, d).select("id", "name", "qualified_name", "file")
+    nation, region = a.table(spark, d, "nation"), a.table(spark, d, "region")
+    places = F.broadcast(nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("n"), F.concat_ws("/", "r_name", "n_name").alias("file")))  # 25 rows by the schema
+    shared = places.selectExpr("concat('x', n)", "'Shared'", "concat('n', n, '::Shared')", "concat('lib/n', n, '.py')")
+    single = spark.createDataFrame([("y", "print", "io::print", "lib/io.py"), ("v", "vend", "v::vend", "vendor/v.py")], symbols.schema)
+    lines = a.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(a.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     names = a.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("callee_name"))
     sites = lines.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("caller"), "callee_name").distinct()
-    sites = sites.join(symbols.select(F.col("id").alias("caller"), "file"), "caller")
-    return linking.cross_file_links(sites, symbols, linking.imports(spark.createDataFrame([], "file string, text string")))
+    customers = a.table(spark, d, "customer").join(places, F.col("n") == F.col("c_nationkey"))
+    sites = sites.join(customers.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("caller"), "file"), "caller").unionByName(
+        customers.selectExpr("concat('c', c_custkey) AS caller", "element_at(array('Shared', 'print', 'vend'), cast(c_custkey % 3 + 1 as int)) AS callee_name", "file"))
+    imports = places.selectExpr("file", "if(n % 2 = 0, concat('from n', (n + 2) % 25, ' import Shared as S, Other'), concat('from lib.n', (n + 2) % 25, ' import Shared')) AS text")
+    return linking.cross_file_links(sites, symbols.unionAll(shared).unionAll(single), linking.imports(imports))
 
 
 @query("""WITH h AS (SELECT 'r' || r_regionkey AS id, r_name AS q, '' AS scope, 1 AS pos FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, r_name, 2 FROM nation JOIN region ON r_regionkey = n_regionkey
@@ -605,32 +680,48 @@ def hierarchy(spark, d):
     return linking.hierarchy(rows)
 
 
-@cache
-def _regions() -> tuple[str, ...]:
-    return ("ASIA", "EUROPE", "PARTS")
-
-
 def _projects(spark, d):
+    """A project for each region, in the order of their keys, and one of the parts."""
+    names = [r.r_name for r in a.table(spark, d, "region").orderBy("r_regionkey").collect()] + ["PARTS"]  # five rows by the schema
     symbols = a.symbols(spark, d)
-    return {r: symbols.filter(F.col("region") == r) for r in _regions()}
+    return {name: symbols.filter(F.col("region") == name) for name in names}
 
 
-@query()
+@query(_then("symbols", _hits_sql("Supplier#00000001", by_region=True), """SELECT id, qualified_name, kind, file, score, match, region AS project FROM hits ORDER BY score DESC, region, qualified_name, id LIMIT 25"""))
 def workspace_search(spark, d):
     return workspace.search_all(_projects(spark, d), "Supplier#00000001")
 
 
-@query(using("symbols", """SELECT name AS id, region AS project, qualified_name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY list_position(['ASIA', 'EUROPE', 'PARTS'], region), file, qualified_name) AS r
-FROM symbols WHERE region IN ('ASIA', 'EUROPE', 'PARTS') AND kind = 'f') WHERE r = 1"""))
+@query(using("symbols", """SELECT name AS id, region AS project, qualified_name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY coalesce(r_regionkey, 99), file, qualified_name) AS r
+FROM symbols LEFT JOIN region ON r_name = region) WHERE r = 1"""))
 def workspace_resolve(spark, d):
-    tagged = workspace.tagged(_projects(spark, d)).filter("kind = 'f'").withColumn("id", F.col("name"))
+    tagged = workspace.tagged(_projects(spark, d)).withColumn("id", F.col("name"))
     return workspace.resolve_first(tagged, tagged.select("id").distinct())
 
 
-@query("""SELECT doc_id, CASE WHEN n > 50 THEN 'OMIT' WHEN n > 10 THEN 'DOCSTRING' WHEN n > 0 THEN 'SUMMARY' ELSE 'FULL' END AS level FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'FULL' WHEN n > 50 THEN 'OMIT' WHEN n > 10 THEN 'DOCSTRING' WHEN n > 0 THEN 'SUMMARY' ELSE 'FULL' END AS level
+FROM (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n FROM documents)""")
 def body_level(spark, d):
-    none = F.lit(None).cast("string")
-    return a.table(spark, d, "documents").select("doc_id", compression.body_level(F.lit("f"), F.col("text"), none, none).alias("level"))
+    one_in = lambda n, value: F.when(F.col("doc_id") % n == 0, value)
+    level = compression.body_level(one_in(11, "c").otherwise("f"), F.col("text"), one_in(7, "volatile"), one_in(5, "none").when(F.col("doc_id") % 3 == 0, "covered"))
+    return a.table(spark, d, "documents").select("doc_id", level.alias("level"))
+
+
+_DOC = "regexp_replace(regexp_replace(text, '[*/\"]', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN length({_DOC}) > 200 THEN substr({_DOC}, 1, 197) || '...' ELSE {_DOC} END
+  WHEN doc_id % 4 = 1 THEN CASE WHEN length({_DOC}) > 200 THEN substr({_DOC}, 1, 200) || '...' ELSE {_DOC} END
+  WHEN doc_id % 4 = 2 THEN CASE WHEN length(one) > 200 THEN substr(one, 1, 200) || '...' ELSE one END ELSE '' END AS doc FROM (SELECT *, trim(string_split(text, chr(10))[1]) AS one FROM documents)""")
+def docstring(spark, d):
+    """Texts as the documentation of Python, C++ and Rust bodies, and bodies without any."""
+    text = F.regexp_replace("text", '[*/"]', " ")
+    kind = F.col("doc_id") % 4
+    body = (
+        F.when(kind == 0, F.concat(F.lit('def f():\n    """'), text, F.lit('"""\n    return 1'))).when(kind == 1, F.concat(F.lit("/**"), text, F.lit("*/\nint f();")))
+        .when(kind == 2, F.concat(F.lit("/// "), F.split("text", "\n")[0], F.lit("\nfn f() {}"))).otherwise(F.lit("int f() { return 1; }")))
+    language = F.when(kind == 0, "python").when(kind == 2, "rust").otherwise("cpp")
+    return a.table(spark, d, "documents").select("doc_id", compression.docstring(body, language).alias("doc"))
 
 
 @query("SELECT doc_id, greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS tokens FROM documents")
@@ -643,16 +734,21 @@ def path_predicates(spark, d):
     return a.page_paths(spark, d).select("page_id", "path", predicates.is_test_path(F.col("path")).alias("is_test"), predicates.top_folder(F.col("path")).alias("folder"))
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS id, 3 AS params FROM lineitem WHERE l_linenumber = 1")
+@query("""SELECT id, CASE WHEN n = 7 THEN 0 ELSE n END AS params, CASE WHEN n = 7 THEN '' ELSE 'map<int, list<' || flag || '>> a1' END AS first, CASE WHEN n = 7 THEN 'void' ELSE 'std::pair<int, int>' END AS returned
+FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS n, l_returnflag AS flag FROM lineitem)""")
 def sig_params(spark, d):
-    signature = F.concat(F.lit("int f(map<int, list<"), F.col("l_returnflag"), F.lit(">> a, int b[2], char "), F.col("l_linestatus"), F.lit(")"))
-    return a.table(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.size(extraction.signature_params(signature)).alias("params"))
+    n = F.col("l_linenumber")
+    params = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("map<int, list<"), F.col("l_returnflag"), F.lit(">> a"), i.cast("string"))), ", ")
+    signature = F.when(n == 7, F.lit("void f()")).otherwise(F.concat(F.lit("std::pair<int, int> f("), params, F.lit(") const")))
+    found, cpp = extraction.signature_params(signature, F.lit("cpp")), F.lit("cpp")
+    return a.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), F.size(found).alias("params"), F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("first"), extraction.return_type(signature, cpp).alias("returned"))
 
 
 @query(using("symbols salience", "SELECT id, score FROM salience"))
 def artifact_roundtrip(spark, d):
     """Salience written as text lines and parsed back."""
-    path = f"{_scratch(spark)}/artifact"
+    path = f"{scratch(spark)}/artifact"
     artifacts.write_artifact(artifacts.lines(salience_project(spark, d).select("id", "score"), "SALIENCE"), path)
     return artifacts.parsed(artifacts.read_artifact(spark, path), "id", {"score": "double"})
 
@@ -660,25 +756,70 @@ def artifact_roundtrip(spark, d):
 @query("SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, event_id) AS content_hash, max(event_id) AS seq FROM events GROUP BY user_id")
 def watch_stream(spark, d):
     """Stamps arriving as files, merged batch by batch."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     stamps = a.table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("content_hash"), F.col("event_id").alias("seq"))
     stamps.repartition(3, "seq").write.parquet(f"{folder}/in")
     watch.watch(spark, f"{folder}/in", "path string, content_hash string, seq long", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
     return watch.current(spark, f"{folder}/state")
 
 
-@query()
-def source_languages(spark, d):
-    return a.page_paths(spark, d).select("page_id", discovery.language(F.col("path")).alias("language"), discovery.is_source(F.col("path"), discovery.skip_set()).alias("is_source"))
-
+_LANGUAGE = "CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{suffix}' THEN '{name}'" for suffix, name in discovery.LANGUAGES.items()) + " END"
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one; a machine-local one only where everything runs in one JVM."""
-    import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="graphloom-")
+@query(f"""SELECT page_id, {_LANGUAGE} AS language, {_LANGUAGE} IS NOT NULL AND len(list_filter(string_split(path, '/')[:-2], lambda p: p IN ({_in(discovery.SKIP)}) OR (starts_with(p, '.') AND p <> '.' AND p <> '..'))) = 0 AS is_source
+FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') || ['', '.py', '.tsx', '/build/a.rs', '/.x/b.go', '/c.MJS'][page_id % 6 + 1] AS path FROM pages)""")
+def source_languages(spark, d):
+    more = F.element_at(F.array(*map(F.lit, ("", ".py", ".tsx", "/build/a.rs", "/.x/b.go", "/c.MJS"))), (F.col("page_id") % 6 + 1).cast("int"))
+    paths = a.page_paths(spark, d).withColumn("path", F.concat("path", more))
+    return paths.select("page_id", discovery.language(F.col("path")).alias("language"), discovery.is_source(F.col("path"), discovery.skip_set()).alias("is_source"))
+
+
+@query(using("symbols edges", """, changed AS (SELECT id, qualified_name, CASE WHEN k % 4 = 1 THEN '_' || name ELSE name END AS name,
+  CASE k % 4 WHEN 0 THEN 'tests/' || file WHEN 2 THEN 'vendor/' || file ELSE file END AS file FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM symbols)),
+fans AS (SELECT dst, count(*) FILTER (x.file = y.file) AS loc, count(*) FILTER (x.file <> y.file) AS crs, count(DISTINCT CASE WHEN x.file <> y.file THEN x.file END) AS files
+  FROM edges JOIN changed x ON x.id = src JOIN changed y ON y.id = dst GROUP BY dst),
+raws AS (SELECT id, (coalesce(loc, 0) + 2.0 * coalesce(crs, 0) + 1.5 * coalesce(files, 0)) * CASE WHEN contains(file, '/tests/') OR regexp_matches(file, '/tests?/') THEN 0.25 ELSE 1.0 END
+  * CASE WHEN starts_with(name, '_') THEN 0.5 ELSE 1.0 END * CASE WHEN starts_with(file, 'vendor/') THEN 0.1 ELSE 1.0 END AS raw FROM changed LEFT JOIN fans ON dst = id)
+SELECT id, floor(raw / (SELECT max(raw) FROM raws) * 10000 + 0.5) / 10000 AS score FROM raws""").replace("\n, changed", ",\nchanged"))
+def salience_discounts(spark, d):
+    """Salience where a fourth of the symbols is private, another lies in vendor code and another below tests/ (no /tests/: not cut)."""
+    k = F.substring("id", 2, 20).cast("long") % 4
+    symbols = a.symbols(spark, d).withColumn("name", F.when(k == 1, F.concat(F.lit("_"), "name")).otherwise(F.col("name")))
+    symbols = symbols.withColumn("file", F.when(k == 0, F.concat(F.lit("tests/"), "file")).when(k == 2, F.concat(F.lit("vendor/"), "file")).otherwise(F.col("file")))
+    return metrics.project_salience(a.edges(spark, d), symbols).select("id", "score")
+
+
+@query(using("coverage", """, children AS (SELECT 's' || s_suppkey AS id, 'p' || s_suppkey AS parent FROM supplier),
+open_ AS (SELECT DISTINCT parent FROM children JOIN coverage c USING (id) WHERE c.status = 'none')
+SELECT id, CASE WHEN status = 'covered' AND id IN (SELECT parent FROM open_) THEN 'partial' ELSE status END AS status FROM coverage""").replace("\n, children", ",\nchildren"))
+def coverage_partial(spark, d):
+    """Coverage where each supplier is a method of the part with its number."""
+    parents = a.table(spark, d, "supplier").selectExpr("concat('s', s_suppkey) AS id", "concat('p', s_suppkey) AS parent")
+    return metrics.partial_types(coverage_2hop(spark, d), parents).select("id", "status")
+
+
+@query(using("log", "SELECT seq, target, coalesce(checked > seq, false) AS verified FROM log LEFT JOIN (SELECT target, max(seq) AS checked FROM log WHERE kind = 'verify' GROUP BY 1) USING (target) WHERE kind = 'flag'"))
+def flag_events(spark, d):
+    return state.flag_events(a.event_log(spark, d))
+
+
+@query("""WITH spans AS (SELECT l_orderkey % 500 AS file, l_orderkey * 10 + l_linenumber AS id, l_linenumber * 3 AS start, l_linenumber * 3 + l_partkey % 5 AS stop FROM lineitem),
+base AS (SELECT o_orderkey % 500 AS file, o_custkey % 25 AS line, o_orderdate AS ts, o_orderkey AS sha FROM orders),
+lines AS (SELECT file, line, CASE WHEN file % 5 = 1 THEN TIMESTAMP '2001-01-15 00:00:00' ELSE ts END AS ts FROM base WHERE file % 5 NOT IN (0, 2)),
+commits AS (SELECT * FROM base WHERE file % 5 <> 2), now_ AS (SELECT TIMESTAMP '2001-08-01' AS now),
+blamed AS (SELECT file, count(DISTINCT ts) AS dates, min(ts) AS only_ FROM lines GROUP BY 1),
+logged AS (SELECT file, count(*) AS n, min(ts) AS begun, max(ts) AS ended, count(DISTINCT CASE WHEN ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY THEN CAST(ts AS DATE) END) AS busy FROM commits GROUP BY 1),
+own AS (SELECT s.file, start, stop, min(ts) AS first_, max(ts) AS last_, count(DISTINCT CASE WHEN ts >= TIMESTAMP '2001-08-01' - INTERVAL 90 DAY THEN CAST(ts AS DATE) END) AS days
+  FROM (SELECT DISTINCT file, start, stop FROM spans) s JOIN lines l ON l.file = s.file AND line BETWEEN start AND stop GROUP BY 1, 2, 3),
+cases AS (SELECT id, s.file, CASE WHEN coalesce(dates, 0) > 1 THEN 'lines' WHEN n IS NULL AND dates IS NULL THEN 'none' WHEN dates IS NULL THEN 'log' WHEN n IS NOT NULL THEN 'uniform' ELSE 'lines' END AS c, b.*, g.*, o.first_, o.last_, o.days
+  FROM spans s LEFT JOIN blamed b ON b.file = s.file LEFT JOIN logged g ON g.file = s.file LEFT JOIN own o ON o.file = s.file AND o.start = s.start AND o.stop = s.stop)
+SELECT id, file, coalesce(greatest(0, date_sub('day', CASE c WHEN 'lines' THEN first_ WHEN 'log' THEN begun WHEN 'uniform' THEN only_ END, now)), 0) AS age_days,
+  coalesce(greatest(0, date_sub('day', CASE c WHEN 'lines' THEN last_ WHEN 'log' THEN ended WHEN 'uniform' THEN only_ END, now)), 0) AS last_modified_days, churn,
+  CASE WHEN c = 'none' THEN 'active' WHEN churn >= 3 THEN 'volatile' WHEN churn >= 1 THEN 'active' ELSE 'stable' END AS stability
+FROM (SELECT id, file, c, first_, last_, begun, ended, only_, coalesce(CASE c WHEN 'lines' THEN days WHEN 'log' THEN busy WHEN 'uniform' THEN n END, 0) AS churn FROM cases), now_""")
+def symbol_history(spark, d):
+    """Files of all histories: dated lines, one date, commits only, nothing."""
+    items = a.table(spark, d, "lineitem").selectExpr("l_orderkey % 500 AS file", "l_orderkey * 10 + l_linenumber AS id", "l_linenumber * 3 AS start", "l_linenumber * 3 + l_partkey % 5 AS stop")
+    base = a.table(spark, d, "orders").selectExpr("o_orderkey % 500 AS file", "o_custkey % 25 AS line", "o_orderdate AS ts", "o_orderkey AS sha")
+    lines = base.filter("file % 5 not in (0, 2)").withColumn("ts", F.when(F.col("file") % 5 == 1, F.lit("2001-01-15 00:00:00").cast("timestamp_ntz")).otherwise(F.col("ts")))
+    return temporal.symbol_history(items, lines, base.filter("file % 5 <> 2").select(F.col("file").alias("path"), "sha", "ts"), WINDOW)

@@ -1,5 +1,28 @@
 """The logical tables in SQL, as common table expressions over the same Parquet tables."""
 
+from graphloom.operators.memory import ENTITY_PATTERNS, LEXICON
+from graphloom.sources.adapters import CUES
+
+#: What is no letter, digit, ``_`` or white space, in any script.
+UNWORDED = r"[^\p{L}\p{M}\p{Nd}\p{Pc}\s]"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def cue(kind: str) -> str:
+    """Whether the lower-cased sentence ``low`` has one of a class's cues."""
+    return "(" + " OR ".join(f"contains(low, {quoted(c)})" for c in LEXICON[kind]) + ")"
+
+
+#: The classes in the order in which they are tried: condition, class, confidence.
+CASCADE = (
+    (f"NOT asks AND {cue('decision')}", "decision", "0.9e0"), (f"NOT asks AND {cue('assistant_decision')} AND role = 'assistant'", "decision", "0.85e0"),
+    (cue("error"), "error", "0.85e0"), (cue("conclusion"), "conclusion", "0.8e0"), (f"NOT asks AND {cue('change_verb')} AND {cue('change_noun')}", "code_change", "0.85e0"),
+    (cue("question"), "open_question", "0.6e0"), (cue("weak_conclusion"), "conclusion", "0.8e0"),
+)
+
 TABLES = {
     "symbols": """
     SELECT 'c' || c_custkey AS id, c_name AS name, n_name || '::' || c_name AS qualified_name, 'f' AS kind, n_name AS scope, r_name || '/' || n_name AS file, r_name AS region
@@ -47,24 +70,25 @@ TABLES = {
     "changes": """
     SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed'
            WHEN a.content_hash <> b.content_hash THEN 'changed' ELSE 'fresh' END AS change FROM old_stamps a FULL JOIN new_stamps b ON a.path = b.path""",
+    "messages": f"SELECT conv_id, turn, role, text || ' ' || [{', '.join(map(quoted, CUES))}][turn % {len(CUES)} + 1] AS text FROM conversations",
     "sentences": r"""
     SELECT conv_id, turn, role, CAST("at" - 1 AS INTEGER) AS "at", trim(raw) AS sentence FROM (
         SELECT conv_id, turn, role, unnest(parts) AS raw, generate_subscripts(parts, 1) AS "at"
-        FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations)) WHERE trim(raw) <> ''""",
-    "classified": """
+        FROM (SELECT *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM messages)) WHERE trim(raw) <> ''""",
+    "classified": f"""
     SELECT conv_id, turn, role, "at", sentence, category, confidence FROM (
-        SELECT *, CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 'decision' WHEN contains(low, 'ingth') THEN 'error' WHEN contains(low, 'blewh') THEN 'conclusion'
-                       WHEN contains(low, 'with') THEN 'open_question' END AS category,
-               CASE WHEN NOT sentence LIKE '%?' AND contains(low, 'that') THEN 0.9e0 WHEN contains(low, 'ingth') THEN 0.85e0 WHEN contains(low, 'blewh') THEN 0.8e0
-                    WHEN contains(low, 'with') THEN 0.6e0 END AS confidence
-        FROM (SELECT *, lower(sentence) AS low FROM sentences)) WHERE category IS NOT NULL""",
+        SELECT *, CASE {' '.join(f"WHEN {test} THEN '{kind}'" for test, kind, _ in CASCADE)} END AS category, CASE {' '.join(f"WHEN {test} THEN {sure}" for test, _, sure in CASCADE)} END AS confidence
+        FROM (SELECT *, lower(sentence) AS low, sentence LIKE '%?' AS asks FROM sentences)) WHERE category IS NOT NULL""",
+    "entities": "SELECT conv_id, entity, count(*) AS n FROM (" + " UNION ALL ".join(
+        f"SELECT conv_id, unnest(regexp_extract_all(text, {quoted(pattern)}, 1)) AS entity, {once} AS once, '{kind}' AS kind FROM messages" for kind, pattern, once in ENTITY_PATTERNS)
+        + ") WHERE kind <> 'snake' OR length(entity) > 5 GROUP BY 1, 2 HAVING count(*) >= 2 OR bool_or(once)",
     "tokens": r"""
     SELECT id, unnest(list_distinct(list_concat(n, p))) AS token FROM (SELECT id, TOK(qualified_name) AS n, TOK(file) AS p FROM symbols)""",
     "token_df": "SELECT token, count(*) AS df FROM tokens GROUP BY token",
 }
 USES = {
     "placed": ["symbols", "edges"], "salience": ["placed"], "reached": ["tests", "edges"], "coverage": ["symbols", "reached"], "history": ["commits"],
-    "changes": ["old_stamps", "new_stamps"], "classified": ["sentences"], "tokens": ["symbols"], "token_df": ["tokens"],
+    "changes": ["old_stamps", "new_stamps"], "sentences": ["messages"], "classified": ["sentences"], "entities": ["messages"], "tokens": ["symbols"], "token_df": ["tokens"],
 }
 
 

@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFERENCE_DATE = "2001-08-01"
+#: Sentences that the synthetic transcripts lack: of every class and none, with entities of every form, in several scripts.
+CUES = (
+    "We decided to keep the Build Cache small.", "We should add `parse_item` to store.py soon.", "The build failed in load_items again.", "It turns out the reason is loadItems.",
+    "I changed the file store.py today.", "Not sure whether load_items is slow.", "It works because it was verified.", "Did we decide to change the Build Cache?", "Let me look at `parse_item` first.",
+    "Это новый вопрос?", "TODO: check the Build Cache once more.", "Nothing to see here.", "Это другой вопрос?",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +76,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
+def cued_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages, each with one of :data:`CUES` at its end."""
+    last = F.element_at(F.array(*map(F.lit, CUES)), (F.col("turn") % len(CUES) + 1).cast("int"))
+    return messages(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", last))
+
+
 def stamps(spark: SparkSession, sf_dir: str, new: bool) -> DataFrame:
     """path, size, content_hash of an older and a newer state of the documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

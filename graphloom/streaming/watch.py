@@ -13,7 +13,8 @@ def watch(spark: SparkSession, source: str, schema: str, state: str, checkpoint:
     """Merge new Parquet files of stamps (path, content_hash, seq) into ``state``.
 
     Each micro-batch writes one folder ``batch=<id>``; a batch that is run again overwrites
-    its own.  Without ``interval`` the stream stops when all files are read.
+    its own.  A stamp without a hash says that its file is gone.  Without ``interval`` the
+    stream stops when all files are read.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -25,8 +26,15 @@ def watch(spark: SparkSession, source: str, schema: str, state: str, checkpoint:
 
 
 def current(spark: SparkSession, state: str) -> DataFrame:
-    """The newest stamp of each path over all batches."""
-    return spark.read.parquet(state).groupBy("path").agg(F.max_by("content_hash", "seq").alias("content_hash"), F.max("seq").alias("seq"))
+    """The newest stamp of each path over all batches; files that are gone have none."""
+    newest = spark.read.parquet(state).groupBy("path").agg(F.max_by(F.struct("content_hash", "seq"), "seq").alias("x"))
+    return newest.filter("x.content_hash is not null").select("path", "x.content_hash", "x.seq")
+
+
+def compacted(spark: SparkSession, state: str, target: str) -> None:
+    """The state of a stream that has stopped as a single batch in another folder, for the next stream to go on from."""
+    newest = spark.read.parquet(state).groupBy("path").agg(F.max_by(F.struct("content_hash", "seq"), "seq").alias("x")).select("path", "x.content_hash", "x.seq")
+    newest.write.mode("errorifexists").parquet(f"{target}/batch=-1")
 
 
 def operation_counts(log: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -111,7 +111,8 @@ def test_search(symbols):
     assert tiers["a::loadBuildCache"] == "subtoken"
     assert search.nearest(symbols, "hidden things").first().id == "f_3"
     assert search.nearest(symbols, "idde").first().score == 0.1
-    assert predicates.content_words("the") == "the" and predicates.content_words("how to load a cache") == "load cache"
+    assert search.search(symbols, "  ").count() == 0
+    assert predicates.task_words("fix the") == [] and predicates.task_words("How to load a cache") == ["load", "cache"]
 
 
 def test_fusion(spark):
@@ -188,8 +189,9 @@ def test_linking(spark, symbols):
     found = {(r.name, r.part) for r in linking.imports(text).collect()}
     assert found == {("load", "a"), ("other", "a"), ("y", "x"), ("y", "y")}
     calls = spark.createDataFrame([("c1", "load", "m.py"), ("c1", "Cache", "m.py"), ("c1", "print", "m.py"), ("c1", "_hidden", "m.py")], "caller string, callee_name string, file string")
-    links = {(r.callee, r.target_file) for r in linking.cross_file_links(calls, symbols, linking.imports(text)).collect()}
-    assert links == {("f_1", "src/a.py"), ("f_3", "src/b.py")}
+    links = lambda *names: {(r.callee, r.target_file) for r in linking.cross_file_links(calls, symbols, linking.imports(text), *names).collect()}
+    assert links() == {("f_3", "src/b.py")}  # load is a name that libraries have
+    assert links(("print",)) == {("f_1", "src/a.py"), ("f_3", "src/b.py")}
     nested = spark.createDataFrame([("1", "A", "", "f", 0), ("2", "A::m", "A", "f", 1), ("3", "A", "", "f", 2), ("4", "B::x", "B", "f", 3)], "id string, qualified_name string, scope string, file string, pos int")
     assert {r.id: r.parent for r in linking.hierarchy(nested).collect()} == {"1": None, "2": "3", "3": None, "4": None}
 
@@ -220,8 +222,11 @@ def test_extraction(spark):
     assert {("Store", "t"), ("Store::load", "f"), ("test_load", "f"), ("LIMIT", "c"), ("import os", "d")} <= found
     facts = extraction.facts(files).cache()
     assert {(r.scope, r.text) for r in extraction.unhandled(facts).collect()} == {("test_load", "ValueError")}
-    assert facts.filter("fact = 'catch'").first().text == "KeyError, OSError" and facts.filter("fact = 'recovery'").first().text == "re-raises"
-    assert extraction.intents(facts).filter("tag = 'precondition'").count() == 1
+    assert facts.filter("fact = 'catch'").first().text == "KeyError, OSError" and facts.filter("fact = 'recovery'").first().text == "returns"
+    assert {(r.scope, r.tag, r.description) for r in extraction.intents(facts).collect()} == {
+        ("test_load", "PRECONDITION", "assert statement"), ("test_load", "PRECONDITION", "throw in function body"), ("Store::load", "PRECONDITION", "throw in function body"), ("Store::load", "INTENT", "error-boundary")}
+    heads = {r.name: r.signature for r in extraction.symbols(spark.createDataFrame([("o.py", "def one(a: int = 1): return {1: 2}\n\n@x\nclass Two(A,\n  B):\n    'doc'\n")], "path string, text string")).collect()}
+    assert heads == {"one": "def one(a: int = 1)", "Two": "class Two(A,\n  B)"}
     row = spark.createDataFrame([("int f(map<int, list<a>> x, b[1, 2] y)", "f()")], "s string, e string").select(extraction.signature_params(F.col("s")).alias("s"), extraction.signature_params(F.col("e")).alias("e")).first()
     assert row.s == ["map<int, list<a>> x", "b[1, 2] y"] and row.e == []
 

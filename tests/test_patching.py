@@ -24,7 +24,7 @@ def test_places():
     assert "        # note\n        return 2" in text
     text, _ = insert_note(SOURCE, "last", "last", 90, 99, ["a", "b"])
     assert text.endswith("def last():\n    # a\n    # b\n    return 3")
-    assert insert_note(SOURCE, "load", "", 0, 0, ["n"]) == (None, "2 definitions of load")
+    assert insert_note(SOURCE, "load", "", 0, 0, ["n"]) == (None, "2 definitions of load: A::load at 2, B::load at 7")
     assert insert_note(SOURCE, "none", "", 0, 0, ["n"])[0] is None and insert_note(SOURCE, "one", "", 0, 0, ["n"])[0] is None
     assert insert_note("def (", "x", "", 0, 0, ["n"])[0] is None
 
