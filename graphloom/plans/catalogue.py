@@ -181,9 +181,9 @@ def map_rollup(spark, d):
     return metrics.map_rollup(a.symbols(spark, d))
 
 
-@query(using("symbols", "SELECT name, count(DISTINCT region) AS projects FROM symbols GROUP BY name HAVING count(DISTINCT region) > 1"))
+@query(using("symbols", "SELECT right(name, 3) AS name, count(DISTINCT region) AS projects FROM symbols GROUP BY 1 HAVING count(DISTINCT region) > 1"))
 def shared_names(spark, d):
-    return metrics.shared_names(a.symbols(spark, d).withColumnRenamed("region", "project"))
+    return metrics.shared_names(a.symbols(spark, d).select(F.substring("name", -3, 3).alias("name"), F.col("region").alias("project")))
 
 
 @query(using("placed", """
@@ -226,9 +226,9 @@ def coverage_summary(spark, d):
     return metrics.coverage_summary(coverage_2hop(spark, d))
 
 
-@query(using("symbols salience coverage", "SELECT c.id, c.file, s.score FROM coverage c JOIN salience s ON s.id = c.id WHERE status = 'none' AND score >= 0.01"))
+@query(using("symbols salience coverage", "SELECT c.id, c.file, s.score FROM coverage c JOIN salience s ON s.id = c.id WHERE status = 'none' AND score >= 0.0"))
 def uncovered_high_salience(spark, d):
-    return metrics.uncovered_salient(coverage_2hop(spark, d), salience_project(spark, d), 0.01)
+    return metrics.uncovered_salient(coverage_2hop(spark, d), salience_project(spark, d), 0.0)
 
 
 @query(using("symbols edges", "SELECT * FROM (SELECT count(*) AS symbols, count(DISTINCT file) AS files FROM symbols), (SELECT count(*) AS edges FROM edges)"))
@@ -357,7 +357,7 @@ def variant_idf(spark, d):
     return best.crossJoin(total).select("token", ids.half_up(ids.idf(F.col("df"), F.col("total")), 6).alias("weight"))
 
 
-QUESTION = "supplier metals"
+QUESTION = "suppliers of asia"
 
 
 def _hits_sql(text: str, by_region: bool = False) -> str:
