@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.joins import apart
+from graphloom.functions.joins import apart, stored
 from graphloom.functions.predicates import is_vendor
 
 # Names of builtins and standard libraries, which link no files.
@@ -183,6 +183,19 @@ def hierarchy(symbols: DataFrame) -> DataFrame:
     return symbols.join(parents, ["file", "scope"], "left").select("id", "file", F.when(F.col("scope") != "", F.col("parent")).alias("parent"))
 
 
+def hierarchy_text(found: DataFrame, most_depth: int = 64) -> DataFrame:
+    """(file, path, line) of symbols (file, id, parent, pos): ids indented by their depth; in the order of ``path`` a file's lines are its tree, each below its parent."""
+    rows = found.select("file", "id", "parent", F.lpad(F.col("pos").cast("string"), 10, "0").alias("own"))
+    level = rows.filter("parent is null").select("file", "id", F.col("own").alias("path"), F.lit(0).alias("depth"))
+    tree = level = stored(level, "tree-level")
+    for depth in range(1, most_depth):
+        level = stored(rows.join(level.select("file", F.col("id").alias("parent"), "path"), ["file", "parent"]).select("file", "id", F.concat_ws("/", "path", "own").alias("path"), F.lit(depth).alias("depth")), "tree-level")
+        if level.isEmpty():
+            return tree.select("file", "path", F.concat(F.expr("repeat('  ', depth)"), "id").alias("line"))
+        tree = tree.unionAll(level)
+    raise RuntimeError(f"symbols are nested deeper than {most_depth} levels")
+
+
 def containment(parents: DataFrame, calls: DataFrame) -> DataFrame:
     """The semantic graph's edges (source, target, kind)."""
     return parents.filter("parent is not null").select(F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("contains").alias("kind")).unionAll(

@@ -165,6 +165,13 @@ def build_totals(symbols: DataFrame, edges: DataFrame, files: DataFrame | None =
     return totals.crossJoin(F.broadcast(sums)).withColumn("reduction", reduction(F.col("original"), F.col("compressed")))
 
 
+def build_line(totals: DataFrame) -> DataFrame:
+    """(line): what a build of :func:`build_totals` (with files) has to tell, in a line."""
+    return totals.select(F.concat(
+        F.format_string("%d files (%d rebuilt, %d reused), %d symbols, %d calls, ", "files", "rebuilt", "reused", "symbols", "edges"),
+        F.format_string("%d -> %d tokens (", "original", "compressed"), F.call_function("format_number", 100 * F.col("reduction"), F.lit("0.0")), F.lit("% less)")).alias("line"))
+
+
 def in_salience_order(salience: DataFrame) -> DataFrame:
     """The most salient first, then by file and id."""
     return salience.orderBy(F.desc("score"), "file", "id")
