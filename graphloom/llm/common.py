@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.joins import apart, delete  # noqa: F401  the operators take them from here
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
@@ -57,11 +59,6 @@ def remember(spark: SparkSession, path: str) -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete what :func:`written` returned, once all that is read from it has itself been written."""
     for table in tables:
@@ -82,16 +79,6 @@ def sweep(spark: SparkSession, *keep: DataFrame, besides: frozenset[str] = froze
         _left[spark.sparkContext.applicationId].discard(path)
 
 
-def apart(table: DataFrame, *keys: str) -> DataFrame:
-    """``table`` with a second key made from ``keys``, for a join on both.
-
-    A table summed by a key is dealt by that key already, so a join on it alone would take
-    it as it is, and Spark can't split a hot key's partition on the other side.  With the
-    second key both sides are dealt for the join, and it can.
-    """
-    return table.withColumn("apart", F.xxhash64(*keys))
-
-
 def small_arrow(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound Arrow batches by bytes, unless the session names a bound: a batch of many rows with long texts would be huge."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
