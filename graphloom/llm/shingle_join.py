@@ -548,10 +548,10 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
         discard(more)
 
     add(_labelled(near, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b"))
-    marked = _labelled(hot, ["id"], placed, most_sent)
-    torn = written(marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets")
-    marked = written(_sketched(marked, torn, sketch, most_sent // 8), "torn")
+    named = written(_labelled(hot, ["id"], placed, most_sent), "named")  # so that no task holds two Python workers
+    torn = written(named.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets")
+    marked = written(_sketched(named, torn, sketch, most_sent // 8), "torn")
     if not marked.isEmpty():
         add(across_blocks(marked.withColumnRenamed("c_id", "component"), compare, "a long, b long").distinct())
-    discard(near, torn, marked, sketch)
+    discard(near, named, torn, marked, sketch)
     return placed
