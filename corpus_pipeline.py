@@ -56,8 +56,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are no group and stay.  Rows are judged by their own text, so other
     texts of a repeated or null doc_id are not touched.  An empty table gives no rows; other columns are left out."""
     docs = _keyed(docs)
-    found = shingle_join.group_documents(docs.select("doc_id", "text", "text_key"), keep=("text_key",)).filter("label is not null")
-    keys = common.written(found.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n")), "group-keys")
+    found = shingle_join.group_documents(docs.select("doc_id", "text", "text_key"), keep=("text_key",))
+    keys = found.filter("label is not null").groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    keys = common.written(keys, "group-keys", size=common.stored_bytes(found))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     first = keys.groupBy("label").agg(F.min(place).alias("first")).select("label", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_text"))
     marked = keys.join(first, "label")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import apart, discard, written
+from graphloom.llm.common import apart, discard, stored_bytes, written
 from graphloom.llm.graph import components, joined_up
 
 Verify = Callable[[DataFrame], DataFrame]
@@ -74,7 +74,7 @@ def resolve(shared: DataFrame, verify: Verify, across: Verify, plausible: Callab
     may = plausible or (lambda x, y: F.lit(True))
     stars = shared.filter("centre < id").filter(may(F.col("centre_sketch"), F.col("sketch"))).groupBy("id").agg(F.min("centre").alias("a"))
     links = written(verify(stars.select("a", F.col("id").alias("b"))), "links")
-    placed = components(links)
+    placed = components(links, size=stored_bytes(links))
     discard(links)
 
     def add(found: DataFrame) -> None:

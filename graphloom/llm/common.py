@@ -38,14 +38,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _left: dict[str, set[str]] = {}
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Bytes of its source tables for each file of a table whose size follows theirs.
+FILE_BYTES = 8 << 20
+
+
+def stored_bytes(*tables: DataFrame) -> int:
+    """Bytes of the folders of tables that :func:`written` returned."""
+    total = 0
+    for table in tables:
+        folder = (context := table.sparkSession.sparkContext)._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        total += folder.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return total
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, size: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here, and a
     lost executor costs a re-read instead of a recomputation.
 
+    ``size``, where the table is about as large as others that are stored: their bytes.  It
+    then has a file for each :data:`FILE_BYTES`, and at least two for each core, and not one
+    for each shuffle partition.  The last step is run in as many tasks, so it should be a light one.
+
     The folder stays until :func:`discard` or :func:`sweep` deletes it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if size is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // FILE_BYTES))
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.buckets import across_blocks, labelled
-from graphloom.llm.common import apart, discard, lean, shuffle_partitions, small_arrow, written
+from graphloom.llm.common import apart, discard, lean, shuffle_partitions, small_arrow, stored_bytes, written
 from graphloom.llm.graph import components, joined_up
 from graphloom.llm.textscan import SPACE, mixed, slices
 
@@ -332,7 +332,7 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     runs = written(signed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "id")
                    .mapInArrow(lean(_runs), "a long, b long, band int, spare_a int, spare_b int, n int, centre long, hot boolean"), "shingle-runs", "hot")
     hot = runs.filter("hot").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "centre", "band", F.col("spare_a").alias("spare"))
-    frequent = written(hot.groupBy("id", "band").agg(F.count("*").alias("lost"), F.max("spare").alias("spare")), "shingle-frequent")
+    frequent = written(hot.groupBy("id", "band").agg(F.count("*").alias("lost"), F.max("spare").alias("spare")), "shingle-frequent", size=stored_bytes(runs))
     # of a set's signatures its similar partners share more than it could do without; less those among the frequent
     pairs = runs.filter("not hot").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.max("spare_a").alias("spare_a"), F.max("spare_b").alias("spare_b"))
     for side in ("a", "b"):
@@ -340,14 +340,14 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     shares = lambda side: F.col(f"spare_{side}") - F.coalesce(f"lost_{side}", F.lit(0))
     pairs = pairs.filter(F.col("n") > F.greatest(shares("a"), shares("b"))).select("a", "b")
     hot = written(_needing(hot, frequent.filter("lost > spare").select("id", "band"), most_sent), "shingle-hot")
-    edges = written(pairs.unionAll(hot.filter("centre < id").select("centre", "id")).distinct(), "shingle-edges")
+    edges = written(pairs.unionAll(hot.filter("centre < id").select("centre", "id")).distinct(), "shingle-edges", size=stored_bytes(runs))
     discard(runs, frequent)
-    linked = components(edges)
+    linked = components(edges, size=stored_bytes(edges))
     classes = sized.filter("size > 0").groupBy(F.col("class").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.any_value("size").alias("size"))
-    members = written(linked.join(classes, "id"), "shingle-members")
+    members = written(linked.join(classes, "id"), "shingle-members", size=stored_bytes(linked, sized))
     weights = members.groupBy("component").agg(F.count("*").alias("members"), (8 * F.sum("size")).alias("bytes"))
     cells = written(apart(members, "component").join(apart(weights, "component"), ["component", "apart"]).drop("apart").withColumn(
-        "large", (F.col("members") > cell_limit) | (F.col("bytes") > cell_bytes)), "shingle-cells")
+        "large", (F.col("members") > cell_limit) | (F.col("bytes") > cell_bytes)), "shingle-cells", size=stored_bytes(members))
     discard(linked, members)
     total, size = cells.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if not total:
@@ -411,7 +411,7 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
     settled = small.groupBy("lot").applyInArrow(settle, "id long, component long").distinct()
     large = sets.filter("large")
     if large.isEmpty():
-        found = written(settled, "shingle-components")
+        found = written(settled, "shingle-components", size=stored_bytes(cells))
         discard(sets, cells, edges, hot)
         return found
 
@@ -420,15 +420,15 @@ def _components(texts: DataFrame, sized: DataFrame, bands: Bands, width: int, ce
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    large = written(large.groupBy("id").agg(F.any_value("shingles").alias("shingles")), "shingle-large")
+    large = written(large.groupBy("id").agg(F.any_value("shingles").alias("shingles")), "shingle-large", size=stored_bytes(sets))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(large.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(large.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long")
 
-    inside = written(edges.join(cells.filter("large").select(F.col("id").alias("a")), "a", "left_semi"), "shingle-edges")
-    rest = _settle_large(inside, hot.select("bucket", "id"), large, verify, percent, most_sent)
-    found = written(settled.unionAll(rest), "shingle-components")
+    inside = written(edges.join(cells.filter("large").select(F.col("id").alias("a")), "a", "left_semi"), "shingle-edges", size=stored_bytes(edges))
+    rest = _settle_large(inside, hot, large, verify, percent, most_sent)
+    found = written(settled.unionAll(rest), "shingle-components", size=stored_bytes(cells, rest))
     discard(sets, cells, edges, inside, hot, large, rest)
     return found
 
@@ -537,7 +537,7 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
     near = edges.join(sketch.alias("x"), F.col("a") == F.col("x.id")).join(sketch.alias("y"), F.col("b") == F.col("y.id"))
     near = written(near.filter(possible("x", "y")).select("a", "b"), "shingle-possible")
     links = written(verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
-    placed = components(links)
+    placed = components(links, size=stored_bytes(links))
     discard(links)
 
     def add(pairs: DataFrame) -> None:
@@ -548,8 +548,8 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
         discard(more)
 
     add(_labelled(near, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b"))
-    marked = _labelled(hot, ["id"], placed, most_sent)
-    torn = written(marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets")
+    marked = _labelled(hot.select("bucket", "id"), ["id"], placed, most_sent)
+    torn = written(marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets", size=stored_bytes(hot))
     marked = written(_sketched(marked, torn, sketch, most_sent // 8), "torn")
     if not marked.isEmpty():
         add(across_blocks(marked.withColumnRenamed("c_id", "component"), compare, "a long, b long").distinct())
