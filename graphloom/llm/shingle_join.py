@@ -548,10 +548,11 @@ def _settle_large(edges: DataFrame, hot: DataFrame, large: DataFrame, verify, pe
         discard(more)
 
     add(_labelled(near, ["a", "b"], placed, most_sent).filter("c_a <> c_b").select("a", "b"))
-    marked = _labelled(hot.select("bucket", "id"), ["id"], placed, most_sent)
-    torn = written(marked.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets", size=stored_bytes(hot))
-    marked = written(_sketched(marked, torn, sketch, most_sent // 8), "torn")
+    # written, as a task with two Python steps has two workers, and Spark keeps both for all tasks to come
+    members = written(_labelled(hot.select("bucket", "id"), ["id"], placed, most_sent), "hot-members")
+    torn = written(members.groupBy("bucket").agg(F.min("c_id").alias("low"), F.max("c_id").alias("high")).filter("low < high").select("bucket"), "torn-buckets", size=stored_bytes(hot))
+    marked = written(_sketched(members, torn, sketch, most_sent // 8), "torn")
     if not marked.isEmpty():
         add(across_blocks(marked.withColumnRenamed("c_id", "component"), compare, "a long, b long").distinct())
-    discard(near, torn, marked, sketch)
+    discard(near, members, torn, marked, sketch)
     return placed
