@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.joins import apart, stored
+from graphloom.functions.joins import apart, few, spread, stored, tasks_of
 from graphloom.functions.predicates import is_vendor
 
 # Names of builtins and standard libraries, which link no files.
@@ -88,17 +88,34 @@ def fingerprints(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("file").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256), 1, 12).alias("fingerprint"))
 
 
-def enclosing(sites: DataFrame, spans: DataFrame, block: int = 256) -> DataFrame:
+def enclosing(sites: DataFrame, spans: DataFrame) -> DataFrame:
     """(file, line, id): the smallest span of ``spans`` (file, id, start, stop, pos) that holds each line; the first of equals.
 
-    Files are cut into blocks of lines, and spans listed in each block that they touch, so
-    a line meets only the spans of its block, however long its file.
+    A span is cut into blocks of 1, 4, 16, ... lines, the largest that fit, each at a multiple
+    of its size: a few for each size, however long it is.  The best span of each block is taken
+    before lines meet them, and a line meets one block of each size, however many spans
+    lie around it.
     """
-    cut = lambda line: F.floor(line / block).cast("long")
-    listed = spans.withColumn("block", F.explode(F.sequence(cut(F.col("start")), cut(F.greatest("start", "stop")))))
-    joined = sites.withColumn("block", cut(F.col("line"))).join(listed, ["file", "block"]).filter(F.col("line").between(F.col("start"), F.col("stop")))
-    best = F.min_by("id", F.struct((F.col("stop") - F.col("start")).alias("size"), "pos"))
-    return joined.groupBy("file", "line").agg(best.alias("id"))
+    rows = spans.select("file", "id", "pos", F.col("start").cast("long").alias("start"), (F.col("stop").cast("long") + 1).alias("end")).filter("start < end")
+    longest = rows.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    sizes = [n for n in range(31) if n == 0 or 1 << (2 * n) <= (longest or 0)]
+    cuts = F.concat(*[_blocks(n) for n in sizes])
+    size = F.struct((F.col("end") - F.col("start")).alias("size"), "pos", "id")
+    dealt = spread(rows, "file", "id", task_bytes=100_000)  # each row becomes many
+    best = dealt.select("file", size.alias("best"), F.explode(cuts).alias("at")).groupBy("file", "at").agg(F.min("best").alias("best"))
+    around = F.array(*[F.struct(F.lit(n).alias("n"), F.shiftright(F.col("line").cast("long"), 2 * n).alias("block")) for n in sizes])
+    met = sites.select("file", "line").distinct().withColumn("at", F.explode(around)).join(best, ["file", "at"])
+    return met.groupBy("file", "line").agg(F.min("best").alias("best")).select("file", "line", "best.id")
+
+
+def _blocks(n: int) -> Column:
+    """The blocks of 4 ** ``n`` lines within start to end that lie in none of four times the size."""
+    first = lambda k: -F.shiftright(-F.col("start"), 2 * k)
+    after = lambda k: F.shiftright(F.col("end"), 2 * k)
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = first(n + 1) < after(n + 1)
+    own = F.when(whole, F.concat(span(first(n), first(n + 1) * 4), span(after(n + 1) * 4, after(n)))).otherwise(span(first(n), after(n)))
+    return F.transform(own, lambda block: F.struct(F.lit(n).alias("n"), block.alias("block")))
 
 
 def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
