@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.identifiers import symbol_hash
+from graphloom.functions.joins import spread
 from graphloom.sources.artifacts import replace_files
 
 
@@ -36,9 +37,10 @@ def diff_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(src, dst, change): calls added and removed."""
-    return new.select("src", "dst").exceptAll(old.select("src", "dst")).distinct().withColumn("change", F.lit("added")).unionAll(
-        old.select("src", "dst").exceptAll(new.select("src", "dst")).distinct().withColumn("change", F.lit("removed")))
+    """(src, dst, change): calls added and removed.  Both states are summed by call at once, in as many tasks as their size asks for."""
+    both = old.select("src", "dst", F.lit(1).alias("state")).unionAll(new.select("src", "dst", F.lit(2)))
+    seen = spread(both, "src", "dst").groupBy("src", "dst").agg(F.min("state").alias("first"), F.max("state").alias("last"))
+    return seen.filter("first = last").select("src", "dst", F.when(F.col("first") == 2, "added").otherwise("removed").alias("change"))
 
 
 def id_migration(symbols: DataFrame, old_root: str = "") -> DataFrame:

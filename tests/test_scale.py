@@ -33,3 +33,12 @@ def test_enclosing_takes_a_block_of_each_size(spark):
     found = linking.enclosing(spark.createDataFrame(sites, "file string, line long"), spark.createDataFrame(spans, "file string, id long, start long, stop long, pos long"))
     assert {(r.file, r.line): r.id for r in found.collect()} == want
     assert "stop" not in plan(found).split("Join")[0]  # spans are summed before lines meet them
+
+
+def test_edges_are_compared_in_one_shuffle(spark):
+    schema = "src string, dst string"
+    old = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("n", None)], schema)
+    new = spark.createDataFrame([("a", "b"), ("d", "e"), ("d", "e"), ("n", None), (None, "x")], schema)
+    found = snapshots.diff_edges(old, new)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "c", "removed"), ("d", "e", "added"), (None, "x", "added")], key=str)
+    assert plan(found).count("Exchange") == 1
