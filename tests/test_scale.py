@@ -42,3 +42,10 @@ def test_edges_are_compared_in_one_shuffle(spark):
     found = snapshots.diff_edges(old, new)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "c", "removed"), ("d", "e", "added"), (None, "x", "added")], key=str)
     assert plan(found).count("Exchange") == 1
+
+
+def test_fan_makes_edges_distinct_once(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "b"), ("b", "b"), (None, "a"), ("a", None)], "src string, dst string")
+    found = graph.fan(edges)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", 0, 1), ("b", 3, 1), ("c", 0, 1), (None, 1, 0), (None, 0, 1)], key=str)
+    assert plan(found).count("Exchange") == 2 and "Join" not in plan(found)
