@@ -124,8 +124,9 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     Qualified names first (of equals the last), then names or what follows the last ``::``:
     unique, unique in the caller's scope, unique below it; else ambiguous or unresolved.
 
-    Symbols are summed by name, by name and scope, and by name and each scope around them,
-    before sites meet them: a site joins one row of each, however common its name.
+    The name and the scope decide, so each pair of them is resolved once and sites meet the
+    outcome in one join.  Symbols are summed by name, by name and scope, and by name and each
+    scope around them before: a pair joins one row of each, however common its name.
     """
     counted = lambda name: [F.count("*").alias(f"n_{name}"), F.min("id").alias(name)]
     full = symbols.groupBy(F.col("qualified_name").alias("callee_name")).agg(F.max_by("id", "pos").alias("full_id"))
@@ -137,7 +138,8 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     by_outer = below.groupBy("by", "caller_scope").agg(*counted("below"))
     suffix = F.element_at(F.split("callee_name", "::"), -1)
     known = by_name.select(F.col("by").alias("callee_name"), F.lit(True).alias("known"))
-    rows = apart(sites, "callee_name").join(apart(full, "callee_name"), ["callee_name", "apart"], "left").join(apart(known, "callee_name"), ["callee_name", "apart"], "left").drop("apart")
+    asked = sites.select("callee_name", "caller_scope").distinct()
+    rows = apart(asked, "callee_name").join(apart(full, "callee_name"), ["callee_name", "apart"], "left").join(apart(known, "callee_name"), ["callee_name", "apart"], "left").drop("apart")
     rows = apart(rows.withColumn("by", F.when(F.col("known"), F.col("callee_name")).otherwise(suffix)), "by")
     rows = rows.join(apart(by_name, "by"), ["by", "apart"], "left").drop("apart")
     rows = apart(rows, "by", "caller_scope")
@@ -150,8 +152,11 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     chosen = (
         F.when(F.col("status") == "resolved_qualified", F.col("full_id")).when(F.col("status") == "resolved_unique", F.col("only"))
         .when(F.col("status") == "resolved_same_scope", F.col("same")).when(F.col("status") == "resolved_nested_scope", F.col("below")))
-    return rows.withColumn("status", status).select(
-        "site", "status", chosen.alias("resolved_id"), F.when(F.col("status") == "resolved_qualified", 1).otherwise(n).cast("long").alias("candidates"))
+    found = stored(rows.withColumn("status", status).select(
+        F.col("callee_name").alias("of_name"), F.col("caller_scope").alias("of_scope"), "status", chosen.alias("resolved_id"),
+        F.when(F.col("status") == "resolved_qualified", 1).otherwise(n).cast("long").alias("candidates")), "resolved")
+    met = F.col("callee_name").eqNullSafe(F.col("of_name")) & F.col("caller_scope").eqNullSafe(F.col("of_scope"))
+    return sites.join(few(found), met).select("site", "status", "resolved_id", "candidates")
 
 
 def imports(directives: DataFrame) -> DataFrame:

@@ -49,3 +49,12 @@ def test_fan_makes_edges_distinct_once(spark):
     found = graph.fan(edges)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", 0, 1), ("b", 3, 1), ("c", 0, 1), (None, 1, 0), (None, 0, 1)], key=str)
     assert plan(found).count("Exchange") == 2 and "Join" not in plan(found)
+
+
+def test_calls_of_a_name_and_scope_are_resolved_once(spark):
+    symbols = spark.createDataFrame([("1", "f", "A::f", "A", 0), ("2", "f", "B::f", "B", 1)], "id string, name string, qualified_name string, scope string, pos int")
+    sites = spark.createDataFrame([("x", "f", "A"), ("y", "f", "A"), ("z", "f", None), ("u", None, "A"), ("v", "B::f", None)], "site string, callee_name string, caller_scope string")
+    found = linking.resolve_calls(sites, symbols)
+    got = {r.site: (r.status, r.resolved_id, r.candidates) for r in found.collect()}
+    assert got == {"x": ("resolved_same_scope", "1", 2), "y": ("resolved_same_scope", "1", 2), "z": ("ambiguous", None, 2), "u": ("unresolved", None, 0), "v": ("resolved_qualified", "2", 1)}
+    assert plan(found).count("Join") == 1
