@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -144,11 +145,18 @@ def unknown_kinds(found: DataFrame, known: DataFrame, most: int = 200) -> DataFr
     return rest.groupBy("language").agg(F.slice(F.sort_array(F.collect_list("node_type")), 1, most).alias("kinds"))
 
 
+NESTED, _OUTSIDE = 5, r"[^<(\[{>)\]}]"
+_GROUP = reduce(lambda inner, _: rf"[<(\[{{](?:{_OUTSIDE}++|{inner})*+[>)\]}}]", range(NESTED - 1), rf"[<(\[{{]{_OUTSIDE}*+[>)\]}}]")  # any bracket closes any other, as in the counting
+
+
 def signature_params(signature: Column, language: Column | None = None) -> Column:
     """The parameters of a signature, split at commas outside brackets.
 
     They stand between the first parenthesis and the last one in C++, the next one in Rust
     and Python; other languages have none.  Without a language: as in C++.
+
+    Brackets that are closed and nested no deeper than NESTED are matched by an expression,
+    others counted piece by piece, which is several times slower.
     """
     wide, narrow = F.regexp_extract(signature, r"(?s)\((.*)\)", 1), F.regexp_extract(signature, r"(?s)^[^(]*\((.*?)\)", 1)
     inside = wide if language is None else F.when(language == "cpp", wide).when(language.isin("rust", "python"), narrow).otherwise(F.lit(""))
@@ -166,7 +174,9 @@ def signature_params(signature: Column, language: Column | None = None) -> Colum
             F.when(depth == 0, F.array_append(a["done"], F.trim(F.array_join(parts, ",")))).otherwise(a["done"]).alias("done"))
 
     split = F.aggregate(F.split(inside, ","), state, step, lambda a: F.when(F.size(a["open"]) > 0, F.array_append(a["done"], F.trim(F.array_join(a["open"], ",")))).otherwise(a["done"]))
-    return F.filter(split, lambda p: p != "")
+    plain = (F.length(inside) <= 10_000) & inside.rlike(f"^(?:{_OUTSIDE}++|{_GROUP})*+$")
+    pieces = F.transform(F.regexp_extract_all(inside, F.lit(f"((?:{_OUTSIDE[:-1]},]++|{_GROUP})++)"), F.lit(1)), lambda p: F.trim(p))
+    return F.filter(F.when(plain, pieces).otherwise(split), lambda p: p != "")
 
 
 def return_type(signature: Column, language: Column) -> Column:

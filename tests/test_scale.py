@@ -58,3 +58,21 @@ def test_calls_of_a_name_and_scope_are_resolved_once(spark):
     got = {r.site: (r.status, r.resolved_id, r.candidates) for r in found.collect()}
     assert got == {"x": ("resolved_same_scope", "1", 2), "y": ("resolved_same_scope", "1", 2), "z": ("ambiguous", None, 2), "u": ("unresolved", None, 0), "v": ("resolved_qualified", "2", 1)}
     assert plan(found).count("Join") == 1
+
+
+def test_signatures_with_any_brackets(spark):
+    def split(text):
+        depth, now, done = 0, [], []
+        for piece in text.split(","):
+            depth += sum(c in "<([{" for c in piece) - sum(c in ">)]}" for c in piece)
+            now.append(piece)
+            if depth == 0:
+                done, now = done + [",".join(now).strip(" ")], []
+        return [p for p in done + ([",".join(now).strip(" ")] if now else []) if p]
+
+    deal = random.Random(2)
+    inner = ["".join(deal.choice(["a", " ", ",", ", ", "<b,c>", "(x, [y, {z, w}])", "<", ")", "<(,)>", "((((((d,e))))))"]) for _ in range(deal.randrange(9))) for _ in range(400)]
+    rows = spark.createDataFrame([(n, f"f({text})", text) for n, text in enumerate(inner)], "n int, signature string, text string")
+    found = rows.select("text", extraction.signature_params(F.col("signature"), F.lit("cpp")).alias("params"))
+    assert "regexp_extract_all" in plan(found)  # closed brackets are not counted piece by piece
+    assert all(r.params == split(r.text) for r in found.collect())
