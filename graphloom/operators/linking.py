@@ -183,7 +183,7 @@ def cross_file_links(sites: DataFrame, symbols: DataFrame, imported: DataFrame,
     by_file = known.groupBy("callee_name", "target_file").agg(F.count("*").alias("n"), F.min("callee").alias("callee"))
     # a name with one candidate elsewhere is in two files at most: the caller's own and that
     files = by_file.groupBy("callee_name").agg(F.count("*").alias("files"), F.min(F.struct("target_file", "n", "callee")).alias("x"), F.max(F.struct("target_file", "n", "callee")).alias("y")).filter("files <= 2")
-    met = apart(open_, "callee_name").join(apart(files, "callee_name"), ["callee_name", "apart"]).drop("apart")
+    met = apart(open_, "callee_name").join(apart(files, "callee_name").hint("shuffle_hash"), ["callee_name", "apart"]).drop("apart")  # a row a name, so sites need no sort
     other = F.when(F.col("x.target_file") != F.col("file"), F.when((F.col("files") == 1) | (F.col("y.target_file") == F.col("file")), F.col("x"))).when(F.col("files") == 2, F.col("y"))
     single = met.withColumn("other", other).filter("other.n = 1").select("caller", "file", F.col("other.callee").alias("callee"), F.col("other.target_file").alias("target_file"))
     single = single.filter(~(~is_vendor(F.col("file")) & is_vendor(F.col("target_file"))))
@@ -196,7 +196,8 @@ def cross_file_links(sites: DataFrame, symbols: DataFrame, imported: DataFrame,
     several = asked.join(known, "callee_name").filter("target_file <> file").filter(F.arrays_overlap(path, F.col("parts")))
     several = several.groupBy("caller", "file", "callee_name").agg(F.count("*").alias("m"), F.min("callee").alias("callee"), F.min("target_file").alias("target_file")).filter("m = 1")
     cols = ["caller", "callee", F.col("file").alias("source_file"), "target_file"]
-    return single.select(*cols).unionAll(several.select(*cols)).groupBy("caller", "callee").agg(F.min(F.struct("source_file", "target_file")).alias("x")).select("caller", "callee", "x.*")
+    links = spread(single.select(*cols).unionAll(several.select(*cols)), "caller", "callee", tasks=tasks_of(sites))
+    return links.groupBy("caller", "callee").agg(F.min(F.struct("source_file", "target_file")).alias("x")).select("caller", "callee", "x.*")
 
 
 def hierarchy(symbols: DataFrame) -> DataFrame:
