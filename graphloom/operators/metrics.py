@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.identifiers import half_up, reduction
-from graphloom.functions.joins import few
+from graphloom.functions.joins import few, spread, tasks_of
 from graphloom.functions.predicates import is_private, is_test_file, is_vendor, top_folder, within
 from graphloom.operators.graph import reach_fixpoint
 
@@ -29,9 +29,15 @@ def project_salience(edges: DataFrame, symbols: DataFrame, cross_weight: float =
 
     The largest value is a scalar, joined back by a one-row broadcast.
     """
+    files = symbols.select("id", "file")
+    tasks = tasks_of(edges, symbols)
+    ids = lambda own: spread(files.select(F.col("id").alias(own), F.col("file").alias(f"{own}_file")), own, tasks=tasks).hint("shuffle_hash")
+    calls = spread(edges, "src", tasks=tasks).join(ids("src"), "src").groupBy("dst", "src_file").agg(F.count("*").alias("n"))
+    placed = spread(calls, "dst", tasks=tasks).join(ids("dst"), "dst")
     crossing = F.col("src_file") != F.col("dst_file")
-    fan = _placed(edges, symbols).groupBy("dst").agg(
-        F.count_if(~crossing).alias("local"), F.count_if(crossing).alias("cross"), F.count_distinct(F.when(crossing, F.col("src_file"))).alias("files"))
+    # a file may be in several rows of a symbol that is listed more than once
+    fan = placed.groupBy("dst", "src_file").agg(F.sum(F.when(~crossing, F.col("n"))).alias("local"), F.sum(F.when(crossing, F.col("n"))).alias("cross")).groupBy("dst").agg(
+        F.sum("local").alias("local"), F.sum("cross").alias("cross"), F.count("cross").alias("files"))
     factor = (
         F.when(is_test_file(F.col("file")), test).otherwise(1.0) * F.when(is_private(F.col("name")), private).otherwise(1.0)
         * F.when(is_vendor(F.col("file")), vendor).otherwise(1.0)
@@ -81,13 +87,16 @@ def coverage(edges: DataFrame, symbols: DataFrame, tests: DataFrame, hops: int =
     All tests walk together: the frontier is a set of symbols, not of pairs with a test.
     """
     roots = tests.select(F.col("id").alias("test")).distinct()
-    calls = edges.join(roots, edges["src"] == roots["test"]).filter("src <> dst").select("src", "dst").distinct()
+    tasks = tasks_of(edges)
+    calls = spread(edges, "src", tasks=tasks).join(spread(roots, "test", tasks=tasks).hint("shuffle_hash"), F.col("src") == F.col("test"))
+    calls = spread(calls.filter("src <> dst").select("src", "dst"), "src", "dst", tasks=tasks).distinct()
     direct = calls.groupBy("dst").agg(F.count("*").alias("test_count"))
     frontier = direct.select(F.col("dst").alias("here"))
     onward = edges.select(F.col("src").alias("from"), F.col("dst").alias("there"))
     reached = direct.select("dst", "test_count")
     for _ in range(1, hops):
-        frontier = frontier.join(onward, F.col("here") == F.col("from")).select(F.col("there").alias("here")).distinct()
+        near = spread(frontier, "here", tasks=tasks).hint("shuffle_hash")  # distinct, and few beside the edges
+        frontier = spread(onward, "from", tasks=tasks).join(near, F.col("here") == F.col("from")).select(F.col("there").alias("here")).distinct()
         reached = reached.unionAll(frontier.select("here", F.lit(0)))
     reached = reached.groupBy("dst").agg(F.max("test_count").alias("test_count"))
     rest = symbols.select("id", "file").join(roots, F.col("id") == F.col("test"), "left_anti")

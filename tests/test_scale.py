@@ -51,6 +51,17 @@ def test_fan_makes_edges_distinct_once(spark):
     assert plan(found).count("Exchange") == 2 and "Join" not in plan(found)
 
 
+@pytest.mark.parametrize("symbols", [[("a", "f"), ("b", "g"), ("c", "g")], [("a", "f"), ("b", "g"), ("b", "f"), ("c", "g")]])
+def test_salience_counts_calls_before_it_places_the_callee(spark, symbols):
+    rows = spark.createDataFrame([(i, i, i, file) for i, file in symbols], "id string, name string, qualified_name string, file string")
+    found = metrics.project_salience(spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "b"), ("b", "a")], "src string, dst string"), rows)
+    files = lambda i: [f for j, f in symbols if j == i]
+    pairs = lambda own: [(f, g) for s, t in (("a", "b"), ("a", "b"), ("c", "b"), ("b", "a")) if t == own for f in files(s) for g in files(t)]
+    got = {r.id: (r.local_fan_in, r.cross_fan_in) for r in found.collect()}
+    assert got == {i: (sum(f == g for f, g in pairs(i)), sum(f != g for f, g in pairs(i))) for i, _ in symbols}
+    assert plan(found).count("ShuffledHashJoin") >= 2
+
+
 def test_calls_of_a_name_and_scope_are_resolved_once(spark):
     symbols = spark.createDataFrame([("1", "f", "A::f", "A", 0), ("2", "f", "B::f", "B", 1)], "id string, name string, qualified_name string, scope string, pos int")
     sites = spark.createDataFrame([("x", "f", "A"), ("y", "f", "A"), ("z", "f", None), ("u", None, "A"), ("v", "B::f", None)], "site string, callee_name string, caller_scope string")
