@@ -21,6 +21,12 @@ def test_tasks_follow_the_bytes_of_the_input(spark, tmp_path):
     assert tasks_of(spark.sparkContext.parallelize([(1,)]).toDF(["id"])) is None  # not known: left to Spark
 
 
+def test_windows_with_equal_hits(spark):
+    hits = [("a", 500), ("a", 500), ("a", 300), ("a", 300), ("a", 380)]
+    found = search.windows_of(spark.createDataFrame(hits, "key string, line long"))
+    assert sorted(map(tuple, found.collect())) == [("a", 240, 560)]
+
+
 def test_enclosing_takes_a_block_of_each_size(spark):
     deal = random.Random(1)
     spans = [(deal.choice("ab"), n, start, start + deal.choice((-3, 0, 1, 7, 40, 900)), n) for n, start in enumerate(deal.randrange(-50, 400) for _ in range(300))]
